@@ -135,7 +135,9 @@ def greedy_non_overlap(df: DataFrame, keys: list[str], cand_id: list[str], s: st
     joins instead (see `_greedy_rounds`); both ways give the same set.
     """
     num, den = share
-    best = (df.groupBy(*keys, s, e).agg(F.min(F.struct(*rank, *cand_id)).alias("__r"))
+    extra = [c for c in dict.fromkeys([*rank, *cand_id]) if c not in [*keys, s, e]]
+    best = (df.groupBy(*keys, s, e)
+            .agg(F.min_by(F.struct(*extra), F.struct(*rank, *cand_id)).alias("__r"))
             .select(*keys, s, e, "__r.*"))
     runs = islands(best, keys, s, e, chunk, -1).select(*keys, s, "island")
     tagged = best.join(runs, [*keys, s])
@@ -148,35 +150,42 @@ def greedy_non_overlap(df: DataFrame, keys: list[str], cand_id: list[str], s: st
             .filter("__keep").drop("__keep").unionByName(lone))
     big = tagged.filter(F.col("__n") > fold_rows)
     if not big.isEmpty():
-        kept = kept.unionByName(_greedy_rounds(big, keys, cand_id, s, e, rank, num, den, bucket))
+        me = F.struct(*[F.col(c) for c in dict.fromkeys([*rank, *cand_id])])
+        one = big.select(*keys, F.col(s).alias("__s1"), F.col(e).alias("__e1"), me.alias("better"))
+        two = big.select(*keys, F.col(s).alias("__s2"), F.col(e).alias("__e2"), me.alias("worse"))
+        shared = F.least("__e1", "__e2") - F.greatest("__s1", "__s2")
+        shorter = F.least(F.col("__e1") - F.col("__s1"), F.col("__e2") - F.col("__s2"))
+        edges = (overlap_join(one, two, keys, ("__s1", "__e1"), ("__s2", "__e2"), bucket)
+                 .filter((F.col("better") < F.col("worse")) & (shared * den > num * shorter))
+                 .select("better", "worse"))
+        kept = kept.unionByName(greedy_by_rounds(big.withColumn("node", me), edges).drop("node"))
     return df.join(kept.select(*cand_id), cand_id, "left_semi")
 
 
-def _greedy_rounds(big: DataFrame, keys: list[str], cand_id: list[str], s: str, e: str,
-                   rank: list[str], num: int, den: int, bucket: int) -> DataFrame:
-    """The same greedy set by rounds: a candidate is kept once no better undecided one conflicts
-    with it, and whatever conflicts with a kept one is dropped. Ends when all are decided."""
-    me = F.struct(*[F.col(c) for c in [*rank, *cand_id]])
-    one = big.select(*keys, F.col(s).alias("__s1"), F.col(e).alias("__e1"), me.alias("__c1"))
-    two = big.select(*keys, F.col(s).alias("__s2"), F.col(e).alias("__e2"), me.alias("__c2"))
-    shared = F.least("__e1", "__e2") - F.greatest("__s1", "__s2")
-    shorter = F.least(F.col("__e1") - F.col("__s1"), F.col("__e2") - F.col("__s2"))
-    worse = checkpointed(
-        overlap_join(one, two, keys, ("__s1", "__e1"), ("__s2", "__e2"), bucket)
-        .filter((F.col("__c1") < F.col("__c2")) & (shared * den > num * shorter))
-        .select("__c1", "__c2"))
-    undecided = big.withColumn("__c", me)
-    chosen = None
+def greedy_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The greedy choice over a conflict graph, decided in parallel.
+
+    `nodes` has a column `node` whose order is the rank; `edges` (better, worse) are conflicts.
+    In each round a node is kept once no undecided better one conflicts with it, and whatever
+    conflicts with a kept one is dropped; it ends when all are decided, after about log(n)
+    rounds for unrelated scores. The result is the one of walking the nodes one by one.
+    """
+    edges = checkpointed(edges)
+    touched = edges.select(F.explode(F.array("better", "worse")).alias("node")).distinct()
+    kept = nodes.join(touched, "node", "left_anti")
+    undecided = checkpointed(nodes.join(touched, "node", "left_semi"))
     while not undecided.isEmpty():
-        blocked = (worse.join(undecided.select(F.col("__c").alias("__c1")), "__c1", "left_semi")
-                   .select(F.col("__c2").alias("__c")).distinct())
-        free = undecided.join(blocked, "__c", "left_anti")
-        chosen = checkpointed(free if chosen is None else chosen.unionByName(free))
-        lost = (worse.join(chosen.select(F.col("__c").alias("__c1")), "__c1", "left_semi")
-                .select(F.col("__c2").alias("__c")).distinct())
-        undecided = checkpointed(undecided.join(chosen.select("__c"), "__c", "left_anti")
-                                 .join(lost, "__c", "left_anti"))
-    return chosen.drop("__c")
+        blocked = edges.select(F.col("worse").alias("node")).distinct()
+        free = checkpointed(undecided.join(blocked, "node", "left_anti"))
+        kept = kept.unionByName(free)
+        lost = (edges.join(free.select(F.col("node").alias("better")), "better", "left_semi")
+                .select(F.col("worse").alias("node")).distinct())
+        gone = free.select("node").unionByName(lost).distinct()
+        undecided = checkpointed(undecided.join(gone, "node", "left_anti"))
+        edges = checkpointed(
+            edges.join(gone.select(F.col("node").alias("better")), "better", "left_anti")
+            .join(gone.select(F.col("node").alias("worse")), "worse", "left_anti"))
+    return kept
 
 
 def min_spacing(df: DataFrame, keys: list[str], t: str, tie: list[str], gap: int,
@@ -205,3 +214,34 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
     """First `n` rows of each key. Spark limits each map partition before the shuffle."""
     return (df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
             .filter(F.col(name) <= n))
+
+
+def shared_time(df: DataFrame, keys: list[str], clip: str, s: str, e: str,
+                bucket: int) -> DataFrame:
+    """Time two clips of a key have in common, summed over their segments (clip_a < clip_b)."""
+    a = df.select(*keys, F.col(clip).alias("clip_a"), F.col(s).alias("__s1"), F.col(e).alias("__e1"))
+    b = df.select(*keys, F.col(clip).alias("clip_b"), F.col(s).alias("__s2"), F.col(e).alias("__e2"))
+    return (overlap_join(a, b, keys, ("__s1", "__e1"), ("__s2", "__e2"), bucket)
+            .filter("clip_a < clip_b").groupBy(*keys, "clip_a", "clip_b")
+            .agg(F.sum(F.least("__e1", "__e2") - F.greatest("__s1", "__s2")).alias("shared")))
+
+
+def drop_shared_footage(df: DataFrame, keys: list[str], clip: str, s: str, e: str, score: str,
+                        bucket: int, percent: int = 15) -> DataFrame:
+    """Clips left after dropping each one that shares more than `percent` of the shorter length
+    with a kept clip of higher score. Works on segments, so spread-out clips may interleave."""
+    clips = df.groupBy(*keys, clip).agg(F.sum(F.col(e) - F.col(s)).alias("length"),
+                                        F.max(score).alias(score))
+    node = F.struct(*keys, (-F.col(score)).alias("r"), F.col(clip).alias("c"))
+    facts = clips.select(*keys, F.col(clip).alias("c"), "length", node.alias("node"))
+    pairs = shared_time(df, keys, clip, s, e, bucket)
+    a = facts.select(*keys, F.col("c").alias("clip_a"), F.col("length").alias("len_a"),
+                     F.col("node").alias("node_a"))
+    b = facts.select(*keys, F.col("c").alias("clip_b"), F.col("length").alias("len_b"),
+                     F.col("node").alias("node_b"))
+    edges = (pairs.join(a, [*keys, "clip_a"]).join(b, [*keys, "clip_b"])
+             .filter(F.col("shared") * 100 > percent * F.least("len_a", "len_b"))
+             .select(F.least("node_a", "node_b").alias("better"),
+                     F.greatest("node_a", "node_b").alias("worse")))
+    kept = greedy_by_rounds(facts.select("node", *keys, "c", "length"), edges)
+    return kept.select(*keys, F.col("c").alias(clip), "length", (-F.col("node.r")).alias(score))

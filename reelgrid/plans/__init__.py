@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = ("standin_tables", "interval_sets")
 
 
+
 def load_all() -> None:
     for m in MODULES:
         import_module(f"reelgrid.plans.{m}")

@@ -15,10 +15,21 @@ MS_PER_CHAR = 60
 DAY = 86_400
 
 
+def _epoch(ts: str) -> Column:
+    """Whole seconds since 1970 of a timestamp without zone, whatever the session zone is."""
+    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col(ts))
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
+def _line_id() -> Column:
+    """A unique number per line item (line numbers repeat in this data)."""
+    return (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000 + F.col("l_suppkey"))
+            * 1_000_000 + F.col("l_partkey"))
+
+
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of a conversation spoken one after the other at a fixed pace."""
     t = read_table(spark, folder, "conversations").select(
@@ -63,7 +74,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
     return read_table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("video_id"), F.col("l_orderkey").alias("order_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("clip_id"),
+        _line_id().alias("clip_id"),
         F.col("l_linenumber").cast("long").alias("seg_idx"),
         (day * 1000).alias("s_ms"),
         (day * 1000 + F.col("l_quantity").cast("long") * 1000).alias("e_ms"),
@@ -75,7 +86,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
 def signal(spark: SparkSession, folder: str) -> DataFrame:
     """Per-second loudness (hundredths) and motion (percent) of each user's event series."""
     e = read_table(spark, folder, "events").select(
-        F.col("user_id").alias("video_id"), F.unix_seconds("ts").alias("at"), "ts", "event_id",
+        F.col("user_id").alias("video_id"), _epoch("ts").alias("at"), "ts", "event_id",
         F.round(F.col("value") * 100).cast("long").alias("rms"), _k().alias("motion"))
     seen = scan(e, ["video_id"], ["ts", "event_id"], time_chunk("at", 7 * DAY), n=row_number())
     return seen.select("video_id", (F.col("n") - 1).alias("sec"), "rms", "motion")
@@ -83,7 +94,7 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Job rows out of the event stream; times are epoch seconds."""
-    k, ts = F.col("k"), F.unix_seconds("ts")
+    k, ts = F.col("k"), _epoch("ts")
     e = read_table(spark, folder, "events").withColumn("k", _k())
     status = (F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
               .when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "pending")
@@ -120,7 +131,7 @@ def channels(spark: SparkSession, folder: str) -> DataFrame:
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Intake ledger: one row per order; the hash repeats inside a channel."""
     o = read_table(spark, folder, "orders")
-    k, at = F.col("o_orderkey"), F.unix_seconds("o_orderdate")
+    k, at = F.col("o_orderkey"), _epoch("o_orderdate")
     status = (F.when(k % 9 == 0, "dup").when(k % 9 == 1, "bad").when(F.col("o_orderstatus") == "F", "done")
               .when(F.col("o_orderstatus") == "O", "taken").otherwise("error"))
     return o.select(
@@ -141,12 +152,12 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     ext = (F.when(i == 1, ".mp4").when(i == 2, ".MKV").when(i == 3, ".mp4.part")
            .when(i == 4, ".f137.mp4").when(i == 5, ".mp4").when(i == 6, ".txt").otherwise(".webm"))
     return read_table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("channel_id"), (k * 10 + i).alias("file_id"),
+        F.col("l_suppkey").alias("channel_id"), _line_id().alias("file_id"),
         F.concat(stem, ext).alias("name"),
         F.concat(F.lit("/bin/"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("/"),
                  F.col("l_suppkey").cast("string"), F.lit("/"), stem, ext).alias("path"),
         F.when(F.col("l_quantity") < 3, 0).otherwise(F.floor("l_extendedprice")).cast("long").alias("size"),
-        F.unix_seconds("l_shipdate").alias("mtime"),
+        _epoch("l_shipdate").alias("mtime"),
         F.concat(F.lit("h"), (F.floor("l_extendedprice") % 23).cast("string")).alias("file_hash"))
 
 
@@ -164,7 +175,7 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").select(
         F.col("event_id").alias("call_id"), (F.col("user_id") % 12).alias("key_id"),
         F.concat(F.lit("model"), (k % 3).cast("string")).alias("model"),
-        (F.col("user_id") * 100 + k).alias("video_id"), F.unix_seconds("ts").alias("at"),
+        (F.col("user_id") * 100 + k).alias("video_id"), _epoch("ts").alias("at"),
         F.floor(F.col("value") * 100).cast("long").alias("tok_in"), (k * 7).alias("tok_out"),
         (F.col("event_type") != "error").alias("ok"),
         F.when(F.col("event_type") == "error", F.when(k % 8 == 0, "HTTP 401 invalid api key")
@@ -197,7 +208,7 @@ _SQL = {
           unnest(w) as word, generate_subscripts(w, 1) as pos from (
         select *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from sentences))""",
               ("sentences",)),
-    "segments": ("""select l_suppkey as video_id, l_orderkey as order_id, l_orderkey * 10 + l_linenumber as clip_id,
+    "segments": ("""select l_suppkey as video_id, l_orderkey as order_id, ((l_orderkey * 10 + l_linenumber) * 10000 + l_suppkey) * 1000000 + l_partkey as clip_id,
         cast(l_linenumber as bigint) as seg_idx,
         date_diff('day', date '1990-01-01', cast(l_shipdate as date)) * 1000 as s_ms,
         date_diff('day', date '1990-01-01', cast(l_shipdate as date)) * 1000 + cast(l_quantity as bigint) * 1000 as e_ms,
@@ -237,7 +248,7 @@ _SQL = {
         cast(epoch(o_orderdate) as bigint) + (o_orderkey % 24) * 3600 as taken_at from orders)""", ()),
     "listing": ("""select channel_id, file_id, stem || ext as name,
         '/bin/' || strftime(l_shipdate, '%Y-%m-%d') || '/' || channel_id || '/' || stem || ext as path, size, mtime, file_hash
-        from (select l_suppkey as channel_id, l_orderkey * 10 + l_linenumber as file_id, l_shipdate,
+        from (select l_suppkey as channel_id, ((l_orderkey * 10 + l_linenumber) * 10000 + l_suppkey) * 1000000 + l_partkey as file_id, l_shipdate,
         case when l_orderkey % 6 = 0 then 'Part ' || l_linenumber
           else 'My clip ' || l_partkey || ' [abc_' || l_orderkey || '] 720p - YouTube' end as stem,
         case l_linenumber when 1 then '.mp4' when 2 then '.MKV' when 3 then '.mp4.part' when 4 then '.f137.mp4'
