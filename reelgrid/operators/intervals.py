@@ -17,13 +17,13 @@ from reelgrid.session import checkpointed
 
 
 def islands(df: DataFrame, keys: list[str], s: str, e: str, chunk: int, gap: int = 0,
-            name: str = "island") -> DataFrame:
+            name: str = "island", extra: list[Column] | None = None) -> DataFrame:
     """Distinct starts of each key with the start of the connected run they belong to.
 
     A new run begins where the start lies more than `gap` after everything before it.
-    Output: keys, s, e (the furthest end of that start), `name`.
+    Output: keys, s, e (the furthest end of that start), `extra` aggregates, `name`.
     """
-    starts = df.groupBy(*keys, s).agg(F.max(e).alias(e))
+    starts = df.groupBy(*keys, s).agg(F.max(e).alias(e), *(extra or []))
     seen = scan(starts, keys, [s], time_chunk(s, chunk), __far=running_max(F.col(e), False))
     opens = F.col("__far").isNull() | (F.col(s) > F.col("__far") + F.lit(gap))
     return (scan(seen.withColumn("__open", F.when(opens, F.col(s))), keys, [s],

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("standin_tables", "interval_sets")
+MODULES = ("standin_tables", "interval_sets", "signal_islands")
 
 
 
