@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("standin_tables", "interval_sets", "signal_islands")
+MODULES = ("standin_tables", "interval_sets", "signal_islands", "activity_marts", "intake_plans",
+           "clip_selection")
 
 
 
