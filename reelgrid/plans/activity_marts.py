@@ -241,12 +241,12 @@ def current_job(spark, folder):
     return mt.current_job(jobs(spark, folder))
 
 
-@query(with_tables("""select at // 86400 as day, channel_id, cls, count(*) as n, max(wait) as longest_wait from (
+@query(with_tables("""select x.at // 86400 as day, channel_id, cls, count(*) as n, max(wait) as longest_wait from (
     select created_at as at, channel_id, case when error like '%401%' then 'auth' when error like '%restricted%' then 'restricted'
      when error like '%413%' then 'too_large' when error like '%per day%' then 'day' when error like '%in 12s%' then 'minute'
      when error like '%retry-after%' then 'minute' when error like '%unavailable%' then 'transient' else 'other' end as cls,
      case when error like '%7m30.5s%' then 450.5 when error like '%in 12s%' then 12.0 when error like '%retry-after%' then 45.0 end as wait
-    from jobs where status = 'failed') group by all""", "jobs"))
+    from jobs where status = 'failed') x group by all""", "jobs"))
 def error_classes(spark, folder):
     e = jobs(spark, folder).filter("status = 'failed'")
     return e.groupBy(F.floor(F.col("created_at") / 86_400).alias("day"), "channel_id", errors.error_class(F.col("error")).alias("cls")).agg(
@@ -255,9 +255,9 @@ def error_classes(spark, folder):
 
 @query(with_tables(f"""select key_id, state, case when state = 'limited' then until end as until from (
     select key_id, case when cls = 'auth' then 'invalid' when until > {NOW - 3600} then 'limited' else 'ready' end as state, until from (
-    select key_id, cls, case when cls in ('day','minute') then at + case cls when 'day' then 451 else 12 end end as until from (
-    select key_id, at, case when error is null then null when error like '%401%' then 'auth' when error like '%per day%' then 'day' when error like '%in 12s%' then 'minute' else 'transient' end as cls
-    from (select *, row_number() over (partition by key_id order by at desc, call_id desc) as rn from calls) where rn = 1)))""", "calls"))
+    select key_id, cls, case when cls in ('day','minute') then "at" + case cls when 'day' then 451 else 12 end end as until from (
+    select key_id, "at", case when error is null then null when error like '%401%' then 'auth' when error like '%per day%' then 'day' when error like '%in 12s%' then 'minute' else 'transient' end as cls
+    from (select *, row_number() over (partition by key_id order by calls.at desc, call_id desc) as rn from calls) where rn = 1)))""", "calls"))
 def key_health(spark, folder):
     return mt.key_health(calls(spark, folder), NOW - 3600)
 

@@ -50,7 +50,7 @@ def panel_scores(spark, folder):
     return sel.panel_score(v, KEY)
 
 
-@query(with_tables("select clip_id, round(case when llm is null then 0.6 * a + 0.4 * s else 0.5 * llm + 0.3 * a + 0.2 * s end, 4) as score from (select clip_id, score * 1.0 as a, (score * 7 % 101) * 1.0 as s, case when score % 4 > 0 then (score * 3 % 101) * 1.0 end as llm from segments)", "segments"))
+@query(with_tables("select clip_id, round(cast(case when llm is null then 0.6 * a + 0.4 * s else 0.5 * llm + 0.3 * a + 0.2 * s end as double), 4) as score from (select clip_id, score * 1.0 as a, (score * 7 % 101) * 1.0 as s, case when score % 4 > 0 then (score * 3 % 101) * 1.0 end as llm from segments)", "segments"))
 def fused_scores(spark, folder):
     a, s = F.col("score"), F.col("score") * 7 % 101
     llm = F.when(F.col("score") % 4 > 0, F.col("score") * 3 % 101)
@@ -62,15 +62,15 @@ _REPLY = {
     "items": "select order_id, row_number() over (partition by order_id order by clip_id) - 1 as idx from segments",
     "reply": "select order_id, score as pos, score % 6 as idx, score % 7 <> 0 as usable from segments where score % 3 > 0",
     "f": "select i.order_id, i.idx, min(r.pos) as pos, coalesce(bool_or(not r.usable), false) as bad0 from items i left join reply r using (order_id, idx) group by all",
-    "g": """select *, bad0 and count_if(bad0) over (partition by order_id) < count(*) over (partition by order_id) as bad, bool_or(pos is not null) over (partition by order_id) as some from f""",
+    "g": """select *, bad0 and count_if(bad0) over (partition by order_id) < count(*) over (partition by order_id) as bad, bool_or(pos is not null) over (partition by order_id) as anyv from f""",
     "h": "select *, bool_or(pos is not null and not bad) over (partition by order_id) as clean from g",
-    "t": """select *, case when not some or (pos is not null and (not bad or not clean)) then 0 when not bad then 1 else 2 end as turn,
-       case when some and pos is not null and (not bad or not clean) then pos else idx end as place from h
-       where not (some and pos is not null and bad and clean)"""}
+    "t": """select *, case when not anyv or (pos is not null and (not bad or not clean)) then 0 when not bad then 1 else 2 end as turn,
+       case when anyv and pos is not null and (not bad or not clean) then pos else idx end as place from h
+       where not (anyv and pos is not null and bad and clean)"""}
 
 
-@query(with_tables("""select order_id, idx, rank from (select *, case when some then row_number() over (partition by order_id order by turn, place, idx) else idx + 1 end as rank from t)
-    where not some or rank <= 3""", "segments", more=_REPLY))
+@query(with_tables("""select order_id, idx, rank from (select *, case when anyv then row_number() over (partition by order_id order by turn, place, idx) else idx + 1 end as rank from t)
+    where not anyv or rank <= 3""", "segments", more=_REPLY))
 def reorder_by_reply(spark, folder):
     from reelgrid.operators.scan import row_number, scan
     t = segments(spark, folder)

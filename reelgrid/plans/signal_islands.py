@@ -145,7 +145,7 @@ def audio_scores(spark, folder):
     return win.join(base, [*KEY, "idx"], "left").select(*KEY, "idx", F.round(F.least(F.lit(100.0), score), 4).alias("score"))
 
 
-@query(with_tables("""select clip_id, case when n = 0 then 45 when n <= 3 then 70 + n * 5 else greatest(50, 85 - (n - 3) * 5) end * 1.0 as score
+@query(with_tables("""select clip_id, cast(case when n = 0 then 45 when n <= 3 then 70 + n * 5 else greatest(50, 85 - (n - 3) * 5) end as double) as score
     from (select s.clip_id, count(c.cut_ms) as n from segments s left join cuts c on c.video_id = s.video_id and s.s_ms < c.cut_ms and c.cut_ms < s.e_ms
     where s.status = 'suggested' group by all)""", "segments", more=_CUTS))
 def scene_scores(spark, folder):
@@ -153,7 +153,7 @@ def scene_scores(spark, folder):
     return cuts_inside_clips(spark, folder).select("clip_id", sg.scene_score(F.col("n_cuts")).cast("double").alias("score"))
 
 
-@query(with_tables("""select video_id, idx, score, round(case when n = 0 then score else 0.5 * score + 0.5 * round(10.0 * acts / n, 1) end, 1) as rescored from (
+@query(with_tables("""select video_id, idx, score, round(cast(case when n = 0 then score else 0.5 * score + 0.5 * round(10.0 * acts / n, 1) end as double), 1) as rescored from (
     select w.video_id, w.idx, w.idx * 7 % 100 as score, count(s.sec) as n, sum(s.motion % 11) as acts from sentences w
     left join signal s on s.video_id = w.video_id and s.sec % 4 = 0 and w.start_ms <= s.sec * 1000 and s.sec * 1000 <= w.end_ms group by all)""", "signal", "sentences"))
 def visual_rescore(spark, folder):
