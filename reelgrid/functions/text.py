@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from reelgrid.functions import fixed_values as fv
@@ -149,6 +149,12 @@ def content_words(norm: Column) -> Column:
                                      lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w)))
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an array column that is computed once per row, even when lambdas below refer to it
+    (the optimiser would otherwise copy the expression into them)."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def grams(seq: Column, n: int = 3) -> Column:
     """Distinct runs of n consecutive items."""
     last = F.size(seq) - n + 1

@@ -174,7 +174,7 @@ def chars_to_words(texts: DataFrame, keys: list[str], ms_per_char: int) -> DataF
     """Aligned characters grouped to words: white space separates, punctuation closes a word."""
     pieces = F.regexp_extract_all("text", F.lit(f"[^\\s{CLOSING}]*[{CLOSING}]|[^\\s{CLOSING}]+|\\s+"), F.lit(0))
     rows = texts.select(*keys, "start_ms", pieces.alias("p"), _spread(pieces, F.length).alias("c"))
-    return (rows.select(*keys, "start_ms", "c", F.posexplode("p").alias("pos", "word")).filter(F.trim("word") != "")
+    return (rows.select(*keys, "start_ms", "c", F.posexplode("p").alias("pos", "word")).filter(F.col("word").rlike(r"\S"))
             .select(*keys, "pos", "word", (F.col("start_ms") + F.element_at("c", F.col("pos") + 1) * ms_per_char).alias("a"),
                     (F.col("start_ms") + F.element_at("c", F.col("pos") + 2) * ms_per_char).alias("b")))
 

@@ -83,7 +83,8 @@ def verbatim_and_retold(narration: DataFrame, sentences: DataFrame, keys: list[s
     hindi = F.array(*[F.lit(x) for x in fv.STOP_HI])
     words = F.filter(F.split("own_norm", " "), lambda w: (w != "") & ~F.array_contains(hindi, w))
     rows = rows.select(*keys, "part", "seq", words.alias("ws"), F.explode("said").alias("said")).filter("said <> ''")
-    rows = rows.withColumn("said_words", F.split("said", " ")).withColumn("said_seq", tx.content_sequence(F.col("said")))
+    rows = tx.settled(rows, "said_words", F.split("said", " "))
+    rows = tx.settled(rows, "said_seq", tx.content_sequence(F.col("said")))
     hits = F.size(F.filter("ws", lambda w: F.array_contains(F.col("said_words"), w)))
     fuzzy = (F.size("ws") >= 4) & (hits * 100 > F.size("ws") * 45)
     own, said = F.array_distinct("seq"), F.array_distinct("said_seq")
@@ -98,16 +99,17 @@ def copied_lines(narration: DataFrame, corpus: DataFrame, line: str, doc: str) -
     Candidates share the line's rarest three-word run, found through one equi-join of runs; only
     those pairs are compared as text.
     """
-    lines = (narration.select(line, tx.norm_text(F.col("text")).alias("norm"))
-             .withColumn("toks", tx.tokens(F.col("norm"))).filter((F.length("norm") >= 15) & (F.size("toks") >= 4)))
+    lines = narration.select(line, tx.norm_text(F.col("text")).alias("norm")).filter(F.length("norm") >= 15)
+    lines = tx.settled(lines, "toks", tx.tokens(F.col("norm"))).filter(F.size("toks") >= 4)
     texts = corpus.select(doc, tx.norm_text(F.col("text")).alias("body"))
     # the first and last token of a line may be cut inside a word of the text; the inner ones are
     # whole wherever the line occurs, so every true pair shares each inner run
-    inner = F.slice("toks", F.lit(2), F.size("toks") - 2)
-    runs = F.when(F.size(inner) >= 3, tx.grams(inner, 3)).otherwise(tx.grams(inner, 2))
-    asked = lines.select(line, F.explode(runs).alias("g"))
-    body = tx.tokens(F.col("body"))
-    held = (texts.select(doc, F.explode(F.array_union(tx.grams(body, 3), tx.grams(body, 2))).alias("g"))
+    lines = tx.settled(lines, "inner", F.slice("toks", F.lit(2), F.size("toks") - 2))
+    inner, body = F.col("inner"), F.col("body_toks")
+    asked = lines.select(line, F.explode(
+        F.when(F.size(inner) >= 3, tx.grams(inner, 3)).otherwise(tx.grams(inner, 2))).alias("g"))
+    held = (tx.settled(texts, "body_toks", tx.tokens(F.col("body")))
+            .select(doc, F.explode(F.concat(tx.grams(body, 3), tx.grams(body, 2))).alias("g"))
             .join(asked.select("g").distinct(), "g", "left_semi"))
     freq = held.groupBy("g").agg(F.count("*").alias("df"))
     rare = (asked.join(freq, "g").groupBy(line).agg(F.min_by("g", F.struct("df", "g")).alias("g")))

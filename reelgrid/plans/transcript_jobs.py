@@ -211,7 +211,7 @@ def stitch_chunks(spark, folder):
 
 @query("""select doc_id, trim(regexp_replace(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(t, '\\[[a-zA-Z][a-zA-Z ''\\-]{0,28}\\]', ' ', 'g'), '\\p{L}+|[^\\p{L}]+'),
     lambda x: case when length(x) >= 2 and x = upper(x) and x <> lower(x) then lower(x) else x end), ''), '\\s+([,.!?…;:])', '\\1', 'g'), '\\s{2,}', ' ', 'g')) as clean
-    from (select doc_id, '[excited] ' || upper(substr(text, 1, 40)) || ' [dramatic pause] ' || substr(text, 41) as t from documents)""")
+    from (select doc_id, '[excited] WHAT a NIGHT-OUT, ' || text || ' [dramatic pause] THE END !' as t from documents)""")
 def clean_narration(spark, folder):
-    t = F.concat(F.lit("[excited] "), F.upper(F.substring("text", 1, 40)), F.lit(" [dramatic pause] "), F.expr("substring(text, 41)"))
+    t = F.concat(F.lit("[excited] WHAT a NIGHT-OUT, "), "text", F.lit(" [dramatic pause] THE END !"))
     return _docs(spark, folder).select("doc_id", tx.clean_narration(t).alias("clean"))
