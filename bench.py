@@ -29,6 +29,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec",
                       "queries": took, "sf": os.path.basename(folder).removeprefix("sf")}))

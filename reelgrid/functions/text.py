@@ -52,20 +52,84 @@ def _any(patterns: list[str]) -> str:
     return "(?U)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def required_literal(pattern: str) -> str:
+    """Longest text every match of the pattern contains: plain runs outside groups, classes and
+    optional characters."""
+    flat, depth, i = [], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            flat.append("\0")
+            i += 2
+            continue
+        if c == "[" and depth == 0:
+            i = pattern.index("]", i) + 1
+            flat.append("\0")
+            continue
+        depth += (c == "(") - (c == ")")
+        if depth or c in "()":
+            flat.append("\0")
+        elif c in "?*":
+            flat[-1] = "\0"
+        elif c == "{":
+            i = pattern.index("}", i)
+            flat[-1] = "\0"
+        else:
+            flat.append("\0" if c in ".+^$" else c)
+        i += 1
+    return max("".join(flat).split("\0"), key=len)
+
+
+def needed_texts(pattern: str) -> list[str]:
+    """Texts of which every match holds at least one: the plain literal, or the alternatives of a
+    group that must occur, whichever are longer."""
+    options, i = [[required_literal(pattern)]], 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 2
+            continue
+        if pattern[i] == "[":
+            i = pattern.index("]", i)
+        elif pattern.startswith("(?:", i):
+            depth, cut, alts, j = 1, i + 3, [], i + 3
+            while depth:
+                if pattern[j] == "\\":
+                    j += 1
+                elif pattern[j] == "(":
+                    depth += 1
+                elif pattern[j] == ")":
+                    depth -= 1
+                if depth == 0 or (depth == 1 and pattern[j] == "|"):
+                    alts.append(pattern[cut:j])
+                    cut = j + 1
+                j += 1
+            if pattern[j:j + 1] not in ("?", "*", "{"):
+                options.append([required_literal(a) for a in alts])
+            i = j - 1
+        i += 1
+    return max(options, key=lambda o: min(len(x) for x in o))
+
+
+def _phrase(norm: Column, patterns: list[str]) -> Column:
+    """Whether any pattern occurs; cheap text tests decide first, so most texts never meet the regex."""
+    needed = F.array(*[F.lit(x) for x in sorted({x for p in patterns for x in needed_texts(p)})])
+    return F.exists(needed, lambda x: F.contains(norm, x)) & norm.rlike(_any(patterns))
+
+
 def is_cta(norm: Column) -> Column:
-    return norm.rlike(_any(fv.CTA_PATTERNS))
+    return _phrase(norm, fv.CTA_PATTERNS)
 
 
 def is_greeting(norm: Column) -> Column:
-    return norm.rlike(_any(fv.GREETING_PATTERNS))
+    return _phrase(norm, fv.GREETING_PATTERNS)
 
 
 def is_promo(norm: Column) -> Column:
-    return norm.rlike(_any(fv.PROMO_PATTERNS))
+    return _phrase(norm, fv.PROMO_PATTERNS)
 
 
 def is_junk(norm: Column) -> Column:
-    return norm.rlike(_any(fv.CTA_PATTERNS + fv.GREETING_PATTERNS + fv.PROMO_PATTERNS))
+    return _phrase(norm, fv.CTA_PATTERNS + fv.GREETING_PATTERNS + fv.PROMO_PATTERNS)
 
 
 # Script ranges by language code, in the order ties are broken.
@@ -156,11 +220,9 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def grams(seq: Column, n: int = 3) -> Column:
-    """Distinct runs of n consecutive items."""
-    last = F.size(seq) - n + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", F.slice(seq, i, n))))
-    ).otherwise(F.array().cast("array<string>"))
+    """Runs of n consecutive items."""
+    firsts = F.slice(seq, F.lit(1), F.greatest(F.lit(0), F.size(seq) - n + 1))
+    return F.transform(firsts, lambda x, i: F.concat_ws(" ", x, *[F.get(seq, i + k) for k in range(1, n)]))
 
 
 def clean_narration(text: Column) -> Column:

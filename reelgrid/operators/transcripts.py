@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from reelgrid.functions import fixed_values as fv, text as tx
 from reelgrid.operators.joins import overlap_join
 from reelgrid.operators.scan import next_value, scan, time_chunk
+from reelgrid.session import checkpointed
 
 
 def scored_sentences(sentences: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,7 +111,8 @@ def copied_lines(narration: DataFrame, corpus: DataFrame, line: str, doc: str) -
         F.when(F.size(inner) >= 3, tx.grams(inner, 3)).otherwise(tx.grams(inner, 2))).alias("g"))
     held = (tx.settled(texts, "body_toks", tx.tokens(F.col("body")))
             .select(doc, F.explode(F.concat(tx.grams(body, 3), tx.grams(body, 2))).alias("g"))
-            .join(asked.select("g").distinct(), "g", "left_semi"))
+            .join(asked.select("g").distinct(), "g", "left_semi").distinct())
+    held = checkpointed(held)          # small beside the corpus, and read twice
     freq = held.groupBy("g").agg(F.count("*").alias("df"))
     rare = (asked.join(freq, "g").groupBy(line).agg(F.min_by("g", F.struct("df", "g")).alias("g")))
     return (rare.join(held, "g").select(line, doc).join(lines.select(line, "norm"), line).join(texts, doc)

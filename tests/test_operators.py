@@ -152,7 +152,7 @@ def test_panel_median(spark):
 
 def test_invented_speech(spark):
     rows = [(1, "Thank you. .", 3, 40_000), (2, "we went down to the harbour and found the old boat there " * 4, 48, 20_000), (3, "", 0, 10_000),
-            (4, "Thanks for watching! Please subscribe " * 9, 45, 60_000), (5, "Thank you", 2, 0)]
+            (4, "Thanks for watching! Please subscribe", 45, 60_000), (5, "Thank you", 2, 0)]
     df = spark.createDataFrame(rows, "id long, text string, w long, d long")
     got = {r.id: r.speech for r in tr.speech_presence(df, "id", "text", "w", "d").collect()}
     assert got == {1: False, 2: True, 3: False, 4: False, 5: True}
@@ -222,3 +222,13 @@ def test_fingerprint(spark, tmp_path):
     mib = 1 << 20
     assert got == {"a.mp4": hashlib.sha1(str(len(body)).encode() + body[:mib] + body[-mib:]).hexdigest()[:16],
                    "b.MKV": hashlib.sha1(b"2xy").hexdigest()[:16]}
+
+
+def test_every_phrase_pattern_has_a_needed_text():
+    from reelgrid.functions import fixed_values as fv
+    for p in fv.CTA_PATTERNS + fv.GREETING_PATTERNS + fv.PROMO_PATTERNS:
+        assert all(len(x) >= 2 for x in tx.needed_texts(p)), p
+    assert tx.needed_texts(r"(?:a|the)\s+(?:\S+\s+){0,3}?(?:subscribers|subs)\b") == ["subscribers", "subs"]
+    assert tx.required_literal(r"(?:hit|ring|tap)\s+th(?:at|e)\s+bell") == "bell"
+    assert tx.required_literal(r"ご?視聴(?:ありがとう)") == "視聴"
+    assert tx.required_literal(r"colou?r") == "colo"
