@@ -141,8 +141,10 @@ KANA = r"\x{3040}-\x{30FF}\x{FF66}-\x{FF9F}"
 
 def script_counts(text: Column) -> list[Column]:
     """Letter counts: all, kana and one per script, to be summed before `script_from_counts`."""
+    foreign = text.rlike("[" + KANA + "".join(SCRIPTS.values()) + "]")      # most texts have none
+
     def count(ranges: str) -> Column:
-        return F.regexp_count(text, F.lit(f"[{ranges}&&[\\p{{L}}]]")).cast("long")
+        return F.when(foreign, F.regexp_count(text, F.lit(f"[{ranges}&&[\\p{{L}}]]"))).otherwise(0).cast("long")
     return [F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
             count(KANA).alias("n_ja"), *[count(r).alias(f"n_{c}") for c, r in SCRIPTS.items()]]
 

@@ -109,8 +109,9 @@ def copied_lines(narration: DataFrame, corpus: DataFrame, line: str, doc: str) -
     inner, body = F.col("inner"), F.col("body_toks")
     asked = lines.select(line, F.explode(
         F.when(F.size(inner) >= 3, tx.grams(inner, 3)).otherwise(tx.grams(inner, 2))).alias("g"))
-    held = (tx.settled(texts, "body_toks", tx.tokens(F.col("body")))
-            .select(doc, F.explode(F.concat(tx.grams(body, 3), tx.grams(body, 2))).alias("g"))
+    four = not lines.filter(F.size(inner) < 3).isEmpty()       # lines of four tokens have only a pair inside
+    found = F.concat(tx.grams(body, 3), tx.grams(body, 2)) if four else tx.grams(body, 3)
+    held = (tx.settled(texts, "body_toks", tx.tokens(F.col("body"))).select(doc, F.explode(found).alias("g"))
             .join(asked.select("g").distinct(), "g", "left_semi").distinct())
     held = checkpointed(held)          # small beside the corpus, and read twice
     freq = held.groupBy("g").agg(F.count("*").alias("df"))

@@ -9,13 +9,13 @@ from reelgrid.operators import transcripts as tr
 from reelgrid.plans.registry import query
 from reelgrid.plans.sqltext import N_TOKENS, NORM, SPACELESS, TOKEN, is_cta_sql, is_greeting_sql, is_junk_sql, is_promo_sql
 from reelgrid.sources.standins import doc_lines, sentences, with_tables, words
-from reelgrid.sources.tables import read_table
+from reelgrid.sources.tables import read_table, read_texts
 
 KEY = ["video_id"]
 
 
 def _docs(spark, folder):
-    return read_table(spark, folder, "documents")
+    return read_texts(spark, folder, "documents")
 
 
 @query(f"select doc_id, {NORM('text')} as norm from documents")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reelgrid.operators.scan import row_number, running_sum, scan, time_chunk
-from reelgrid.sources.tables import read_table
+from reelgrid.sources.tables import read_table, read_texts
 
 MS_PER_CHAR = 60
 DAY = 86_400
@@ -46,7 +46,7 @@ def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.split("text", "\n")
     ends = F.aggregate(lines, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(
         acc, F.array(F.element_at(acc, -1) + (F.length(x) * MS_PER_CHAR).cast("long"))))
-    d = (read_table(spark, folder, "documents")
+    d = (read_texts(spark, folder, "documents")
          .select(F.col("doc_id").alias("video_id"), F.col("source").alias("channel"), "lang",
                  lines.alias("lines"), ends.alias("ends"))
          .select("video_id", "channel", "lang", "ends", F.posexplode("lines").alias("idx", "text")))

@@ -15,6 +15,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A text table, spread over the cores when its files give fewer tasks than there are cores
+    (one small file is one task, and the work per text is high)."""
+    df = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
     """A table whose later files have more columns; missing values are NULL."""
     return spark.read.option("mergeSchema", "true").parquet(path)
