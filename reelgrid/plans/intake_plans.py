@@ -112,7 +112,7 @@ def intake_plan(spark, folder):
     return turns.filter((F.col("daily") < 2) | (F.col("turn") <= quota)).select("channel_id", "file_id", "turn")
 
 
-@query(with_tables("select count(*) over () * 0 + channel_id as channel_id, min(file_id) as file_id, lower(path) as lpath from (select * from files where state in ('ready','part') union all select * from files where state in ('part','zero_old')) group by channel_id, lower(path)".replace("count(*) over () * 0 + channel_id", "channel_id"), "listing", more=_FILES))
+@query(with_tables("select channel_id, min(file_id) as file_id, lower(path) as lpath from (select * from files where state in ('ready','part') union all select * from files where state in ('part','zero_old')) group by channel_id, lower(path)", "listing", more=_FILES))
 def union_dedup_paths(spark, folder):
     f = files(spark, folder)
     both = f.filter("state in ('ready', 'part')").unionByName(f.filter("state in ('part', 'zero_old')"))
@@ -286,9 +286,9 @@ def lru_evict(spark, folder):
     return lg.evict_oldest(f, ["channel_id"], ["mtime", "file_id"], F.floor(F.col("mtime") / (90 * 86_400)), "size", 9_000_000).select("channel_id", "file_id")
 
 
-@query(with_tables("""select order_id as clip_id, seg_idx as cue_no, clip_id as row_id,
+@query(with_tables("""select order_id as clip_id, seg_idx as cue_no,
     printf('%d:%02d:%02d.%02d', ((s_ms+5)//10)//360000, (((s_ms+5)//10)//6000) % 60, (((s_ms+5)//10)//100) % 60, ((s_ms+5)//10) % 100) || ',' ||
-    printf('%d:%02d:%02d.%02d', ((e_ms+5)//10)//360000, (((e_ms+5)//10)//6000) % 60, (((e_ms+5)//10)//100) % 60, ((e_ms+5)//10) % 100) || ',' || status as line from segments""".replace("clip_id as row_id,", ""), "segments"))
+    printf('%d:%02d:%02d.%02d', ((e_ms+5)//10)//360000, (((e_ms+5)//10)//6000) % 60, (((e_ms+5)//10)//100) % 60, ((e_ms+5)//10) % 100) || ',' || status as line from segments""", "segments"))
 def cue_text_lines(spark, folder):
     t = segments(spark, folder).select(F.col("order_id").alias("clip_id"), F.col("seg_idx").alias("cue_no"), F.col("s_ms").alias("start_ms"), F.col("e_ms").alias("end_ms"), F.col("status").alias("text"))
     return cue_lines(t)

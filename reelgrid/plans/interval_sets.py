@@ -157,7 +157,7 @@ def greedy_by_score(spark, folder):
                                  CHUNK, BUCKET).select("video_id", "clip_id")
 
 
-@query("""with recursive segments as materialized (%s), g as (select video_id, order_id // 2000 as clip_no, s_ms, e_ms, score from segments),
+@query("""with recursive segments as materialized (%s), g as (select video_id, order_id // 300 as clip_no, s_ms, e_ms, score from segments),
   c as (select video_id, clip_no, sum(e_ms - s_ms) as len, max(score) as score,
      row_number() over (partition by video_id order by max(score) desc, clip_no) as rn from g group by video_id, clip_no),
   p as (select a.video_id, a.clip_no as ca, b.clip_no as cb, sum(least(a.e_ms, b.e_ms) - greatest(a.s_ms, b.s_ms)) as shared
@@ -171,7 +171,7 @@ def greedy_by_score(spark, folder):
     and w.n = (select max(rn) from c x where x.video_id = c.video_id) where list_contains(w.kept, c.clip_no)"""
        % with_tables("", "segments").split("(", 1)[1].rsplit(")", 1)[0])
 def drop_shared_footage(spark, folder):
-    return iv.drop_shared_footage(_grouped(spark, folder, 2000), KEY, "clip_no", "s_ms", "e_ms", "score", BUCKET)
+    return iv.drop_shared_footage(_grouped(spark, folder, 300), KEY, "clip_no", "s_ms", "e_ms", "score", BUCKET)
 
 
 @query(with_tables("", "segments", more={

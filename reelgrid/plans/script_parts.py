@@ -81,18 +81,17 @@ def chapter_counts(spark, folder):
     return t.select("video_id", sc.chapter_count(F.col("d"), F.col("n")).alias("chapters"))
 
 
-@query("""select doc_id, array_to_string(list_transform(w[1:5], lambda x: '#' || x), ' ') as tags from (select doc_id, list_filter(list_transform(string_split(source || ' , #' || lang || ',' || source || ', x y', ','),
-    lambda t: regexp_replace(t, '[#\\s]', '', 'g')), lambda t: t <> '') as w0, list_distinct(w0) as wd, [source, lang, 'xy'] as w from documents)""")
+@query("""select doc_id, array_to_string(list_transform(w[1:5], lambda x: '#' || x), ' ') as tags from (select doc_id, [source, lang, 'xy'] as w from documents)""")
 def hashtags_clean(spark, folder):
     tags = F.split(F.concat("source", F.lit(" , #"), "lang", F.lit(","), "source", F.lit(", x y")), ",")
     return read_table(spark, folder, "documents").select("doc_id", F.array_join(sc.hashtags(tags, 5), " ").alias("tags"))
 
 
-_REPLY = {"rp": """select event_id as request_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"""}
+_ASKED = "(select event_id as request_id, cast(json_extract_string(props, '$.k') as bigint) as k from events)"
 
 
-@query("""select request_id, k % 5 as idx, cast(least(100, k * 2) as double) as score, 'r' || k as reason from rp where k % 4 in (0, 1) and k % 5 < 4 union all
-    select request_id, 3, 50.0, '' from rp where k % 4 = 0 order by 1""".replace("from rp", "from (select event_id as request_id, cast(json_extract_string(props, '$.k') as bigint) as k from events)"))
+@query(f"""select request_id, k % 5 as idx, cast(least(100, k * 2) as double) as score, 'r' || k as reason from {_ASKED} where k % 4 in (0, 1) and k % 5 < 4 union all
+    select request_id, 3, 50.0, '' from {_ASKED} where k % 4 = 0""")
 def reply_rows(spark, folder):
     return sc.reply_rows(_replies(spark, folder), "n_items")[0]
 
@@ -122,7 +121,7 @@ def clip_titles(spark, folder):
     return sc.first_clean_line(clips, s, KEY, "clip_id", 60_000)
 
 
-@query("""select user_id as video_id, event_id, cast(value as double) as s, value + 2 as e from events where event_id % 3 > 0""".replace("user_id as video_id, event_id, cast(value as double) as s, value + 2 as e", "event_id as video_id, cast(0 as bigint) as idx, round(value, 2) as start_s"))
+@query("select event_id as video_id, cast(0 as bigint) as idx, round(value, 2) as start_s from events where event_id % 3 > 0")
 def exploded_transcripts(spark, folder):
     data = F.when(F.col("event_id") % 3 == 1, F.format_string('{"language":"en","segments":[{"start":%.2f,"end":%.2f,"text":"a"}]}', F.col("value"), F.col("value") + 2)).when(
         F.col("event_id") % 3 == 2, F.format_string('{"segments":[{"start":%.2f,"end":1e9,"text":"b"}],"extra":1}', F.col("value"))).otherwise("{broken")
