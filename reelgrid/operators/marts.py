@@ -105,7 +105,7 @@ def wait_stats(jobs: DataFrame, now: int) -> DataFrame:
 def usage_cost(calls: DataFrame, prices: DataFrame, keys: list[Column], rate: int = 26_000) -> DataFrame:
     """Calls, tokens and cost; prices are per million tokens."""
     used = (calls.groupBy(*keys, "model").agg(F.count("*").alias("calls"), F.sum("tok_in").alias("tok_in"),
-                                              F.sum("tok_out").alias("tok_out")).join(F.broadcast(prices), "model", "left"))
+                                              F.sum("tok_out").alias("tok_out")).join(prices, "model", "left"))
     cost = F.col("tok_in") / 1e6 * F.col("p_in") + F.col("tok_out") / 1e6 * F.col("p_out")
     return used.withColumn("cost", cost).withColumn("cost_local", cost * rate)
 
@@ -153,9 +153,8 @@ def current_job(jobs: DataFrame) -> DataFrame:
     own = act.groupBy("video_id").agg(
         F.max(F.when(F.col("status") == "running", F.col("job_id"))).alias("r"),
         F.min(F.when(F.col("status") == "pending", F.col("job_id"))).alias("p"), F.count("*").alias("mine"))
-    return (own.crossJoin(F.broadcast(total))           # one row
-            .select("video_id", F.coalesce("r", "p").alias("job_id"),
-                    (F.col("all_active") - F.col("mine")).alias("others")))
+    return own.select("video_id", F.coalesce("r", "p").alias("job_id"),
+                      (total.scalar() - F.col("mine")).alias("others"))
 
 
 def key_health(calls: DataFrame, now: int) -> DataFrame:

@@ -241,7 +241,7 @@ def current_job(spark, folder):
     return mt.current_job(jobs(spark, folder))
 
 
-@query(with_tables("""select x.at // 86400 as day, channel_id, cls, count(*) as n, max(wait) as longest_wait from (
+@query(with_tables("""select x.at // 86400 as day, channel_id, cls, count(*) as n, cast(max(wait) as double) as longest_wait from (
     select created_at as at, channel_id, case when error like '%401%' then 'auth' when error like '%restricted%' then 'restricted'
      when error like '%413%' then 'too_large' when error like '%per day%' then 'day' when error like '%in 12s%' then 'minute'
      when error like '%retry-after%' then 'minute' when error like '%unavailable%' then 'transient' else 'other' end as cls,
