@@ -25,9 +25,10 @@ def _k() -> Column:
 
 
 def _line_id() -> Column:
-    """A unique number per line item (line numbers repeat in this data)."""
-    return (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000 + F.col("l_suppkey"))
-            * 1_000_000 + F.col("l_partkey"))
+    """A unique number per line item: order and line number repeat, so other columns are mixed in."""
+    mix = (F.col("l_suppkey") * 7919 + F.col("l_partkey") * 104_729 + F.floor("l_quantity") * 1_299_709
+           + F.floor("l_extendedprice")) % 10_000_019
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_019 + mix
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,7 +209,7 @@ _SQL = {
           unnest(w) as word, generate_subscripts(w, 1) as pos from (
         select *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from sentences))""",
               ("sentences",)),
-    "segments": ("""select l_suppkey as video_id, l_orderkey as order_id, ((l_orderkey * 10 + l_linenumber) * 10000 + l_suppkey) * 1000000 + l_partkey as clip_id,
+    "segments": ("""select l_suppkey as video_id, l_orderkey as order_id, (l_orderkey * 10 + l_linenumber) * 10000019 + (l_suppkey * 7919 + l_partkey * 104729 + cast(floor(l_quantity) as bigint) * 1299709 + cast(floor(l_extendedprice) as bigint)) % 10000019 as clip_id,
         cast(l_linenumber as bigint) as seg_idx,
         date_diff('day', date '1990-01-01', cast(l_shipdate as date)) * 1000 as s_ms,
         date_diff('day', date '1990-01-01', cast(l_shipdate as date)) * 1000 + cast(l_quantity as bigint) * 1000 as e_ms,
@@ -248,7 +249,7 @@ _SQL = {
         cast(epoch(o_orderdate) as bigint) + (o_orderkey % 24) * 3600 as taken_at from orders)""", ()),
     "listing": ("""select channel_id, file_id, stem || ext as name,
         '/bin/' || strftime(l_shipdate, '%Y-%m-%d') || '/' || channel_id || '/' || stem || ext as path, size, mtime, file_hash
-        from (select l_suppkey as channel_id, ((l_orderkey * 10 + l_linenumber) * 10000 + l_suppkey) * 1000000 + l_partkey as file_id, l_shipdate,
+        from (select l_suppkey as channel_id, (l_orderkey * 10 + l_linenumber) * 10000019 + (l_suppkey * 7919 + l_partkey * 104729 + cast(floor(l_quantity) as bigint) * 1299709 + cast(floor(l_extendedprice) as bigint)) % 10000019 as file_id, l_shipdate,
         case when l_orderkey % 6 = 0 then 'Part ' || l_linenumber
           else 'My clip ' || l_partkey || ' [abc_' || l_orderkey || '] 720p - YouTube' end as stem,
         case l_linenumber when 1 then '.mp4' when 2 then '.MKV' when 3 then '.mp4.part' when 4 then '.f137.mp4'
