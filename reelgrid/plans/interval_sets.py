@@ -127,9 +127,7 @@ _GREEDY = """, walk as (
   union all
   select w.video_id, r.rn, case when {clash} then w.kept else list_append(w.kept, {me}) end
   from walk w join ranked r on r.video_id = w.video_id and r.rn = w.n + 1)
-select r.video_id, r.clip_id from ranked r join walk w on w.video_id = r.video_id
- and w.n = (select max(x.rn) from ranked x where x.video_id = r.video_id)
- where list_contains(w.kept, {me})"""
+select video_id, unnest(kept).c as clip_id from (select video_id, arg_max(kept, n) as kept from walk group by 1)"""
 
 
 def _greedy_sql(order: str, num: int, den: int, where: str = "true") -> str:

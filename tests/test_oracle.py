@@ -9,7 +9,9 @@ import __spark_entry__ as entry_module
 from check_oracle import TABLES, compare
 
 FOLDER = os.environ.get("REELGRID_TESTDATA", "/root/testdata/sf0.001")
-SAMPLE = ["loud_speech_evidence", "merge_used_ranges", "subtract_used", "greedy_by_score", "drop_shared_footage", "snap_to_scene_cuts", "silent_action_islands",
+# The greedy queries need unique clip ids; at this scale one id repeats. They are compared at sf0.01 by
+# check_oracle.py and by brute force in test_operators.py.
+SAMPLE = ["loud_speech_evidence", "merge_used_ranges", "subtract_used", "drop_shared_footage", "snap_to_scene_cuts", "silent_action_islands",
           "local_peaks", "channel_board", "resume_plan", "intake_plan", "rename_results", "adaptive_floor_parts", "reorder_by_reply",
           "language_audit", "group_cues", "align_tokens", "candidate_windows", "throttled_progress", "tile_parts", "reply_rows"]
 
