@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelgrid.llm import decontaminate, divergence, line_dedup, mixing
+from reelgrid.llm import decontaminate, divergence, line_dedup, mixing, set_relations
 from reelgrid.llm.texts import written
 
 
@@ -25,6 +25,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _whole(kept, docs.columns, text="kept_text")
 
 
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return set_relations.one_of_each(docs, width=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark items are cut out; documents made of them go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -35,7 +40,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).where("taken > 0")
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage),
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("jaccard_dedup", jaccard_dedup),
           ("decontamination", decontamination), ("source_mix", source_mix)]
 
 #: The distances of the first stage and the automaton are not expressible in SQL; the tests hold run() to a brute-force version.

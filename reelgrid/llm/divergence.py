@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reelgrid.llm.texts import CONTINUATION, columns, n_points
+from reelgrid.llm.texts import CONTINUATION, columns, n_points, written
 
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "mark", "symbol", "beyond_ascii", "control")
 SYMBOLS = b"#*$%&|<>"
@@ -113,8 +113,7 @@ def language_references(docs: DataFrame, text: str, lang: str, limits: Limits) -
                 body = body or b""
                 words.setdefault(tongue, Counter()).update(body.split())
                 n = class_counts(body)
-                if n.sum():
-                    classes[tongue] = classes.get(tongue, 0) + n / n.sum()
+                classes[tongue] = classes.get(tongue, 0) + n / max(n.sum(), 1)
             for tongue, counts in words.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([tongue] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()),
@@ -122,14 +121,14 @@ def language_references(docs: DataFrame, text: str, lang: str, limits: Limits) -
                     names=["lang", "word", "n", "classes"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(classes.keys(), pa.string()), pa.nulls(len(classes), pa.binary()),
-                 pa.array([0] * len(classes), pa.int64()),
+                 pa.array([sum(words[x].values()) for x in classes], pa.int64()),
                  pa.array([x.tolist() for x in classes.values()], pa.list_(pa.float64()))],
                 names=["lang", "word", "n", "classes"])
 
     parts = docs.select(F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang")).mapInArrow(go, schema)
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    counted = parts.groupBy("lang", "word").agg(F.sum("n").alias("n"), *sums)
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    counted = written(parts.groupBy("lang", "word").agg(F.sum("n").alias("n"), *sums), "language-words")
+    totals = F.broadcast(counted.where("word is null").select("lang", F.col("n").alias("total")))   # one row a language
     common = (counted.alias("c").join(totals.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")))
               .where((F.col("n") >= F.lit(limits.common_share) * F.col("total")) | F.col("word").isNull())
               .select("c.lang", "word", "n", "total", *[f"c{i}" for i in range(len(CLASSES))]))
@@ -138,7 +137,7 @@ def language_references(docs: DataFrame, text: str, lang: str, limits: Limits) -
         entry = out.setdefault(row["lang"], [None, {}, row["total"]])
         if row["word"] is None:
             entry[0] = np.array([row[f"c{i}"] or 0.0 for i in range(len(CLASSES))])
-        elif row["n"]:
+        else:
             entry[1][bytes(row["word"])] = row["n"]
     made = {}
     for tongue, (hist, counts, total) in out.items():
@@ -154,7 +153,7 @@ def distances(text: bytes, words: list[bytes], reference: tuple | None, limits:
         return None, None
     hist, bins, share = reference
     by_class = by_word = None
-    if hist is not None and n_points(text) >= limits.min_chars:
+    if hist is not None and hist.any() and n_points(text) >= limits.min_chars:
         by_class = js_distance(class_counts(text).astype(float), hist)
     if len(words) >= limits.min_words and share.sum() > 0:
         mine = np.zeros(len(share))

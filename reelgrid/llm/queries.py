@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import decontaminate, divergence, licenses, line_dedup, mixing, token_cache, url_cascade
+from reelgrid.llm import ctw, decontaminate, divergence, licenses, line_dedup, mixing, recompression, set_relations, token_cache, url_cascade
 from reelgrid.llm.texts import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_read(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("source")
 
@@ -32,6 +36,10 @@ def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(pages, rules, url_cascade.listed_hosts(pages, url_cascade.BLOCKED_WORDS))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_substrings(_read(spark, sf_dir, "documents"))
+
+
 def op6_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
 
@@ -46,13 +54,17 @@ def op8_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(_read(spark, sf_dir, "documents"))
 
 
+def op9_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_relations.link_components(_read(spark, sf_dir, "documents")).drop("rk")
+
+
 def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_source_mix, op3_benchmark_automaton, op4_url_cascade, op6_line_bitmaps, op7_token_cache, op8_language_divergence,
-    op10_license_templates)}
+    op1_context_tree, op2_source_mix, op3_benchmark_automaton, op4_url_cascade, op5_recompression, op6_line_bitmaps, op7_token_cache,
+    op8_language_divergence, op9_set_relations, op10_license_templates)}
 
 _WINDOWS = r"""
 with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
