@@ -2,9 +2,10 @@
 
 1. Documents with equal sets form a class; everything after that is about classes.
 2. Prefix filter: the shingles of a set are ordered by rarity (a count sketch over all documents, then the hash), and only the
-   first ones are indexed. Two linked sets share COMMON of them (fewer for tiny sets). A short index list gives its
-   pairs of fitting sizes, a long one a star, and pairs with enough common shingles make families: every link is inside a family.
-3. A family is dealt into blocks of about BLOCK_SHINGLES, and each pair of blocks is one task. There the sets are in the order of
+   first ones are indexed. Two linked sets share COMMON of them (fewer for tiny sets). A long index list is a group of its own.
+   Short lists give their pairs of fitting sizes, and pairs with enough common shingles make further groups. Two linked sets share a
+   long list or enough short ones, so every link is inside a group; it is counted in the first group that holds it.
+3. A group is dealt into blocks of about BLOCK_SHINGLES, and each pair of blocks is one task. There the sets are in the order of
    size, an index list is entered at the position from which sizes can fit, and the counts of a set are derived from
    those of the set before it: only the shingles in which the two differ are counted anew.
 4. A task returns link counts and a spanning forest of its links, never its pairs. Components join the forests.
@@ -20,17 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reelgrid.llm.components import components
 from reelgrid.llm.texts import LOWER, columns, row_key, written
 
 #: Index shingles that two linked sets have in common at least (tiny sets: all that they need).
 COMMON = 4
-#: Longest index list of which all pairs are listed; longer ones give a star.
-SHORT_LIST = 8
+#: Longest index list of which all pairs are listed.
+SHORT_LIST = 32
 #: Counters of the sketch; it sets the order only, so its errors cost time and no link.
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 SKETCH_PARTS = 64
 BLOCK_SHINGLES = 1_000_000
 
@@ -107,7 +108,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[DataFr
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     sums = both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary")
-    sketch = np.zeros(SKETCH, np.int64)
+    sketch = np.zeros(SKETCH, np.int64)   # 32 MB, whatever the input
     for row in sums.collect():
         size = SKETCH // SKETCH_PARTS
         sketch[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["counts"], np.int64)
@@ -144,8 +145,8 @@ def index_rows(docs: DataFrame, text: str, width: int, percent: int, sketch: np.
     return docs.select(F.col(text).cast("binary")).mapInArrow(go, "t long, c long, n long")
 
 
-def family_edges(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b) structs of class keys: pairs that may be linked, and stars of long index lists."""
+def index_lists(index: DataFrame, percent: int, short_list: int = SHORT_LIST) -> DataFrame:
+    """(ac, an, bc, bn): a pair of fitting sizes from a short list; or, with bn null, class a in the long list of shingle bc."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, run, long_, last = None, [], False, None
         out: list[tuple] = []
@@ -155,12 +156,11 @@ def family_edges(index: DataFrame, percent: int) -> DataFrame:
                 for i in range(j):
                     (a, n), (b, m) = run[i], run[j]
                     if 100 * min(n, m) >= percent * max(n, m):
-                        out.append((a, n, b, m, 1))
+                        out.append((a, n, b, m))
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)
-            same = np.zeros(len(t) + 1, bool)
+            same = np.ones(len(t) + 1, bool)           # lists may go on in the next batch
             same[1:-1] = t[1:] == t[:-1]
-            same[0] = same[-1] = True                  # lists may go on in the next batch
             rows = np.flatnonzero(same[:-1] | same[1:])
             cols = [t[rows].tolist()] + [batch.column(i).to_numpy(zero_copy_only=False)[rows].tolist() for i in (1, 2)]
             for tok, c, n in zip(*cols):
@@ -172,12 +172,12 @@ def family_edges(index: DataFrame, percent: int) -> DataFrame:
                     continue
                 last = (c, n)
                 if long_:
-                    out.append((*run[0], c, n, COMMON))
+                    out.append((c, n, tok, None))
                     continue
                 run.append(last)
-                if len(run) > SHORT_LIST:
-                    out += [(*run[0], *x, COMMON) for x in run[1:]]
-                    long_, run = True, run[:1]
+                if len(run) > short_list:
+                    out += [(*x, tok, None) for x in run]
+                    long_, run = True, []
             if out:
                 yield _rows(out)
                 out.clear()
@@ -187,24 +187,39 @@ def family_edges(index: DataFrame, percent: int) -> DataFrame:
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["ac", "an", "bc", "bn", "w"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["ac", "an", "bc", "bn"])
 
-    lists = index.repartition("t").sortWithinPartitions("t", "c", "n").mapInArrow(go, "ac long, an long, bc long, bn long, w long")
+    return index.repartition("t").sortWithinPartitions("t", "c", "n").mapInArrow(go, "ac long, an long, bc long, bn long")
+
+
+def _key(c: str, n: str) -> Column:
+    return F.struct(F.col(c).alias("c"), F.col(n).alias("n"))
+
+
+def pair_edges(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that share enough short lists."""
     need = F.least(F.lit(COMMON), *[F.floor((F.col(x) * percent + 99) / 100) for x in ("an", "bn")])
-    return (lists.groupBy("ac", "an", "bc", "bn").agg(F.sum("w").alias("w")).where(F.col("w") >= need)
-            .select(F.struct(F.col("ac").alias("c"), F.col("an").alias("n")).alias("a"), F.struct(F.col("bc").alias("c"), F.col("bn").alias("n")).alias("b")))
+    return (lists.where("bn is not null").groupBy("ac", "an", "bc", "bn").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= need)
+            .select(_key("ac", "an").alias("a"), _key("bc", "bn").alias("b")))
 
 
 class Links:
     """Links between the sets of two blocks (or inside one), with counts derived from the set before."""
 
-    def __init__(self, keys: list[tuple[int, int]], sets: list[np.ndarray], many: list[int], sides: list[int], percent: int) -> None:
+    def __init__(self, keys: list[tuple[int, int]], sets: list[np.ndarray], many: list[int], sides: list[int], lists: list[list[int]],
+                 here: int | None, percent: int) -> None:
         order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i]))
         self.keys, self.sets = [keys[i] for i in order], [sets[i] for i in order]
         self.many = np.array([many[i] for i in order])
         self.side = np.array([sides[i] for i in order])
         self.sizes = np.array([len(s) for s in self.sets])
         self.percent = percent
+        # long lists that come before this group: a pair that shares one is counted there
+        earlier = [sorted(t for t in lists[i] or () if here is None or t < here) for i in order]
+        number = {t: k for k, t in enumerate(sorted({t for x in earlier for t in x}))}
+        self.elsewhere = np.zeros((len(self.sets), len(number)), bool)
+        for i, x in enumerate(earlier):
+            self.elsewhere[i, [number[t] for t in x]] = True
         tokens = np.concatenate(self.sets)
         owner = np.repeat(np.arange(len(self.sets)), self.sizes)
         by_token = np.argsort(tokens, kind="stable")   # owners of a list stay in the order of size
@@ -249,9 +264,13 @@ class Links:
             hit = 100 * c >= self.percent * union
             if cross:
                 hit &= self.side[i + 1:end] != self.side[i]
-            for j in (np.flatnonzero(hit) + i + 1).tolist():
-                degree[i] += self.many[j]
-                degree[j] += self.many[i]
+            partners = np.flatnonzero(hit) + i + 1
+            if not len(partners):
+                continue
+            new_here = partners[~(self.elsewhere[partners] & self.elsewhere[i]).any(axis=1)]
+            degree[i] += self.many[new_here].sum()
+            degree[new_here] += self.many[i]
+            for j in partners.tolist():
                 a, b = root(i), root(j)
                 if a != b:
                     parent[a] = b
@@ -269,20 +288,21 @@ def verified(docs: DataFrame, text_rows: DataFrame, width: int, percent: int) ->
             keys = list(group)
             if len(keys) < 2:
                 return []
-            (_, i, j) = at
-            links = Links(keys, [group[k][0] for k in keys], [group[k][1] for k in keys], [group[k][2] for k in keys], percent)
+            (root, i, j) = at
+            here = root[0] if root[1] is None else None
+            links = Links(keys, *([group[k][x] for k in keys] for x in range(4)), here, percent)
             degree, edges = links.run(cross=i != j)
             return ([(*links.keys[x], None, None, int(d)) for x, d in enumerate(degree.tolist()) if d]
                     + [(*links.keys[x], *links.keys[y], None) for x, y in edges])
         for batch in batches:
             out: list[tuple] = []
-            for root, i, j, c, n, many, side, body in zip(*columns(batch, "root", "i", "j", "c", "n", "many", "side", "text")):
-                place = (tuple(root.values()), i, j)
+            for root, i, j, c, n, many, side, lists, body in zip(*columns(batch, "root", "i", "j", "c", "n", "many", "side", "lists", "text")):
+                place = ((root["c"], root["n"]), i, j)
                 if place != at:
                     out += decide()
                     at, group = place, {}
                 if (c, n) not in group:
-                    group[(c, n)] = (shingles(body), many, side)
+                    group[(c, n)] = (shingles(body), many, side, lists)
             if out:
                 yield _rows(out)
         out = decide()
@@ -304,27 +324,31 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     return keyed.join(stay, "__rk", "left_semi").select(*docs.columns)
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85,
+                    short_list: int = SHORT_LIST, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, rk: one row a document."""
     rows, sketch = classes(docs, doc_id, text, width)
-    edges = family_edges(index_rows(docs, text, width, percent, sketch), percent)
-    family = components(edges).withColumnRenamed("node", "k")
+    lists = written(index_lists(index_rows(docs, text, width, percent, sketch), percent, short_list), "jaccard-lists")
+    short = components(pair_edges(lists, percent)).select(F.col("node").alias("k"), "root")
+    long_ = lists.where("bn is null").select(_key("ac", "an").alias("k"), F.struct(F.col("bc").alias("c"), F.lit(None).cast("long").alias("n")).alias("root"))
+    held = long_.groupBy("k").agg(F.collect_list("root.c").alias("lists"))
     keyed = rows.select("doc_id", "rk", F.struct("c", "n").alias("k"))
     sized = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("low"), F.min("rk").alias("rk"))
-    members = written(sized.join(family, "k"), "jaccard-members")
-    n_blocks = members.groupBy("root").agg(F.ceil(F.sum("k.n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = written(sized.join(short.unionByName(long_), "k").join(held, "k", "left"), "jaccard-members")
+    n_blocks = members.groupBy("root").agg(F.ceil(F.sum("k.n") / F.lit(block_shingles)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("k.c", "k.n"), F.col("blocks")).cast("int")
-    dealt = members.join(n_blocks, "root").withColumn("side", block)
+    n_blocks = n_blocks.select(F.col("root").alias("of"), "blocks")
+    dealt = members.join(n_blocks, F.col("root").eqNullSafe(F.col("of"))).withColumn("side", block)
     # every pair of blocks, the block with itself included: the smaller number first
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (dealt.withColumn("o", other).select("root", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side",
-                                                  F.col("k.c").alias("c"), F.col("k.n").alias("n"), "many", "rk"))
+                                                  F.col("k.c").alias("c"), F.col("k.n").alias("n"), "many", "lists", "rk"))
     texts = docs.select(row_key(F.col(doc_id), F.col(text)).alias("rk"), F.col(text).cast("binary").alias("text"))
     decided = written(verified(docs, texts.join(placed, "rk"), width, percent), "jaccard-links")
     a, b = F.struct(F.col("ac").alias("c"), F.col("an").alias("n")), F.struct(F.col("bc").alias("c"), F.col("bn").alias("n"))
     linked = components(decided.where("links is null").select(a.alias("a"), b.alias("b"))).withColumnRenamed("node", "k")
     degree = decided.where("links is not null").groupBy(a.alias("k")).agg(F.sum("links").alias("links"))
-    lows = linked.join(members.select("k", "low"), "k").groupBy("root").agg(F.min("low").alias("least"))
+    lows = linked.join(members.select("k", "low").distinct(), "k").groupBy("root").agg(F.min("low").alias("least"))
     answer = (sized.join(linked, "k", "left").join(lows, "root", "left").join(degree, "k", "left")
               .select("k", F.coalesce("least", "low").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links")))
     empty = F.col("k.n") == 0
