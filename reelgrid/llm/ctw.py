@@ -31,9 +31,9 @@ from pyspark.sql.window import Window as W
 
 from reelgrid.llm.texts import LOWER, columns, row_key, written
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 32 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _HALF = math.log(0.5)
 #: log Gamma(n + 1/2) and log Gamma(n + 1) at whole n below 256.
@@ -83,21 +83,28 @@ def _slices(texts: list[bytes]) -> Iterator[list[int]]:
 
 def block_counts(texts: list[bytes], train: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
     """(grams, their training counts, words, their training counts), grams and words distinct and sorted."""
-    keys, counts = [], []
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
+    words: Counter = Counter()
+
+    def merge() -> None:
+        all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts[:] = [np.bincount(at, weights=np.concatenate(counts), minlength=len(all_keys))]
+        keys[:] = [all_keys]
     for part in _slices(texts):
-        k, sizes = gram_keys([texts[i] for i in part], depth)
+        some = [texts[i].translate(LOWER) for i in part]
+        k, sizes = gram_keys(some, depth)
         coded = pa.array(k).dictionary_encode()
         keys.append(coded.dictionary.to_numpy())
         use = np.repeat([train[i] for i in part], sizes)
         counts.append(np.bincount(coded.indices.to_numpy()[use], minlength=len(keys[-1])))
-    grams, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate(counts), minlength=len(grams)).astype(np.int64)
-    words: Counter = Counter()
-    for t, yes in zip(texts, train):
-        found = t.split()
-        words.update(found if yes else dict.fromkeys(found, 0))
+        if len(keys) > 8:
+            merge()
+        for t, i in zip(some, part):
+            found = t.split()
+            words.update(found if train[i] else dict.fromkeys(found, 0))
+    merge()
     order = sorted(words)
-    return grams, n, order, [words[w] for w in order]
+    return keys[0], counts[0].astype(np.int64), order, [words[w] for w in order]
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -238,7 +245,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
                       F.pmod(row_key(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int").alias("block"))
 
     def texts_of(table: pa.Table) -> tuple[list[bytes], list[bool]]:
-        return [(x or b"").translate(LOWER) for x in table.column("text").to_pylist()], table.column("held_out").to_pylist()
+        return [x or b"" for x in table.column("text").to_pylist()], table.column("held_out").to_pylist()
 
     def count(table: pa.Table) -> pa.Table:
         texts, out = texts_of(table)
@@ -251,38 +258,38 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
 
     counted = written(src.groupBy("block").applyInArrow(count, "block int, key long, word binary, idx int, n long"), "ctw-counts")
     grams = counted.where("key is not null").select("block", "key", "n")
-    lengths = grams.join(train(grams.select("key", "n"), depth), "key").select(
-        "block", "key", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("first"), "log10")
+    # one narrow row for each answer: k is the gram, or -1 - 2 * word number - (the word's first block), v its log10 or count
+    lengths = grams.join(train(grams.select("key", "n"), depth), "key").select("block", F.col("key").alias("k"), F.col("log10").alias("v"))
     same = W.partitionBy("word")
-    known = counted.where("word is not null").select(
-        "block", F.lit(None).cast("long").alias("key"), "idx", F.sum("n").over(same).alias("n"),
-        (F.min("block").over(same) == F.col("block")).alias("first"), F.lit(None).cast("double").alias("log10"))
+    first = (F.min("block").over(same) == F.col("block")).cast("long")
+    known = counted.where("word is not null").select("block", (-1 - 2 * F.col("idx").cast("long") - first).alias("k"),
+                                                     F.sum("n").over(same).cast("double").alias("v"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def rate(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts, out = texts_of(table)
-        is_word = answers.column("key").is_null()
-        w, g = answers.filter(is_word), answers.filter(pc.invert(is_word))
-        counts = np.zeros(len(w), np.int64)
-        counts[w.column("idx").to_numpy()] = w.column("n").to_numpy()
-        fresh = int((w.column("first").to_numpy() & (w.column("n").to_numpy() > 0)).sum())
-        keys, logs = g.column("key").to_numpy(), g.column("log10").to_numpy()
+        k, v = answers.column("k").to_numpy(), answers.column("v").to_numpy()
+        words = -1 - k[k < 0]
+        counts = np.zeros(len(words), np.int64)
+        counts[words >> 1] = v[k < 0]
+        fresh = int(((words & 1 == 1) & (v[k < 0] > 0)).sum())
+        keys, logs = k[k >= 0], v[k >= 0]
         order = np.argsort(keys)
         keys, logs = pa.array(keys[order]), logs[order]
         vocabulary: set[bytes] = set()
         for t in texts:
-            vocabulary.update(t.split())
+            vocabulary.update(t.translate(LOWER).split())
         c = dict(zip(sorted(vocabulary), counts.tolist()))
         part, n_tokens, n_known = [], [], []
         logged = {n: math.log10(n + 0.1) for n in set(counts.tolist())}
         for t in texts:
-            found = [c[x] for x in t.split()]
+            found = [c[x] for x in t.translate(LOWER).split()]
             part.append(math.fsum(logged[n] for n in found))
             n_tokens.append(len(found) + 1)
             n_known.append(len(found) - found.count(0))
         scores = np.zeros(len(texts))
         for some in _slices(texts):
-            k, sizes = gram_keys([texts[i] for i in some], depth)
+            k, sizes = gram_keys([texts[i].translate(LOWER) for i in some], depth)
             at = pc.index_in(pa.array(k), value_set=keys).to_numpy()
             scores[some] = np.add.reduceat(logs[at], np.cumsum(np.append(0, sizes[:-1])))
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
