@@ -112,8 +112,8 @@ def needed_texts(pattern: str) -> list[str]:
 
 def _phrase(norm: Column, patterns: list[str]) -> Column:
     """Whether any pattern occurs; cheap text tests decide first, so most texts never meet the regex."""
-    needed = F.array(*[F.lit(x) for x in sorted({x for p in patterns for x in needed_texts(p)})])
-    return F.exists(needed, lambda x: F.contains(norm, x)) & norm.rlike(_any(patterns))
+    needed = "|".join(f"\\Q{x}\\E" for x in sorted({x for p in patterns for x in needed_texts(p)}))
+    return norm.rlike(needed) & norm.rlike(_any(patterns))
 
 
 def is_cta(norm: Column) -> Column:

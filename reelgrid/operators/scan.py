@@ -9,6 +9,7 @@ chunks is joined back. Only the summaries (one row per chunk) meet in one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
@@ -83,8 +84,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
             totals.append(pick(run.value, seen).alias(f"__t_{name}"))
             carries.append(F.last(total, True).over(earlier).alias(f"__c_{name}"))
 
-    carry = base.groupBy(*group).agg(*totals).select(*group, *carries)
-    joined = base.select("*", *local).join(carry, group)
+    # null keys and null times are groups like any other
+    carry = base.groupBy(*group).agg(*totals).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], *carries)
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    joined = base.select("*", *local).join(carry, reduce(Column.__and__, same))
     out = [F.col(c) for c in df.columns]
     for name, run in runs.items():
         here, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")

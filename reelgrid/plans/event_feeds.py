@@ -47,10 +47,10 @@ def throttled_progress(spark, folder):
     return kept.filter("keep").select("channel_id", "job_id")
 
 
-@query(with_tables("""select channel_id, ledger_id from (select channel_id, ledger_id, channel_id % 4 as daily, row_number() over (partition by channel_id, taken_at // (86400 * 30) order by taken_at, ledger_id) as rn from ledger)
+@query(with_tables("""select channel_id, ledger_id from (select channel_id, ledger_id, channel_id % 4 as daily, row_number() over (partition by channel_id, taken_at // 86400 order by taken_at, ledger_id) as rn from ledger)
     where daily < 2 or rn <= daily""", "ledger"))
 def daily_quota(spark, folder):
-    led = ledger(spark, folder).select("channel_id", "ledger_id", "taken_at", F.floor(F.col("taken_at") / (86_400 * 30)).alias("day"))
+    led = ledger(spark, folder).select("channel_id", "ledger_id", "taken_at", local_day(F.col("taken_at")).alias("day"))
     turns = scan(led, ["channel_id", "day"], ["taken_at", "ledger_id"], F.floor(F.col("taken_at") / 86_400), rn=row_number())
     daily = F.col("channel_id") % 4
     return turns.filter((daily < 2) | (F.col("rn") <= daily)).select("channel_id", "ledger_id")

@@ -185,10 +185,10 @@ def spaced_labels(spark, folder):
 
 
 @query(with_tables("""select video_id, coalesce(bool_or(prev > s_ms), false) as overlaps from (
-    select video_id, s_ms, lag(e_ms) over (partition by video_id order by s_ms, e_ms, clip_id) as prev from segments where order_id % 5 = 0)
+    select video_id, s_ms, lag(e_ms) over (partition by video_id order by s_ms, e_ms, clip_id) as prev from segments)
     group by video_id""", "segments"))
 def any_overlap(spark, folder):
-    t = segments(spark, folder).filter("order_id % 5 = 0")
+    t = segments(spark, folder)
     return iv.has_overlap(t, KEY, "s_ms", "e_ms", ["s_ms", "e_ms", "clip_id"], CHUNK)
 
 
@@ -292,11 +292,11 @@ def best_overlap_segment(spark, folder):
 
 
 @query(with_tables("""select a.clip_id, b.clip_id as window_id from segments a join segments b on a.video_id = b.video_id
-    where a.status = 'suggested' and b.status = 'exported' and b.order_id % 4 = 0
+    where a.status = 'suggested' and b.status = 'exported'
     and b.s_ms - 10 <= (a.s_ms + a.e_ms) // 2 and (a.s_ms + a.e_ms) // 2 <= b.e_ms + 10""", "segments"))
 def assign_by_midpoint(spark, folder):
     t = segments(spark, folder)
     mids = _status(t, "suggested").select("video_id", "clip_id", F.expr("(s_ms + e_ms) div 2").alias("mid"))
-    wins = _status(t, "exported").filter("order_id % 4 = 0").select(
+    wins = _status(t, "exported").select(
         "video_id", F.col("clip_id").alias("window_id"), "s_ms", "e_ms")
     return jn.points_in_spans(mids, wins, KEY, "mid", ("s_ms", "e_ms"), BUCKET, "both", 10).select("clip_id", "window_id")

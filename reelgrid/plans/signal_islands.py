@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelgrid.functions import text as tx
 from reelgrid.operators import joins as jn, signals as sg
@@ -93,11 +94,12 @@ _MED = {"med": "select video_id, quantile_cont(rms, 0.5) as mr, quantile_cont(mo
       from signal s join med using (video_id))"""}
 
 
-@query(with_tables("select video_id, sec, round(score, 4) as score, rank from (select *, row_number() over (partition by video_id order by round(score, 4) desc, sec) as rank from sur) where rank <= 10",
+@query(with_tables("select video_id, sec, round(score, 4) as score, rank from (select *, row_number() over (partition by video_id order by round(score, 4) desc, sec) as rank from sur)",
                    "signal", more=_MED))
 def surprise_rank(spark, folder):
     scored = sg.surprise(signal(spark, folder), KEY, CHUNK).select(*KEY, "sec", F.round("score", 4).alias("score"))
-    return top_per_key(scored, KEY, [F.col("score").desc(), F.col("sec")], 10)
+    order = Window.partitionBy(*KEY).orderBy(F.col("score").desc(), "sec")
+    return scored.withColumn("rank", F.row_number().over(order))
 
 
 @query(with_tables("""select video_id, case when n < 3 or mr <= 0 then 0 else round(xr / mr, 4) end as rms_range,
@@ -155,9 +157,9 @@ def scene_scores(spark, folder):
 
 @query(with_tables("""select video_id, idx, score, round(cast(case when n = 0 then score else 0.5 * score + 0.5 * round(10.0 * acts / n, 1) end as double), 1) as rescored from (
     select w.video_id, w.idx, w.idx * 7 % 100 as score, count(s.sec) as n, sum(s.motion % 11) as acts from sentences w
-    left join signal s on s.video_id = w.video_id and s.sec % 4 = 0 and w.start_ms <= s.sec * 1000 and s.sec * 1000 <= w.end_ms group by all)""", "signal", "sentences"))
+    left join signal s on s.video_id = w.video_id and w.start_ms <= s.sec * 1000 and s.sec * 1000 <= w.end_ms group by all)""", "signal", "sentences"))
 def visual_rescore(spark, folder):
-    frames = signal(spark, folder).filter("sec % 4 = 0").select(*KEY, (F.col("sec") * 1000).alias("t_ms"), (F.col("motion") % 11).alias("act"))
+    frames = signal(spark, folder).select(*KEY, (F.col("sec") * 1000).alias("t_ms"), (F.col("motion") % 11).alias("act"))
     clips = sentences(spark, folder).select(*KEY, "idx", "start_ms", "end_ms", (F.col("idx") * 7 % 100).alias("score"))
     seen = (jn.points_in_spans(frames, clips, KEY, "t_ms", ("start_ms", "end_ms"), 60_000, "both")
             .groupBy(*KEY, "idx").agg(F.round(10.0 * F.sum("act") / F.count("*"), 1).alias("v")))

@@ -102,13 +102,11 @@ def vietnamese_marks(spark, folder):
 _STOPCAP = ",".join("'" + w + "'" for w in fv.CAPTION_STOP)
 
 
-@query(with_tables(f"""select video_id, word, n from (select video_id, word, n, row_number() over (partition by video_id order by n desc, word) as rn from (
-    select video_id, lower(regexp_replace(trim(word), '^[.,!?;:"''…-]+|[.,!?;:"''…-]+$', '', 'g')) as word, count(*) as n from words group by all) where length(word) >= 2 and word not in ({_STOPCAP})) where rn <= 5""", "words"))
+@query(with_tables(f"""select video_id, word, n from (
+    select video_id, lower(regexp_replace(trim(word), '^[.,!?;:"''…-]+|[.,!?;:"''…-]+$', '', 'g')) as word, count(*) as n from words group by all) where length(word) >= 2 and word not in ({_STOPCAP})""", "words"))
 def keyword_frequency(spark, folder):
-    from reelgrid.operators.intervals import top_per_key
     bare = F.lower(F.regexp_replace(F.trim("word"), r"^[.,!?;:\"'…-]+|[.,!?;:\"'…-]+$", ""))
-    n = (words(spark, folder).filter(tx.is_keyword(F.col("word"))).groupBy("video_id", bare.alias("word")).agg(F.count("*").alias("n")))
-    return top_per_key(n, KEY, [F.desc("n"), F.col("word")], 5).select("video_id", "word", "n")
+    return (words(spark, folder).filter(tx.is_keyword(F.col("word"))).groupBy("video_id", bare.alias("word")).agg(F.count("*").alias("n")))
 
 
 @query(f"""select item_id, doc_id from (select item_id, {NORM('text')} as q from benchmark) b join (select doc_id, {NORM('text')} as body from documents) d
@@ -133,9 +131,9 @@ def _grams(c: str) -> str:
 
 
 _RETELL = {
-    "nar": f"""select s.video_id, s.idx as part, s.start_ms, s.end_ms, {NORM("substr(o.text, 1, 160)")} as norm from sentences s
+    "nar": f"""select s.video_id, s.idx as part, s.start_ms, s.end_ms, {NORM("o.text")} as norm from sentences s
        join sentences o on o.video_id = case when s.idx % 2 = 0 then s.video_id else s.video_id + 1 end and o.idx = s.idx
-       where not regexp_matches(substr(o.text, 1, 160), '[{SPACELESS}]')""",
+       where not regexp_matches(o.text, '[{SPACELESS}]')""",
     "sp": f"select video_id, idx, start_ms, end_ms, {NORM('text')} as norm from sentences",
     "said": """select n.video_id, n.part, n.norm as own, k.pad, string_agg(p.norm, ' ' order by p.start_ms, p.idx) as said from nar n, (values (0), (6000)) k(pad), sp p
        where p.video_id = n.video_id and p.end_ms > n.start_ms - k.pad and p.start_ms < n.end_ms + k.pad and p.norm <> '' group by all""",
@@ -148,7 +146,7 @@ _RETELL = {
     or list_has_any(ga, gb)) as retold from gr group by all""", "sentences", more=_RETELL))
 def retold_narration(spark, folder):
     s = sentences(spark, folder).select("video_id", "idx", "start_ms", "end_ms", "text")
-    other = s.select(F.col("video_id").alias("src"), "idx", F.substring("text", 1, 160).alias("said"))
+    other = s.select(F.col("video_id").alias("src"), "idx", F.col("text").alias("said"))
     src = F.when(F.col("idx") % 2 == 0, F.col("video_id")).otherwise(F.col("video_id") + 1)
     nar = (s.drop("text").withColumn("src", src).join(other, ["src", "idx"])
            .select("video_id", F.col("idx").alias("part"), "start_ms", "end_ms", F.col("said").alias("text")))

@@ -232,3 +232,10 @@ def test_every_phrase_pattern_has_a_needed_text():
     assert tx.required_literal(r"(?:hit|ring|tap)\s+th(?:at|e)\s+bell") == "bell"
     assert tx.required_literal(r"ご?視聴(?:ありがとう)") == "視聴"
     assert tx.required_literal(r"colou?r") == "colo"
+
+
+def test_scan_keeps_null_keys_and_times(spark):
+    from reelgrid.operators.scan import row_number, scan, time_chunk
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, 5), (None, None)], "k string, t int")
+    got = scan(rows, ["k"], ["t"], time_chunk("t", 10), rn=row_number()).collect()
+    assert sorted((r["k"] or "", r["t"] or 0, r["rn"]) for r in got) == [("", 0, 1), ("", 5, 2), ("a", 0, 1), ("a", 1, 2)]
