@@ -298,3 +298,6 @@ LANGUAGE_NAMES = {
     "tiếng ba lan": "pl", "lao": "lo", "tiếng lào": "lo", "khmer": "km", "tiếng khmer": "km",
     "burmese": "my", "myanmar": "my", "tiếng miến điện": "my",
 }
+
+# Fixed value: what the note of an expired claim is given at its end.
+CLAIM_EXPIRED = " [gián đoạn - app tắt giữa chừng?]"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reelgrid.functions.fixed_values import CLAIM_EXPIRED
 from reelgrid.operators.scan import running_sum, scan
 
 
@@ -44,11 +45,12 @@ def resume_plan(ledger: DataFrame, jobs: DataFrame, listing_names: DataFrame) ->
 
 
 def expire_claims(ledger: DataFrame, in_use: DataFrame, now: int, hours: int = 12) -> DataFrame:
-    """Taken rows older than `hours` and not in use become errors."""
+    """Taken rows older than `hours` and not in use become errors, done now; the note says so after what it said before."""
     busy = in_use.select("video_id").distinct().withColumn("__busy", F.lit(True))
     stale = (F.col("status") == "taken") & (F.col("taken_at") < now - hours * 3600) & F.col("__busy").isNull()
     return (ledger.join(busy, "video_id", "left")
-            .withColumn("note", F.when(stale, "claim expired").otherwise(F.col("note")))
+            .withColumn("note", F.when(stale, F.concat(F.coalesce("note", F.lit("")), F.lit(CLAIM_EXPIRED))).otherwise(F.col("note")))
+            .withColumn("done_at", F.when(stale, F.lit(now).cast("long")).otherwise(F.col("done_at")))
             .withColumn("status", F.when(stale, "error").otherwise(F.col("status"))).drop("__busy"))
 
 

@@ -48,10 +48,21 @@ def adaptive_floor(clips: DataFrame, keys: list[str], score: str, tie: str, perc
     return free.unionByName(good).unionByName(best).drop("__top", "__best")
 
 
-def panel_score(votes: DataFrame, keys: list[str]) -> DataFrame:
-    """Median, vote count and first given reason of each clip's judges."""
+def panel_score(votes: DataFrame, keys: list[str], old: DataFrame | None = None) -> DataFrame:
+    """Median to one decimal, vote count and first given reason of each clip's judges.
+
+    With `old` (keys, old_score): one row for each of its clips; one that nobody judged keeps its old score.
+    """
+    judged = _judged(votes, keys)
+    if old is None:
+        return judged
+    met = old.select(*keys, "old_score").join(judged, keys, "left")
+    return met.select(*keys, F.coalesce("score", "old_score").alias("score"), F.coalesce("votes", F.lit(0)).alias("votes"), "reason")
+
+
+def _judged(votes: DataFrame, keys: list[str]) -> DataFrame:
     return votes.groupBy(*keys).agg(
-        F.expr("percentile(score, 0.5)").alias("score"), F.count("score").alias("votes"),
+        F.round(F.expr("percentile(score, 0.5)"), 1).alias("score"), F.count("score").alias("votes"),
         F.min_by("reason", F.when(F.trim("reason") != "", F.col("judge"))).alias("reason"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from reelgrid.operators.folds import fold_runs
 from reelgrid.operators.intervals import top_per_key
 from reelgrid.operators.joins import nearest_edges, overlap_join, points_in_spans
-from reelgrid.operators.scan import running_max, scan, time_chunk
+from reelgrid.operators.scan import next_value, running_max, running_sum, scan, time_chunk
 from reelgrid.session import checkpointed
 
 
@@ -171,6 +171,36 @@ def enforce_length(clips: DataFrame, edges: DataFrame, keys: list[str], clip: st
     return down.select(*keys, clip, "first_s", "last_e", "total", (F.col("total") < low - 2000).alias("too_short"))
 
 
+def _look_ahead(clips: DataFrame, sentences: DataFrame, keys: list[str], clip: str, target: int, bucket: int,
+                gap: int, hard_gap: int) -> DataFrame:
+    """keys, clip, last_e, total, __from, __to: where the sentences end that an extension can need.
+
+    It cannot pass a pause over `hard_gap`, nor the sentence at which even the least that it can have gained (a sum
+    over all sentences, less the 50 ms by which ends may fall behind at each pause) fills the target.
+    """
+    heard = scan(sentences.select(*keys, "idx", "start_ms", "end_ms"), keys, ["start_ms", "idx"], time_chunk("start_ms", bucket),
+                 last=running_max(F.col("end_ms"), False))
+    pause = F.col("start_ms") - F.col("last")
+    gain = F.greatest(F.lit(0), F.when(pause <= gap - 50, F.col("end_ms") - F.col("last")).otherwise(F.col("end_ms") - F.col("start_ms") - 50))
+    said = heard.select(*keys, F.col("start_ms").alias("at"), F.lit(0).alias("kind"), F.col("idx").cast("long").alias("id"),
+                        gain.cast("long").alias("gain"), F.when(pause > hard_gap, F.col("start_ms")).alias("stop"), F.col("start_ms").alias("start"),
+                        F.lit(None).cast("long").alias("last_e"), F.lit(None).cast("long").alias("total"))
+    asked = clips.select(*keys, F.col("last_e").alias("at"), F.lit(1).alias("kind"), F.col(clip).cast("long").alias("id"),
+                         F.col("last_e").cast("long").alias("last_e"), F.col("total").cast("long").alias("total"))
+    summed = scan(said.unionByName(asked, allowMissingColumns=True), keys, ["at", "kind", "id"], time_chunk("at", bucket),
+                  sum=running_sum(F.coalesce("gain", F.lit(0).cast("long"))), wall=next_value(F.col("stop")))
+    # the second order is that of the sums: a clip stands before the sentence that fills its target for certain
+    full = F.col("sum") + target - F.col("total") + gap + 100
+    by_sum = summed.withColumns({"side": 1 - F.col("kind"), "level": F.when(F.col("kind") == 1, full).otherwise(F.col("sum")),
+                                 "place": F.coalesce("start", F.lit(-1))})
+    met = scan(by_sum, keys, ["level", "side", "place", "id"], time_chunk("level", bucket), full=next_value(F.col("start"))).filter("kind = 1")
+    wall = F.when(F.col("wall") - F.col("last_e") > hard_gap, F.col("wall"))
+    ends = sentences.groupBy(*keys).agg(F.max("start_ms").alias("__end"))
+    to = F.least(wall, F.col("full"), F.col("__end"))
+    return met.join(ends, keys).select(*keys, F.col("id").alias(clip), "last_e", "total", F.col("last_e").alias("__from"),
+                                       (F.greatest(to, F.col("last_e")) + 1).alias("__to"))
+
+
 def extend_to_target(clips: DataFrame, sentences: DataFrame, keys: list[str], clip: str, target: int, most: int,
                      bucket: int, gap: int = 6000, hard_gap: int = 8000) -> DataFrame:
     """Sentences appended to a clip until its target: rows (clip, start, end) of what is added.
@@ -179,8 +209,7 @@ def extend_to_target(clips: DataFrame, sentences: DataFrame, keys: list[str], cl
     included, a longer one starts a new segment.
     """
     open_ = clips.filter(F.col("total") < target)
-    reach = target + hard_gap + gap
-    look = open_.select(*keys, clip, "last_e", "total", F.col("last_e").alias("__from"), (F.col("last_e") + reach * 3).alias("__to"))
+    look = _look_ahead(open_, sentences, keys, clip, target, bucket, gap, hard_gap)
     nxt = overlap_join(look, sentences.select(*keys, "idx", "start_ms", "end_ms", "junk"), keys, ("__from", "__to"),
                        ("start_ms", "end_ms"), bucket).filter(F.col("end_ms") > F.col("last_e") + 50)
 

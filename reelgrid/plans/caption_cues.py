@@ -104,7 +104,8 @@ def phrase_groups(spark, folder):
 
 
 _ALIGN = {"sc": "select video_id, idx, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') as w from sentences",
-          "he": "select video_id, word_id // 100000 as idx, row_number() over (partition by video_id, word_id // 100000 order by word_id) - 1 as pos, start_ms + (word_id * 37 % 5) * 100 as a, end_ms as b from words where word_id % 5 <> 0",
+          "he": """select video_id, idx, row_number() over (partition by video_id, idx order by part) - 1 as pos, a, b from (
+              select video_id, word_id // 100000 as idx, word_id - case when word_id % 5 = 4 then 1 else 0 end as part, min(start_ms + (word_id * 37 % 5) * 100) as a, max(end_ms) as b from words group by 1, 2, 3)""",
           "kk": "select video_id, idx, count(*) as k from he group by all",
           "tk": "select video_id, idx, k, len(w) as m, unnest(w) as token, generate_subscripts(w, 1) - 1 as i from sc join kk using (video_id, idx) where abs(len(w) - k) * 100 <= greatest(len(w), k) * 40",
           "tm": "select t.video_id, t.idx, t.i, t.token, x.a as a0, y.b as b0 from (select *, least(k - 1, i * k // m) as lo, least(k - 1, greatest(least(k - 1, i * k // m), (i + 1) * k // m - 1)) as hi from tk) t join he x on x.video_id = t.video_id and x.idx = t.idx and x.pos = t.lo join he y on y.video_id = t.video_id and y.idx = t.idx and y.pos = t.hi"}
@@ -113,9 +114,11 @@ _ALIGN = {"sc": "select video_id, idx, list_filter(regexp_split_to_array(trim(te
 @query(with_tables("select video_id, idx, i, token, a, greatest(a, b0) as b from (select *, max(a0) over (partition by video_id, idx order by i) as a from tm)", "sentences", "words", more=_ALIGN))
 def align_tokens(spark, folder):
     from reelgrid.operators.scan import row_number, scan
-    w = words(spark, folder).filter("word_id % 5 <> 0").select(
-        "video_id", F.floor(F.col("word_id") / 100_000).alias("idx"), "word_id", (F.col("start_ms") + (F.col("word_id") * 37 % 5) * 100).alias("a"), F.col("end_ms").alias("b"))
-    heard = (scan(w, ["video_id", "idx"], ["word_id"], F.floor(F.col("word_id") / 1000), n=row_number())
+    # every fifth word is heard as one with the word before it, so that counts differ
+    part = F.col("word_id") - F.when(F.col("word_id") % 5 == 4, 1).otherwise(0)
+    w = words(spark, folder).groupBy("video_id", F.floor(F.col("word_id") / 100_000).alias("idx"), part.alias("part")).agg(
+        F.min(F.col("start_ms") + (F.col("word_id") * 37 % 5) * 100).alias("a"), F.max("end_ms").alias("b"))
+    heard = (scan(w, ["video_id", "idx"], ["part"], F.floor(F.col("part") / 1000), n=row_number())
              .select("video_id", "idx", (F.col("n") - 1).alias("pos"), "a", "b"))
     return cu.align_tokens(sentences(spark, folder), heard, ["video_id", "idx"])
 

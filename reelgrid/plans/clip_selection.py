@@ -42,12 +42,13 @@ def adaptive_floor_parts(spark, folder):
     return sel.adaptive_floor(_clips(spark, folder), KEY, "score", "clip_id", parts=3).select("clip_id")
 
 
-@query(with_tables("""select order_id, quantile_cont(score, 0.5) as score, count(score) as votes, arg_min(reason, case when trim(reason) <> '' then clip_id end) as reason
-    from (select order_id, clip_id, case when score % 5 > 0 then score end as score, case when score % 2 = 0 then 'r' || score else ' ' end as reason from segments) group by 1""", "segments"))
+@query(with_tables("""select order_id, coalesce(round(quantile_cont(score, 0.5), 1), max(old)) as score, count(score) as votes, arg_min(reason, case when trim(reason) <> '' then clip_id end) as reason
+    from (select order_id, clip_id, score as old, case when score % 5 > 0 then score end as score, case when score % 2 = 0 then 'r' || score else ' ' end as reason from segments) group by 1""", "segments"))
 def panel_scores(spark, folder):
     v = _clips(spark, folder).select("order_id", F.col("clip_id").alias("judge"), F.when(F.col("score") % 5 > 0, F.col("score")).alias("score"),
                                      F.when(F.col("score") % 2 == 0, F.concat(F.lit("r"), F.col("score").cast("string"))).otherwise(" ").alias("reason"))
-    return sel.panel_score(v, KEY)
+    old = _clips(spark, folder).groupBy("order_id").agg(F.max("score").cast("double").alias("old_score"))
+    return sel.panel_score(v, KEY, old)
 
 
 @query(with_tables("select clip_id, round(cast(case when llm is null then 0.6 * a + 0.4 * s else 0.5 * llm + 0.3 * a + 0.2 * s end as double), 4) as score from (select clip_id, score * 1.0 as a, (score * 7 % 101) * 1.0 as s, case when score % 4 > 0 then (score * 3 % 101) * 1.0 end as llm from segments)", "segments"))

@@ -89,13 +89,10 @@ def select_highlights_heuristic(spark, folder):
         "video_id", "part", "anchor", "first_s", "last_e", "score", "too_short")
 
 
-_EXT = {"cl": "select video_id, idx as clip_id, end_ms as last_e, end_ms - start_ms as total from sentences where idx % 3 = 0 and end_ms - start_ms < 30000"}
-
-
 @query()
 def extend_to_target(spark, folder):
     s = sentences(spark, folder)
-    clips = s.filter("idx % 3 = 0 and end_ms - start_ms < 30000").select("video_id", F.col("idx").alias("clip_id"), F.col("end_ms").alias("last_e"), (F.col("end_ms") - F.col("start_ms")).alias("total"))
+    clips = s.filter("end_ms - start_ms < 30000").select("video_id", F.col("idx").alias("clip_id"), F.col("end_ms").alias("last_e"), (F.col("end_ms") - F.col("start_ms")).alias("total"))
     return sh.extend_to_target(clips, tr.scored_sentences(s, KEY), KEY, "clip_id", 30_000, 60_000, BUCKET)
 
 
@@ -104,7 +101,7 @@ def trim_junk_edges(spark, folder):
     from reelgrid.sources.standins import doc_lines
     d = doc_lines(spark, folder)
     marks = tr.scored_sentences(d, KEY)
-    segs = d.filter("idx % 4 = 0").select("video_id", F.col("idx").alias("clip_id"), F.lit(0).alias("seg_idx"), F.col("start_ms").alias("s_ms"), (F.col("start_ms") + 60_000).alias("e_ms"))
+    segs = d.select("video_id", F.col("idx").alias("clip_id"), F.lit(0).alias("seg_idx"), F.col("start_ms").alias("s_ms"), (F.col("start_ms") + 60_000).alias("e_ms"))
     return sh.trim_junk_edges(segs, marks, KEY, "clip_id", BUCKET)
 
 

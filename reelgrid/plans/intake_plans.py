@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions import names
+from reelgrid.functions.fixed_values import CLAIM_EXPIRED
 from reelgrid.operators import ledgers as lg, marts as mt
 from reelgrid.operators.intervals import top_per_key
 from reelgrid.operators.scan import row_number, scan
@@ -94,7 +95,7 @@ def lane_heads(spark, folder):
 
 _NEW = _FILES | {
     "fresh": """select f.* from files f join channels c using (channel_id) where f.state = 'ready' and c.pipe_on and not c.pipe_hidden
-       and not exists (select 1 from ledger l where l.channel_id = f.channel_id and l.file_hash = f.file_hash and l.status in ('taken','done') and l.ledger_id % 3 = 0)"""}
+       and not exists (select 1 from ledger l where l.channel_id = f.channel_id and l.file_hash = f.file_hash and l.status in ('taken','done'))"""}
 
 
 @query(with_tables(f"""select channel_id, file_id, turn from (select f.channel_id, f.file_id, c.daily, coalesce(t.taken_today, 0) as used,
@@ -104,7 +105,7 @@ def intake_plan(spark, folder):
     led = ledger(spark, folder)
     on = channels(spark, folder).filter("pipe_on and not pipe_hidden").select("channel_id", "daily")
     ready = files(spark, folder).filter("state = 'ready'").select("channel_id", "file_id", "file_hash", "mtime").join(on, "channel_id")
-    fresh = lg.seen_before(ready, led.filter("ledger_id % 3 = 0")).filter("old_id is null")
+    fresh = lg.seen_before(ready, led).filter("old_id is null")
     used = mt.intake_today(led, LEDGER_NOW, TZ).select("channel_id", "taken_today")
     turns = scan(fresh.select("channel_id", "file_id", "mtime", "daily"), ["channel_id"], ["mtime", "file_id"],
                  F.floor(F.col("mtime") / (30 * 86_400)), turn=row_number()).join(used, "channel_id", "left")
@@ -155,11 +156,12 @@ def finish_check(spark, folder):
     return rows.select("ledger_id", F.when(ok, "done").otherwise("error").alias("status"), note.alias("note"))
 
 
-@query(with_tables("""select ledger_id, case when stale then 'error' else status end as status, case when stale then 'claim expired' else note end as note from (
+@query(with_tables(f"""select ledger_id, case when stale then 'error' else status end as status, case when stale then coalesce(note, '') || '{CLAIM_EXPIRED}' else note end as note,
+    case when stale then 900000000 else done_at end as done_at from (
     select *, status = 'taken' and taken_at < 900000000 - 43200 and not exists (select 1 from jobs j where j.video_id = ledger.video_id and j.status = 'running') as stale from ledger)""", "ledger", "jobs"))
 def claim_expiry(spark, folder):
     busy = jobs(spark, folder).filter("status = 'running'").select("video_id")
-    return lg.expire_claims(ledger(spark, folder), busy, 900_000_000).select("ledger_id", "status", "note")
+    return lg.expire_claims(ledger(spark, folder), busy, 900_000_000).select("ledger_id", "status", "note", "done_at")
 
 
 @query(with_tables("""select channel_id, file_hash, status, note, taken_at as at, n from (select *, row_number() over (partition by channel_id, file_hash order by taken_at desc, ledger_id desc) as rn,

@@ -46,7 +46,7 @@ def junk_report(spark, folder):
 
 
 _WINDOWS = _LINES | {
-    "win": "select video_id, idx as win, start_ms as ws, start_ms + 20000 as we from doc_lines where idx % 4 = 0",
+    "win": "select video_id, idx as win, start_ms as ws, start_ms + 20000 as we from doc_lines",
     "pairs": """select w.video_id, w.win, w.ws, w.we, m.idx, m.n_words, m.cta or m.greeting or m.promo as junk,
        (least(w.we, m.end_ms) - greatest(w.ws, m.start_ms)) / greatest(1, m.end_ms - m.start_ms) as share
        from win w join mk m on m.video_id = w.video_id and m.end_ms > w.ws and m.start_ms < w.we"""}
@@ -56,7 +56,7 @@ _WINDOWS = _LINES | {
     round(coalesce(sum(n_words * share), 0) * 1000 / 20000, 6) as density from win w left join pairs p using (video_id, win) group by all""", "doc_lines", more=_WINDOWS))
 def window_speech(spark, folder):
     d = doc_lines(spark, folder)
-    win = d.filter("idx % 4 = 0").select("video_id", F.col("idx").alias("win"), F.col("start_ms").alias("ws"), (F.col("start_ms") + 20_000).alias("we"))
+    win = d.select("video_id", F.col("idx").alias("win"), F.col("start_ms").alias("ws"), (F.col("start_ms") + 20_000).alias("we"))
     out = tr.window_speech(win, tr.scored_sentences(d, KEY), KEY, ["win"], "ws", "we", 60_000)
     return out.select("video_id", "win", F.round("junk_ratio", 6).alias("junk_ratio"), F.round("density", 6).alias("density"))
 

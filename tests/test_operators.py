@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import clock, errors, names, text as tx
-from reelgrid.operators import intervals as iv, joins as jn, ledgers as lg, marts as mt, selection as sel, signals as sg, transcripts as tr
+from reelgrid.functions.fixed_values import CLAIM_EXPIRED
+from reelgrid.operators import intervals as iv, joins as jn, ledgers as lg, marts as mt, selection as sel, shaping as sh, signals as sg, transcripts as tr
 from reelgrid.operators.scan import last_value, next_value, row_number, running_max, running_sum, scan, time_chunk
 
 K = ["k"]
@@ -148,6 +149,49 @@ def test_panel_median(spark):
     df = spark.createDataFrame([(1, 0, 80, ""), (1, 1, 70, "b"), (1, 2, 10, "c")], "k long, judge int, score long, reason string")
     r = sel.panel_score(df, K).first()
     assert (r.score, r.votes, r.reason) == (70.0, 3, "b")
+    old = spark.createDataFrame([(1, 5.0), (2, 40.0)], "k long, old_score double")
+    kept = sel.panel_score(df, K, old).orderBy("k").collect()
+    assert [(r.k, r.score, r.votes, r.reason) for r in kept] == [(1, 70.0, 3, "b"), (2, 40.0, 0, None)]
+
+
+def test_expired_claim_keeps_its_note(spark):
+    rows = [(1, 10, "taken", "a", 0, None), (2, 20, "taken", None, 0, None), (3, 30, "taken", "b", 0, None), (4, 40, "done", "c", 0, 7)]
+    df = spark.createDataFrame(rows, "ledger_id long, video_id long, status string, note string, taken_at long, done_at long")
+    busy = spark.createDataFrame([(30,)], "video_id long")
+    got = {r.ledger_id: (r.status, r.note, r.done_at) for r in lg.expire_claims(df, busy, 50_000).collect()}
+    assert got == {1: ("error", "a" + CLAIM_EXPIRED, 50_000), 2: ("error", CLAIM_EXPIRED, 50_000), 3: ("taken", "b", None), 4: ("done", "c", 7)}
+
+
+def extended(clips, sents, target, most):
+    """What is added to each clip, sentence by sentence."""
+    out = set()
+    for k, c, end, total in clips:
+        for _, _, s, e, junk in sorted((x for x in sents if x[0] == k), key=lambda x: (x[2], x[1])):
+            if e <= end + 50:
+                continue
+            begin = end if s - end <= 6000 else s
+            if total >= target or s - end > 8000 or junk or total + e - begin > most + 500:
+                break
+            out.add((k, c, begin, e))
+            total, end = total + e - begin, e
+    return out
+
+
+def test_extension_reaches_the_whole_target(spark):
+    far = [(0, i, 10_000 + i * 7400 + 7000, 10_000 + i * 7400 + 7400, False) for i in range(80)]     # 0.4 s of speech after each 7 s
+    r = random.Random(4)
+    sents, at = list(far), 0
+    for i in range(400):
+        at += r.choice((0, 40, 300, 3000, 5960, 6010, 7000, 7990, 9000)) if r.random() < .7 else -r.randrange(200)
+        s = max(at, 0)
+        at = s + r.choice((20, 60, 400, 2500))
+        sents.append((1, i, s, at, r.random() < .02))
+    clips = [(0, 0, 10_000, 10_000)] + [(1, i, sents[80 + i][3] + r.choice((0, 0, 30, 4000)), r.randrange(35_000)) for i in range(0, 400, 3)]
+    got = sh.extend_to_target(spark.createDataFrame(clips, "k long, clip long, last_e long, total long"),
+                              spark.createDataFrame(sents, "k long, idx long, start_ms long, end_ms long, junk boolean"), K, "clip", 30_000, 60_000, 60_000).collect()
+    rows = {(x.k, x.clip, x.piece_s, x.piece_e) for x in got}
+    assert len(rows) == len(got) and rows == extended(clips, sents, 30_000, 60_000)
+    assert sum(e - s for k, _, s, e in rows if k == 0) == 20_000
 
 
 def test_invented_speech(spark):
