@@ -8,6 +8,7 @@ from reelgrid.functions import text as tx
 from reelgrid.operators import intervals as iv, joins as jn, selection as sel, shaping as sh, signals as sg, transcripts as tr
 from reelgrid.operators.scan import row_number, scan
 from reelgrid.plans.registry import query
+from reelgrid.plans.sqltext import NORM, is_junk_sql
 from reelgrid.sources.standins import sentences, signal, with_tables
 from reelgrid.session import checkpointed
 
@@ -89,7 +90,19 @@ def select_highlights_heuristic(spark, folder):
         "video_id", "part", "anchor", "first_s", "last_e", "score", "too_short")
 
 
-@query()
+_EXTEND = {
+    "mk": f"select *, row_number() over (partition by video_id order by start_ms, idx) as rn from (select video_id, idx, start_ms, end_ms, {is_junk_sql('norm')} as junk from (select *, {NORM('text')} as norm from sentences))",
+    "cl": """select c.video_id, c.idx as clip_id, c.end_ms as e, c.end_ms - c.start_ms as total, min(m.rn) - 1 as rn, cast(null as bigint) as piece_s from mk c
+       join mk m on m.video_id = c.video_id and m.end_ms > c.end_ms + 50 where c.end_ms - c.start_ms < 30000 group by c.video_id, c.idx, c.start_ms, c.end_ms"""}
+
+
+@query(with_tables("""select video_id, clip_id, piece_s, e as piece_e from (
+    with recursive ex as (select video_id, clip_id, e, total, rn, piece_s from cl
+      union all select video_id, clip_id, case when skip then e else end_ms end, case when skip then total else total + end_ms - b end, nrn, case when not skip then b end
+      from (select x.*, m.start_ms, m.end_ms, m.junk, m.rn as nrn, case when m.start_ms - x.e <= 6000 then x.e else m.start_ms end as b, m.end_ms <= x.e + 50 as skip
+            from ex x join mk m on m.video_id = x.video_id and m.rn = x.rn + 1 where x.total < 30000)
+      where skip or not (start_ms - e > 8000 or junk or total + end_ms - b > 60500))
+    select * from ex) where piece_s is not null""", "sentences", more=_EXTEND))
 def extend_to_target(spark, folder):
     s = sentences(spark, folder)
     clips = s.filter("end_ms - start_ms < 30000").select("video_id", F.col("idx").alias("clip_id"), F.col("end_ms").alias("last_e"), (F.col("end_ms") - F.col("start_ms")).alias("total"))
