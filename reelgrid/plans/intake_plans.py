@@ -208,11 +208,11 @@ def import_dedup(spark, folder):
 
 
 @query(with_tables("""select channel_id, coalesce(d.grp, b.grp) as grp, case when d.channel_id is null then b.name else d.name end as name from
-    (select channel_id, grp, name from channels where channel_id % 5 <> 0) b full join (select channel_id, grp, name || '!' as name from channels where channel_id % 3 = 0) d using (channel_id)""", "channels"))
+    (select channel_id, grp, name from channels where channel_id % 5 <> 0) b full join (select channel_id, grp, name || '!' as name from channels where channel_id % 3 = 0 or channel_id % 5 = 0) d using (channel_id)""", "channels"))
 def upsert_rows(spark, folder):
     c = channels(spark, folder)
     base = c.filter("channel_id % 5 <> 0").select("channel_id", "grp", "name", F.lit(1).alias("version"))
-    delta = c.filter("channel_id % 3 = 0").select("channel_id", "grp", F.concat("name", F.lit("!")).alias("name"), F.lit(2).alias("version"))
+    delta = c.filter("channel_id % 3 = 0 or channel_id % 5 = 0").select("channel_id", "grp", F.concat("name", F.lit("!")).alias("name"), F.lit(2).alias("version"))
     return upsert_by_key(base, delta, ["channel_id"], "version").select("channel_id", "grp", "name")
 
 

@@ -63,13 +63,15 @@ def attach_labels(spark, folder):
     select video_id, case when gap <= 250 then before else start_ms end as s, case when tail <= 250 then end_ms + tail else end_ms end as e, mode from g union all
     select video_id, before, start_ms, 'orig' from g where gap > 250 union all select video_id, end_ms, we, 'orig' from g where tail > 250))) group by video_id, run""", "sentences", more=_P | {
     "win": "select video_id, 0 as ws, max(end_ms) + 3000 as we from parts group by 1",
-    "cut": "select p.video_id, p.idx, p.mode, p.start_ms + (idx % 3) * 200 as start_ms, p.end_ms from parts p where idx % 4 <> 3 and p.end_ms - p.start_ms - (idx % 3) * 200 >= 1500",
+    "cut": "select p.video_id, p.idx, p.mode, p.start_ms + (idx % 3) * 200 as start_ms, p.end_ms from (select * replace (case when idx % 4 = 3 then start_ms + 1000 else end_ms end as end_ms) from parts) p where p.end_ms - p.start_ms - (idx % 3) * 200 >= 1500",
     "g": """select c.*, w.we, coalesce(lag(c.end_ms) over x, w.ws) as before, c.start_ms - coalesce(lag(c.end_ms) over x, w.ws) as gap,
        case when lead(c.start_ms) over x is null then w.we - c.end_ms else 0 end as tail from cut c join win w using (video_id) window x as (partition by c.video_id order by c.start_ms)"""}))
 def tile_parts(spark, folder):
     p = parts(spark, folder)
     window = p.groupBy("video_id").agg(F.lit(0).cast("long").alias("ws"), (F.max("end_ms") + 3000).alias("we"))
-    cut = p.filter("idx % 4 <> 3").withColumn("start_ms", F.col("start_ms") + (F.col("idx") % 3) * 200)
+    # every fourth part is too short to stay
+    cut = (p.withColumn("end_ms", F.when(F.col("idx") % 4 == 3, F.col("start_ms") + 1000).otherwise(F.col("end_ms")))
+           .withColumn("start_ms", F.col("start_ms") + (F.col("idx") % 3) * 200))
     return sc.tile_parts(cut, KEY, window).select("video_id", "start_ms", "end_ms", "mode")
 
 
@@ -111,13 +113,13 @@ def _replies(spark, folder):
 
 @query(with_tables(f"""select video_id, clip_id, case when length(t) <= 60 then t when strpos(reverse(substr(t, 1, 60)), ' ') > 0 and 60 - strpos(reverse(substr(t, 1, 60)), ' ') >= 30
       then rtrim(substr(t, 1, 60 - strpos(reverse(substr(t, 1, 60)), ' '))) else rtrim(substr(t, 1, 60)) end as title from (
-    select c.video_id, c.clip_id, arg_min(trim(s.text), s.idx) as t from (select video_id, idx as clip_id, start_ms as s_ms, start_ms + 60000 as e_ms from doc_lines where idx % 4 = 0) c
+    select c.video_id, c.clip_id, arg_min(trim(s.text), s.idx) as t from (select video_id, idx as clip_id, start_ms as s_ms, start_ms + 60000 as e_ms from doc_lines) c
     join (select * from (select *, {NORM('text')} as norm from doc_lines) where not {is_junk_sql('norm')}) s on s.video_id = c.video_id and s.start_ms >= c.s_ms - 500 and s.start_ms <= c.e_ms group by all)""", "doc_lines"))
 def clip_titles(spark, folder):
     from reelgrid.sources.standins import doc_lines
     d = doc_lines(spark, folder)
     s = d.withColumn("norm", tx.norm_text(F.col("text"))).select("video_id", "idx", "start_ms", "text", tx.is_junk(F.col("norm")).alias("junk"))
-    clips = d.filter("idx % 4 = 0").select("video_id", F.col("idx").alias("clip_id"), F.col("start_ms").alias("s_ms"), (F.col("start_ms") + 60_000).alias("e_ms"))
+    clips = d.select("video_id", F.col("idx").alias("clip_id"), F.col("start_ms").alias("s_ms"), (F.col("start_ms") + 60_000).alias("e_ms"))
     return sc.first_clean_line(clips, s, KEY, "clip_id", 60_000)
 
 
