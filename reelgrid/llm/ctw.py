@@ -31,8 +31,8 @@ from pyspark.sql.window import Window as W
 
 from reelgrid.llm.texts import LOWER, columns, row_key, written
 
-DEPTH = 4
-BLOCK_BYTES = 32 << 20
+DEPTH = 5
+BLOCK_BYTES = 16 << 20
 SLICE = 1 << 20
 
 _HALF = math.log(0.5)

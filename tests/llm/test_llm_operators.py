@@ -111,6 +111,15 @@ def test_context_tree_equals_plain_recursion(spark):
             assert math.isclose(r["score"], score(texts[r["doc_id"]].encode()), rel_tol=1e-9)
 
 
+def test_context_tree_mixes_five_bytes_by_default(spark):
+    texts = ["xabcdy zabcdw " * 3, "xabcdy", "", "zabcdw xabcdy"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    score = brute_tree(train, 5)
+    for r in ctw.score(frame, block_bytes=20).collect():
+        assert math.isclose(r["score"], score(texts[r["doc_id"]].encode()), rel_tol=1e-9)
+
+
 def test_mix_meets_targets(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=repr)
