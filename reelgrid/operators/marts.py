@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -126,24 +127,24 @@ def analysis_label(status: DataFrame, steps: int = 5) -> DataFrame:
                       .when(F.col("ok") >= steps, "complete").otherwise("incomplete").alias("label"))
 
 
-def retention_candidates(analysis: DataFrame, clips: DataFrame, listing: DataFrame, now: int, days: int) -> DataFrame:
+def retention_candidates(analysis: DataFrame, clips: DataFrame, listing: DataFrame, now: int, days: int, key: Sequence[str] = ("video_id",)) -> DataFrame:
     """Transcript bytes of videos whose source is gone and whose clips are old and decided."""
-    size = analysis.groupBy("video_id", "src").agg(F.sum("bytes").alias("bytes"))
-    facts = clips.groupBy("video_id").agg(F.max("created_at").alias("newest"),
+    size = analysis.groupBy(*key, "src").agg(F.sum("bytes").alias("bytes"))
+    facts = clips.groupBy(*key).agg(F.max("created_at").alias("newest"),
                                           F.bool_or(F.col("status") == "suggested").alias("open"))
-    return (size.join(facts, "video_id").filter((F.col("newest") <= now - days * DAY) & ~F.col("open"))
-            .join(listing.select(F.col("path").alias("src")).distinct(), "src", "left_anti").select("video_id", "bytes"))
+    return (size.join(facts, list(key)).filter((F.col("newest") <= now - days * DAY) & ~F.col("open"))
+            .join(listing.select(F.col("path").alias("src")).distinct(), "src", "left_anti").select(*key, "bytes"))
 
 
-def reanalysis_due(clips: DataFrame, jobs: DataFrame, newest: int = 5, most: int = 2) -> DataFrame:
+def reanalysis_due(clips: DataFrame, jobs: DataFrame, newest: int = 5, most: int = 2, key: Sequence[str] = ("video_id",)) -> DataFrame:
     """Videos whose newest suggestions were all made without the model and analysed fewer than `most` times."""
     from reelgrid.operators.intervals import top_per_key
-    top = top_per_key(clips.filter("status = 'suggested'").select("video_id", "clip_id", "llm_used"),
-                      ["video_id"], [F.col("clip_id").desc()], newest)
-    n = jobs.filter("type <> 'export'").groupBy("video_id").agg(F.count("*").alias("runs"))
-    return (top.groupBy("video_id").agg(F.bool_or("llm_used").alias("ai")).filter("not ai")
-            .join(n, "video_id", "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
-            .filter(F.col("runs") < most).select("video_id", "runs"))
+    top = top_per_key(clips.filter("status = 'suggested'").select(*key, "clip_id", "llm_used"),
+                      list(key), [F.col("clip_id").desc()], newest)
+    n = jobs.filter("type <> 'export'").groupBy(*key).agg(F.count("*").alias("runs"))
+    return (top.groupBy(*key).agg(F.bool_or("llm_used").alias("ai")).filter("not ai")
+            .join(n, list(key), "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
+            .filter(F.col("runs") < most).select(*key, "runs"))
 
 
 def current_job(jobs: DataFrame) -> DataFrame:

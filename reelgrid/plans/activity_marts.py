@@ -22,9 +22,16 @@ _CLIPS = {"clips": """select video_id as channel_id, order_id * 10000 + video_id
      score % 3 = 0 as llm_used from segments"""}
 
 
+VIDEO = ["order_id", "channel_id"]      # what tells videos apart; the number below repeats where a channel is beyond 10,000
+
+
+def _video_id():
+    return (F.col("order_id") * 10_000 + F.col("channel_id")).alias("video_id")
+
+
 def clips(spark, folder):
     return segments(spark, folder).select(
-        F.col("video_id").alias("channel_id"), (F.col("order_id") * 10_000 + F.col("video_id")).alias("video_id"),
+        "order_id", F.col("video_id").alias("channel_id"), (F.col("order_id") * 10_000 + F.col("video_id")).alias("video_id"),
         "clip_id", "s_ms", "e_ms", "score", "status", (F.col("score") % 3 == 0).alias("llm_used"))
 
 
@@ -200,11 +207,11 @@ def analysis_labels(spark, folder):
     "c": "select order_id * 10000 + video_id as video_id, max(s_ms) as newest, bool_or(status = 'suggested') as open from segments group by 1"}))
 def retention_candidates(spark, folder):
     a = read_table(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 10_000 + F.col("l_suppkey")).alias("video_id"),
+        F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("channel_id"),
         F.concat(F.lit("/src/"), (F.col("l_partkey") % 500).cast("string")).alias("src"), F.round("l_extendedprice").cast("long").alias("bytes"))
     c = clips(spark, folder).withColumn("created_at", F.col("s_ms"))
     there = read_table(spark, folder, "part").filter("p_size > 20").select(F.concat(F.lit("/src/"), F.col("p_partkey").cast("string")).alias("path"))
-    return mt.retention_candidates(a, c, there, 3_500_000_000, 30)
+    return mt.retention_candidates(a, c, there, 3_500_000_000, 30, VIDEO).select(_video_id(), "bytes")
 
 
 @query(with_tables("""select channel_id, name, grp, running, failed_24h, coalesce(done_30d, 0) as done, coalesce(errors_30d, 0) as errors, coalesce(parts_30d, 0) as parts
@@ -226,8 +233,8 @@ def channel_board(spark, folder):
     left join (select video_id, count(*) as runs from (select job_id * 10000 + channel_id as video_id, type from jobs) where type <> 'export' group by 1) using (video_id) where coalesce(runs, 0) < 2""",
                    "segments", "jobs", more=_CLIPS))
 def reanalysis_due(spark, folder):
-    j = jobs(spark, folder).select((F.col("job_id") * 10_000 + F.col("channel_id")).alias("video_id"), "type")
-    return mt.reanalysis_due(clips(spark, folder), j)
+    j = jobs(spark, folder).select(F.col("job_id").alias("order_id"), "channel_id", "type")
+    return mt.reanalysis_due(clips(spark, folder), j, key=VIDEO).select(_video_id(), "runs")
 
 
 @query(with_tables("select distinct video_id from jobs where status in ('pending','running')", "jobs"))

@@ -115,9 +115,9 @@ _ALIGN = {"sc": "select video_id, idx, list_filter(regexp_split_to_array(trim(te
 def align_tokens(spark, folder):
     from reelgrid.operators.scan import row_number, scan
     # every fifth word is heard as one with the word before it, so that counts differ
-    part = F.col("word_id") - F.when(F.col("word_id") % 5 == 4, 1).otherwise(0)
-    w = words(spark, folder).groupBy("video_id", F.floor(F.col("word_id") / 100_000).alias("idx"), part.alias("part")).agg(
-        F.min(F.col("start_ms") + (F.col("word_id") * 37 % 5) * 100).alias("a"), F.max("end_ms").alias("b"))
+    part = F.col("pos") - F.when(F.col("pos") % 5 == 4, 1).otherwise(0)
+    w = words(spark, folder).groupBy("video_id", F.col("turn").alias("idx"), part.alias("part")).agg(
+        F.min(F.col("start_ms") + (F.col("pos") * 37 % 5) * 100).alias("a"), F.max("end_ms").alias("b"))
     heard = (scan(w, ["video_id", "idx"], ["part"], F.floor(F.col("part") / 1000), n=row_number())
              .select("video_id", "idx", (F.col("n") - 1).alias("pos"), "a", "b"))
     return cu.align_tokens(sentences(spark, folder), heard, ["video_id", "idx"])

@@ -65,7 +65,7 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
     return (s.select("video_id", "idx", "start_ms", "end_ms", w.alias("w"), F.size(w).alias("n"))
             .select("video_id", "idx", step.alias("step"), F.col("start_ms").alias("s0"),
                     F.posexplode("w").alias("pos", "word"))
-            .select("video_id", (F.col("idx") * 100_000 + F.col("pos")).alias("word_id"), "word",
+            .select("video_id", F.col("idx").alias("turn"), "pos", (F.col("idx") * 100_000 + F.col("pos")).alias("word_id"), "word",
                     (F.col("s0") + F.col("pos") * F.col("step")).alias("start_ms"),
                     (F.col("s0") + (F.col("pos") + 1) * F.col("step")).alias("end_ms")))
 
