@@ -191,7 +191,7 @@ _SPEECH = {"sent": f"select *, {N_TOKENS('norm')} as n_words, {is_junk_sql('norm
 @query(with_tables("""select video_id, from_sec, to_sec, ratio, rank, count(*) as n_sentences, cast(sum(n_words) as bigint) as n_words,
     cast(sum(case when junk then n_words else 0 end) as bigint) as junk_words from hits group by all""", "signal", "sentences", more=_LOUD | _SPEECH))
 def loud_speech_evidence(spark, folder):
-    loud = sg.loud_islands(signal(spark, folder), KEY, CHUNK, top=3).withColumns(
+    loud = sg.loud_islands(signal(spark, folder), KEY, CHUNK).withColumns(
         {"ls": F.col("from_sec") * 1000, "le": F.col("to_sec") * 1000})
     spoken = (sentences(spark, folder).withColumn("norm", tx.norm_text(F.col("text")))
               .select(*KEY, "start_ms", "end_ms", tx.n_tokens(F.col("norm")).alias("w"), tx.is_junk(F.col("norm")).alias("junk")))

@@ -309,3 +309,13 @@ def test_words_past_the_mixed_number_keep_their_turn(spark, tmp_path):
     got = [(r["token"], r["a"]) for r in cc.align_tokens(spark, str(tmp_path)).filter("idx = 1").orderBy("i").collect()]
     start = 60 * 200_002
     assert got == [("b", start), ("c", start + 90 + 200)]
+
+
+def test_speech_under_every_island_is_told(spark, tmp_path):
+    from reelgrid.plans import signal_islands as si
+    start = datetime.datetime(2024, 1, 1)
+    made(spark, tmp_path, "events", "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string",
+         [(i, 1, "view", start + datetime.timedelta(seconds=i), 50.0 + i / 10 if i % 10 in (3, 4) else 1.0, '{"k": 1}') for i in range(50)])
+    made(spark, tmp_path, "conversations", "conv_id long, turn long, role string, text string", [(1, 0, "u", "word " * 200)])
+    got = si.loud_speech_evidence(spark, str(tmp_path)).collect()
+    assert sorted((r["rank"], r["from_sec"], r["to_sec"]) for r in got) == [(i + 1, 43 - 10 * i, 45 - 10 * i) for i in range(5)]
