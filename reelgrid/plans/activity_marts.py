@@ -273,8 +273,7 @@ def key_health(spark, folder):
     when {NOW} - created_at < 86400 then (({NOW} - created_at) // 3600) || ' h' when {NOW} - created_at < 172800 then 'yesterday'
     else (({NOW} - created_at) // 86400) || ' days' end as age from jobs where created_at <= {NOW}""", "jobs"))
 def relative_times(spark, folder):
-    return (jobs(spark, folder).filter(F.col("created_at") <= NOW)
-            .select("job_id", clock.relative_time(F.col("created_at"), NOW).alias("age")))
+    return jobs(spark, folder).select("job_id", clock.relative_time(F.col("created_at"), NOW).alias("age"))
 
 
 # ---- joins ----

@@ -319,3 +319,10 @@ def test_speech_under_every_island_is_told(spark, tmp_path):
     made(spark, tmp_path, "conversations", "conv_id long, turn long, role string, text string", [(1, 0, "u", "word " * 200)])
     got = si.loud_speech_evidence(spark, str(tmp_path)).collect()
     assert sorted((r["rank"], r["from_sec"], r["to_sec"]) for r in got) == [(i + 1, 43 - 10 * i, 45 - 10 * i) for i in range(5)]
+
+
+def test_relative_times_of_future_and_null(spark, tmp_path):
+    from reelgrid.plans import activity_marts as am
+    made(spark, tmp_path, "events", "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string",
+         [(i, 1, "view", ts, 1.0, '{"k": 1}') for i, ts in enumerate([datetime.datetime(2030, 1, 1), None])])
+    assert sorted(tuple(r) for r in am.relative_times(spark, str(tmp_path)).collect()) == [(0, "just now"), (1, "")]
