@@ -6,9 +6,10 @@ import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import ctw, decontaminate, divergence, licenses, line_dedup, mixing, recompression, set_relations, token_cache, url_cascade
+from reelgrid.llm import ctw, decontaminate, divergence, licenses, line_dedup, mixing, periodic_runs, pieces, recompression, set_relations, token_cache, turn_repair, url_cascade
 from reelgrid.llm.texts import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +63,22 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(rows), rows)
+
+
+def op12_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(_read(spark, sf_dir, "documents"), prepare=periodic_runs.looped, seed=periodic_runs.seeds()).drop("n_words")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_context_tree, op2_source_mix, op3_benchmark_automaton, op4_url_cascade, op5_recompression, op6_line_bitmaps, op7_token_cache,
-    op8_language_divergence, op9_set_relations, op10_license_templates)}
+    op8_language_divergence, op9_set_relations, op10_license_templates, op11_auction_repair, op12_piece_spans, op13_periodic_runs)}
 
 _WINDOWS = r"""
 with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
