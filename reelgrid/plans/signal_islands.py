@@ -185,7 +185,7 @@ def visible_face_center(spark, folder):
 # ---- flagship: what is said under the loudest moments ----
 _SPEECH = {"sent": f"select *, {N_TOKENS('norm')} as n_words, {is_junk_sql('norm')} as junk from (select video_id, idx, start_ms, end_ms, {NORM('text')} as norm from sentences)",
            "hits": """select l.video_id, l.from_sec, l.to_sec, l.ratio, l.rank, s.idx, s.n_words, s.junk from loud_top l join sent s
-              on s.video_id = l.video_id and s.end_ms > l.from_sec * 1000 and s.start_ms < l.to_sec * 1000 where l.rank <= 3"""}
+              on s.video_id = l.video_id and s.end_ms > l.from_sec * 1000 and s.start_ms < l.to_sec * 1000"""}
 
 
 @query(with_tables("""select video_id, from_sec, to_sec, ratio, rank, count(*) as n_sentences, cast(sum(n_words) as bigint) as n_words,

@@ -203,7 +203,7 @@ _SQL = {
         select doc_id, source, lang, unnest(string_split(text, chr(10))) as line,
           generate_subscripts(string_split(text, chr(10)), 1) as idx from documents))
         where trim(line) <> ''""", ()),
-    "words": ("""select video_id, cast(idx * 100000 + pos - 1 as bigint) as word_id, word,
+    "words": ("""select video_id, idx as turn, cast(pos - 1 as integer) as pos, cast(idx * 100000 + pos - 1 as bigint) as word_id, word,
         cast(s0 + (pos - 1) * step as bigint) as start_ms, cast(s0 + pos * step as bigint) as end_ms from (
         select video_id, idx, start_ms as s0, (end_ms - start_ms) // len(w) as step,
           unnest(w) as word, generate_subscripts(w, 1) as pos from (
