@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def fold_runs(df: DataFrame, run: list[str], order: list[str], inputs: list[str],
@@ -39,3 +41,41 @@ def fold_runs(df: DataFrame, run: list[str], order: list[str], inputs: list[str]
 
     return (df.repartition(*run).sortWithinPartitions(*run, *order)
             .mapInPandas(go, schema))
+
+
+def unfold_runs(df: DataFrame, run: list[str], order: list[str], inputs: list[str], outputs: str,
+                start: Callable[[], object], step: Callable, finish: Callable) -> DataFrame:
+    """Rows (run columns, then `outputs`) made by a rule that gives any number of rows for each row.
+
+    step(state, *inputs) and finish(state) return lists of tuples; `finish` is called after a run's last row. As in
+    `fold_runs`, a run streams through sorted batches and only its state is held.
+    """
+    heads = [df.schema[c] for c in run]
+    schema = T.StructType([*heads, *T._parse_datatype_string(outputs).fields])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        current, state, made = None, None, []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*made)) if made else [()] * len(schema)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        for rows in batches:
+            cols = {n: rows.column(i).to_pylist() for i, n in enumerate(rows.schema.names)}
+            for key, row in zip(zip(*[cols[c] for c in run]), zip(*[cols[c] for c in inputs])):
+                if key != current:
+                    if current is not None:
+                        made += [(*current, *x) for x in finish(state)]
+                    current, state = key, start()
+                made += [(*key, *x) for x in step(state, *row)]
+            if made:
+                yield batch()
+        if current is not None:
+            made += [(*current, *x) for x in finish(state)]
+        yield batch()
+
+    need = list(dict.fromkeys([*run, *order, *inputs]))
+    return (df.select(*need).repartition(*run).sortWithinPartitions(*run, *order)
+            .select(*dict.fromkeys([*run, *inputs])).mapInArrow(go, schema))

@@ -24,11 +24,21 @@ def islands(df: DataFrame, keys: list[str], s: str, e: str, chunk: int, gap: int
     Output: keys, s, e (the furthest end of that start), `extra` aggregates, `name`.
     """
     starts = df.groupBy(*keys, s).agg(F.max(e).alias(e), *(extra or []))
-    seen = scan(starts, keys, [s], time_chunk(s, chunk), __far=running_max(F.col(e), False))
-    opens = F.col("__far").isNull() | (F.col(s) > F.col("__far") + F.lit(gap))
-    return (scan(seen.withColumn("__open", F.when(opens, F.col(s))), keys, [s],
-                 time_chunk(s, chunk), **{name: last_value(F.col("__open"))})
-            .drop("__far", "__open"))
+    # one struct that is never null names a chunk, so that null keys are groups like any other
+    base = starts.withColumn("__g", F.struct(*keys, time_chunk(s, chunk).alias("__chunk")))
+    here = W.partitionBy("__g").orderBy(s)
+    far = F.max(e).over(here.rowsBetween(W.unboundedPreceding, -1))
+    local = base.withColumn("__far", far).withColumn("__open", F.when(F.col("__far").isNull() | (F.col(s) > F.col("__far") + F.lit(gap)), F.col(s)))
+    # A chunk tells how far it reaches and where its last run opens. What reaches in from earlier chunks closes all openings up to
+    # there, and openings rise, so the last one alone decides whether a chunk passes on a run of its own.
+    earlier = W.partitionBy(*[F.col(f"__g.`{k}`") for k in keys]).orderBy("__g.__chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = (local.groupBy("__g").agg(F.max(e).alias("__e"), F.max("__open").alias("__o"))
+             .withColumn("__in", F.max("__e").over(earlier))
+             .withColumn("__own", F.when(F.col("__in").isNull() | (F.col("__o") > F.col("__in") + F.lit(gap)), F.col("__o")))
+             .select("__g", "__in", F.last("__own", True).over(earlier).alias("__run")))
+    opens = F.when(F.col("__in").isNull() | (F.col("__open") > F.col("__in") + F.lit(gap)), F.col("__open"))
+    run = F.coalesce(F.last(opens, True).over(here.rowsBetween(W.unboundedPreceding, 0)), F.col("__run"))
+    return local.join(carry, "__g").withColumn(name, run).drop("__g", "__far", "__open", "__in", "__run")
 
 
 def merge_ranges(df: DataFrame, keys: list[str], s: str, e: str, chunk: int,
@@ -52,20 +62,16 @@ def subtract_ranges(windows: DataFrame, used: DataFrame, keys: list[str], ws: st
                     us: str, ue: str, chunk: int, bucket: int, gap: int = 500,
                     shortest: int = 3000) -> DataFrame:
     """What is left of each window outside the used ranges widened by `gap` on both sides."""
-    wide = merge_ranges(used, keys, us, ue, chunk).select(
-        *keys, (F.col(us) - gap).alias("__bs"), (F.col(ue) + gap).alias("__be"))
+    wide = used.filter(F.col(ue) > F.col(us)).select(*keys, (F.col(us) - gap).alias("__bs"), (F.col(ue) + gap).alias("__be"))
     blocked = merge_ranges(wide, keys, "__bs", "__be", chunk)
     extent = windows.groupBy(*keys).agg(F.min(ws).alias("__lo"), F.max(we).alias("__hi"))
-    after = scan(blocked, keys, ["__bs"], time_chunk("__bs", chunk), __next=next_value(F.col("__bs")))
-    tails = (after.join(extent, keys)
-             .select(*keys, F.col("__be").alias("__fs"),
-                     F.coalesce("__next", F.greatest("__hi", "__be")).alias("__fe"), "__lo", "__hi"))
-    heads = (extent.join(blocked.groupBy(*keys).agg(F.min("__bs").alias("__first")), keys, "left")
-             .select(*keys, F.col("__lo").alias("__fs"),
-                     F.coalesce("__first", "__hi").alias("__fe"), "__lo", "__hi"))
-    free = (tails.unionByName(heads)
-            .withColumn("__fs", F.greatest("__fs", "__lo")).withColumn("__fe", F.least("__fe", "__hi"))
-            .filter("__fe > __fs").drop("__lo", "__hi"))
+    between = scan(blocked, keys, ["__bs"], time_chunk("__bs", chunk), __prev=last_value(F.col("__be"), False), __next=next_value(F.col("__bs")))
+    # the free time before each blocked range, and behind the last one; all of it where nothing is blocked
+    spans = extent.join(between, keys, "left").select(*keys, "__lo", "__hi", F.explode(F.array(
+        F.struct(F.coalesce("__prev", "__lo").alias("s"), F.coalesce("__bs", "__hi").alias("e")),
+        F.struct(F.col("__be").alias("s"), F.when(F.col("__next").isNull(), F.greatest("__hi", "__be")).alias("e")))).alias("x"))
+    free = (spans.select(*keys, F.greatest("x.s", "__lo").alias("__fs"), F.least("x.e", "__hi").alias("__fe"), F.col("x.e").alias("__e"), F.col("x.s").alias("__s"))
+            .filter("__s is not null and __e is not null and __fe > __fs").drop("__s", "__e"))
     pieces = overlap_join(windows, free, keys, (ws, we), ("__fs", "__fe"), bucket)
     return (pieces.withColumn("piece_s", F.greatest(ws, "__fs"))
             .withColumn("piece_e", F.least(we, "__fe"))

@@ -68,6 +68,15 @@ def nearest_edges(points: DataFrame, edges: DataFrame, keys: list[str], t: str,
             .drop("__t", "__kind", "__low", "__high"))
 
 
+def edge_within(df: DataFrame, edges: DataFrame, keys: list[str], ids: list[str], edge: str, low: Column, high: Column,
+                bucket: int, name: str, last: bool) -> DataFrame:
+    """Add the last (or first) edge of the key inside [low, high], spans of bounded length; null where there is none."""
+    spans = df.select(*keys, *ids, low.alias("__lo"), high.alias("__hi"))
+    hit = points_in_spans(edges.select(*keys, F.col(edge).alias("__t")), spans, keys, "__t", ("__lo", "__hi"), bucket, "both")
+    found = hit.groupBy(*keys, *ids).agg((F.max if last else F.min)("__t").alias(name))
+    return df.join(found, [*keys, *ids], "left")
+
+
 def snap(points: DataFrame, edges: DataFrame, keys: list[str], t: str, edge: str,
          tolerance: int, chunk: int, name: str = "snapped") -> DataFrame:
     """Each time moves to its nearest edge if that is within the tolerance."""
