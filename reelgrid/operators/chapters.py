@@ -171,6 +171,7 @@ def fit_chapters(windows: DataFrame, chapters: DataFrame, used: DataFrame, edges
     """
     group = [*keys, chapter]
     size = F.col("e_ms") - F.col("s_ms")
+    windows = checkpointed(windows)                        # read again below, and small beside the footage
     sums = windows.groupBy(*group).agg(F.sum(size).alias("whole"))
     seen = scan(windows, group, ["s_ms"], time_chunk("s_ms", chunk), before=running_sum(size, False)).join(sums, group)
     seen = seen.withColumn("over", F.col("whole") > high + 1000).withColumn("fits", F.col("before") + size <= high)
