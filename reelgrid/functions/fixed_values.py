@@ -301,3 +301,27 @@ LANGUAGE_NAMES = {
 
 # Fixed value: what the note of an expired claim is given at its end.
 CLAIM_EXPIRED = " [gián đoạn - app tắt giữa chừng?]"
+
+# Effects by the kind of moment, in order of preference.
+EFFECTS_BY_KIND = {
+    "peak": ("zoom_nhoi", "rung_lac", "sh_tuong_phan", "loe_sang", "nhay_sang", "tuong_phan", "meo_kinh"),
+    "action": ("glitch_khoi", "o_vuong", "xao_dong", "lech_bang", "vien_net", "dong_quet", "song_meo"),
+    "still": ("quang_sang", "hat_phim", "sh_toi_vien", "toi_vien", "sh_hat_phim", "nhieu_analog", "hat_nhieu", "vien_phim"),
+    "close": ("sup_toi", "nhay_sang", "sh_toi_vien", "toi_vien", "quang_sang", "zoom_nhoi", "vien_phim"),
+    "join": ("mo_net", "loe_sang", "o_vuong", "mo_vuong", "lech_bang", "zoom_nhoi", "dem_nguoc"),
+    "plain": ("quang_sang", "hat_phim", "sh_hat_phim", "nhieu_analog", "dong_quet", "toi_vien", "zoom_day", "hat_nhieu", "tuong_phan", "sh_tuong_phan"),
+    "opening": ("zoom_nhoi", "loe_sang", "tuong_phan", "rung_lac", "nhay_sang"),
+}
+
+# Length of each effect in milliseconds.
+EFFECT_MS = {
+    "zoom_nhoi": 400, "zoom_day": 700, "rung_lac": 450, "loe_sang": 300, "sup_toi": 350, "nhay_sang": 500, "tuong_phan": 400, "o_vuong": 320,
+    "xao_dong": 300, "glitch_khoi": 350, "lech_bang": 400, "dong_quet": 450, "nhieu_analog": 500, "quang_sang": 600, "hat_phim": 600,
+    "hat_nhieu": 500, "toi_vien": 700, "vien_phim": 700, "mo_net": 350, "mo_vuong": 350, "vien_net": 350, "meo_kinh": 450, "song_meo": 500,
+    "dem_nguoc": 800, "sh_hat_phim": 600, "sh_toi_vien": 700, "sh_tuong_phan": 400,
+}
+
+# Bounds of an effect plan in milliseconds and percent, and the peak over the median below which a clip counts as flat.
+EFFECT_SHORTEST, EFFECT_LONGEST, EFFECT_APART, EFFECT_SHARE, FLAT_RANGE = 300, 800, 2500, 10, 1.35
+OPENING_AT, OPENING_LONGEST, OPENING_CLIP = 120, 450, 3000
+EFFECTS_BY_LEVEL = {"light": 2, "medium": 3, "strong": 3}

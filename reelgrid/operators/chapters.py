@@ -10,6 +10,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from reelgrid.operators.coupled import coupled_moves
 from reelgrid.operators.folds import unfold_runs
 from reelgrid.operators.intervals import islands, merge_ranges, subtract_ranges
 from reelgrid.operators.joins import edge_within, snap
@@ -23,8 +24,6 @@ def split_chapters(sentences: DataFrame, videos: DataFrame, keys: list[str], chu
 
     A cut lies in the middle between two sentence centres, or at equal times where a video has fewer sentences than chapters. It moves to
     the nearest sentence edge within `reach` unless that leaves less than `shortest` before or behind it; chapters under `shortest` go.
-    Whether a cut may move hangs on the cut before it, which has two possible places: a cut either has one answer for both, or passes
-    the answer on as it is or turned around. So the answers follow from the last cut with one answer and the number of turns since.
     """
     centre = F.col("start_ms") + F.col("end_ms")                                         # twice the centre
     ranked = scan(sentences.select(*keys, "idx", centre.alias("mid")), keys, ["mid", "idx"], time_chunk("mid", 2 * chunk),
@@ -42,18 +41,12 @@ def split_chapters(sentences: DataFrame, videos: DataFrame, keys: list[str], chu
     edges = sentences.select(*keys, F.explode(F.array("start_ms", "end_ms")).alias("edge_ms"))
     near = snap(raw, edges, keys, "raw", "edge_ms", reach, chunk, "near")
     # a video has a handful of cuts: from here on its rows are its cuts, not its sentences
-    order = W.partitionBy(*keys).orderBy("i")
-    pairs = near.withColumn("raw0", F.lag("raw").over(order)).withColumn("near0", F.lag("near").over(order))
 
-    def moves(before: Column) -> Column:
-        return ((F.col("near") - F.coalesce(before, F.lit(0)) >= shortest) & (F.col("duration") - F.col("near") >= shortest)).cast("int")
+    def allowed(before: Column) -> Column:
+        return (F.col("near") - before >= shortest) & (F.col("duration") - F.col("near") >= shortest)
 
-    told = pairs.withColumn("from_raw", moves(F.col("raw0"))).withColumn("from_near", moves(F.col("near0")))
-    turned = told.withColumn("turns", F.sum(F.when((F.col("from_raw") == 1) & (F.col("from_near") == 0), 1).otherwise(0)).over(order))
-    sure = F.when(F.col("from_raw") == F.col("from_near"), F.struct(F.col("from_raw").alias("answer"), F.col("turns").alias("turns")))
-    known = turned.withColumn("base", F.last(sure, True).over(order))
-    moved = (F.col("base.answer") + F.col("turns") - F.col("base.turns")) % 2 == 1
-    bounds = known.select(*keys, "i", F.when(moved, F.col("near")).otherwise(F.col("raw")).alias("t"))
+    bounds = coupled_moves(near, keys, "i", "raw", "near", allowed, F.lit(0).cast("long"), "t").select(*keys, "i", "t")
+    order = W.partitionBy(*keys).orderBy("i")
     ends = (bounds.unionByName(videos.select(*keys, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("t")))
             .unionByName(videos.select(*keys, F.greatest("k", F.lit(1)).cast("long").alias("i"), F.col("duration").alias("t"))))
     spans = (ends.withColumn("c0", F.lag("t").over(order)).filter("i > 0")

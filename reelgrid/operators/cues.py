@@ -187,3 +187,32 @@ def thin_evenly(times: DataFrame, keys: list[str], t: str, chunk: int, cap: int
                         lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(cap - 1)).cast("long"))
     keep = (F.col("__n") <= cap) | F.array_contains(picks, F.col("__i") - 1)
     return pos.filter(keep).drop("__n", "__i")
+
+
+def deal_to_islands(texts: DataFrame, islands: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
+    """Groups of k words dealt to speech islands: each island gets its share of the groups by length, rounded down, and the groups left go to
+    the largest remainders (earlier islands on ties). Inside an island time follows the characters: keys, grp, text, a, b.
+
+    `islands`: keys, isl, s_ms, e_ms; shares and remainders are whole numbers, so that every group finds an island.
+    """
+    w = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
+    rows = texts.select(*keys, w.alias("w")).withColumn("groups", F.ceil(F.size("w") / k).cast("long")).filter("groups > 0")
+    length = F.greatest(F.lit(10), F.col("e_ms") - F.col("s_ms"))
+    total = islands.groupBy(*keys).agg(F.sum(length).alias("total"))
+    asked = (islands.join(total, keys).join(rows.select(*keys, "groups"), keys).withColumn("part", length * F.col("groups"))
+             .withColumn("whole", F.floor(F.col("part") / F.col("total"))).withColumn("over", -(F.col("part") % F.col("total"))))
+    spare = asked.groupBy(*keys).agg((F.max("groups") - F.sum("whole")).alias("spare"))
+    ranked = scan(asked, keys, ["over", "isl"], F.floor(F.col("over") * 64 / F.col("total")), place=row_number()).join(spare, keys)
+    counted = ranked.withColumn("n", F.col("whole") + (F.col("place") <= F.col("spare")).cast("long"))
+    spans = (scan(counted.select(*keys, "isl", "s_ms", "e_ms", "n"), keys, ["isl"], F.floor(F.col("isl") / 512), upto=running_sum(F.col("n")))
+             .filter("n > 0").withColumn("lo", F.col("upto") - F.col("n")))
+    grp = rows.select(*keys, "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp")).select(
+        *keys, "grp", F.array_join(F.slice("w", (F.col("grp") * k + 1).cast("int"), F.lit(k)), " ").alias("text"))
+    held = points_in_spans(grp, spans.select(*keys, "isl", "s_ms", "e_ms", "lo", "upto"), keys, "grp", ("lo", "upto"), 512)
+    chars = F.length("text").cast("long")
+    timed = scan(held, [*keys, "isl"], ["grp"], F.floor(F.col("grp") / 512), seen=running_sum(chars))
+    sums = timed.groupBy(*keys, "isl").agg(F.max("seen").alias("all"))
+    span = F.col("e_ms") - F.col("s_ms")
+    return timed.join(sums, [*keys, "isl"]).select(
+        *keys, "grp", "text", (F.col("s_ms") + F.floor(span * (F.col("seen") - chars) / F.col("all"))).alias("a"),
+        (F.col("s_ms") + F.floor(span * F.col("seen") / F.col("all"))).alias("b"))

@@ -180,3 +180,42 @@ def speech_from_silence(silences: DataFrame, keys: list[str], s: str, e: str, to
     tail = cut.groupBy(*keys).agg(F.max("b").alias("start_ms")).withColumn("end_ms", F.lit(total).cast("long"))
     length = F.col("end_ms") - F.col("start_ms")
     return gaps.unionByName(tail).filter((length > tiny) & (length >= shortest))
+
+
+def fallback_hook(signal: DataFrame, segs: DataFrame, clips: DataFrame, keys: list[str], clip: list[str], chunk: int, bucket: int, length: int = 2500,
+                  away: int = 3000, longest: int = 4000) -> DataFrame:
+    """The teaser of each clip: keys, clip, hook_s, hook_e; null where there is none.
+
+    A hook that the clip brings along (`clips`: keys, clip, hook_s, hook_e, nulls allowed) stays, cut to `longest`, if it lasts a second and begins more than
+    `away` from the clip's start; else there is none. Without one, the loudest window of `length` that begins a whole number of seconds after a
+    segment's start wins, the first on ties, under the same rule. All windows of a segment span the same number of samples, two or three, so
+    their scores are bounded frames over the series: no window is spelled out, and seconds meet segments as points in spans.
+    """
+    few, many = length // 1000, -(-length // 1000)
+    halo = with_halo(signal.select(*keys, "sec", "rms"), "sec", chunk, 0, many - 1)
+
+    def loud(n: int) -> Column:
+        ahead = frame(keys, "sec", 0, n - 1)
+        return F.round(F.least(F.lit(100.0), (6 * F.sum("rms").over(ahead) / F.count("*").over(ahead) + 4 * F.max("rms").over(ahead)) / 100), 4)
+
+    scored = halo.select(*keys, "sec", "own", loud(few).alias("low"), loud(many).alias("high")).filter("own").drop("own")
+    count = F.floor((F.col("e_ms") - F.col("s_ms") - length) / 1000)               # windows after the first one
+    first = F.floor(F.col("s_ms") / 1000)
+    spans = (segs.filter(F.col("e_ms") - F.col("s_ms") >= length)
+             .select(*keys, *clip, "seg_idx", "s_ms", first.alias("c0"), (first + count).alias("c1"),
+                     ((F.col("s_ms") + length) / 1000 - first >= many).alias("wide")))
+    from reelgrid.operators.joins import points_in_spans
+    seen = points_in_spans(scored, spans, keys, "sec", ("c0", "c1"), bucket, "both")
+    heard = seen.select(*keys, *clip, "seg_idx", (F.col("s_ms") + (F.col("sec") - F.col("c0")) * 1000).alias("t"),
+                        F.when(F.col("wide"), F.col("high")).otherwise(F.col("low")).alias("score"))
+    silent = spans.select(*keys, *clip, "seg_idx", F.col("s_ms").alias("t"), F.lit(0.0).alias("score"))       # nothing heard: the first window
+    best = (heard.unionByName(silent).groupBy(*keys, *clip)
+            .agg(F.max_by("t", F.struct("score", -F.col("seg_idx"), -F.col("t"))).alias("best")))
+    starts = segs.groupBy(*keys, *clip).agg(F.min_by("s_ms", "seg_idx").alias("first_s"))
+    told = clips.join(starts, [*keys, *clip]).join(best, [*keys, *clip], "left")
+    given = F.col("hook_s").isNotNull() & F.col("hook_e").isNotNull()
+    keeps = given & (F.col("hook_e") - F.col("hook_s") >= 1000) & (F.abs(F.col("hook_s") - F.col("first_s")) > away)
+    found = ~given & (F.abs(F.col("best") - F.col("first_s")) > away)
+    return told.select(*keys, *clip, F.when(keeps, F.col("hook_s")).when(found, F.col("best")).alias("hook_s2"),
+                       F.when(keeps, F.least("hook_e", F.col("hook_s") + longest)).when(found, F.col("best") + length).alias("hook_e2")).withColumnsRenamed(
+        {"hook_s2": "hook_s", "hook_e2": "hook_e"})

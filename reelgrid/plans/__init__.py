@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("standin_tables", "interval_sets", "signal_islands", "activity_marts", "intake_plans",
-           "clip_selection", "transcript_jobs", "caption_cues", "highlights", "event_feeds", "script_parts", "chapter_plans")
+           "clip_selection", "transcript_jobs", "caption_cues", "highlights", "event_feeds", "script_parts", "chapter_plans", "script_rewrites", "effect_plans", "timing_plans")
 
 
 
