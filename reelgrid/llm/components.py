@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from reelgrid.llm.texts import written
 
 
+def starred(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Fewer edges (a, b) with the same components: each node hands its smaller neighbours to the smallest of them.
+
+    Of a group whose k nodes are all linked, k - 1 edges stay. For nodes with a bounded number of neighbours.
+    """
+    pairs = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("other")).where("node <> other")
+    least = F.min("other").over(W.partitionBy("node"))
+    handed = pairs.withColumn("least", least)
+    return (handed.select(F.col("other").alias("a"), F.col("least").alias("b")).where("a <> b")
+            .unionByName(handed.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of an edge: root is the smallest node that can be reached. Nodes may be structs.
 

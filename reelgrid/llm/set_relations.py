@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reelgrid.llm.components import components
+from reelgrid.llm.components import components, starred
 from reelgrid.llm.texts import LOWER, columns, row_key, written
 
 #: Index shingles that two linked sets have in common at least (tiny sets: all that they need).
@@ -329,7 +329,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id, n_links, rk: one row a document."""
     rows, sketch = classes(docs, doc_id, text, width)
     lists = written(index_lists(index_rows(docs, text, width, percent, sketch), percent, short_list), "jaccard-lists")
-    short = components(pair_edges(lists, percent)).select(F.col("node").alias("k"), "root")
+    short = components(starred(pair_edges(lists, percent))).select(F.col("node").alias("k"), "root")
     long_ = lists.where("bn is null").select(_key("ac", "an").alias("k"), F.struct(F.col("bc").alias("c"), F.lit(None).cast("long").alias("n")).alias("root"))
     held = long_.groupBy("k").agg(F.collect_list("root.c").alias("lists"))
     keyed = rows.select("doc_id", "rk", F.struct("c", "n").alias("k"))
