@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from reelgrid.operators.folds import fold_runs
 from reelgrid.operators.intervals import top_per_key
@@ -92,51 +90,51 @@ def spread_pick(cands: DataFrame, keys: list[str], cand: str, s: str, e: str, ra
     return cands.join(out.filter("__p3").select(*keys, cand), [*keys, cand], "left_semi")
 
 
+def _pared(clips: DataFrame, heard: DataFrame, group: list[str], floor: int, most: int, back: bool) -> DataFrame:
+    """`ranges` of each clip without junk at one end: the longest run of junk sentences there whose loss leaves `floor`.
+
+    Sentences are taken from the end inwards. How far the ones before a sentence reach tells what the clip is by then, so whether
+    the sentence is still in it, touches its outermost piece and leaves enough are columns; the first that stops ends the run.
+    """
+    edges = [F.desc("start_ms"), F.desc("idx")] if back else [F.asc("start_ms"), F.asc("idx")]
+    order = W.partitionBy(*group).orderBy(*edges)
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    reach = F.min("start_ms") if back else F.max("end_ms")
+
+    def cut(at: Column) -> Column:
+        side = ((lambda r: F.struct(r["s_ms"].alias("s_ms"), F.least(r["e_ms"], at).alias("e_ms"))) if back
+                else (lambda r: F.struct(F.greatest(r["s_ms"], at).alias("s_ms"), r["e_ms"].alias("e_ms"))))
+        return F.filter(F.transform("ranges", side), lambda r: r["e_ms"] - r["s_ms"] >= 1000)
+
+    s, e = F.col("start_ms"), F.col("end_ms")
+    rows = (heard.join(clips, group).withColumn("__reach", reach.over(before)).withColumn("__to", reach.over(upto))
+            .withColumn("__cur", F.when(F.col("__reach").isNull(), F.col("ranges")).otherwise(cut(F.col("__reach"))))
+            .withColumn("__end", F.try_element_at("__cur", F.lit(-1 if back else 1))))
+    inside = F.exists("__cur", lambda r: (e > r["s_ms"]) & (s < r["e_ms"]))
+    touches = (s < F.col("__end.e_ms") - 10) & (e > F.col("__end.s_ms") + 10)
+    passed = e <= F.col("__end.s_ms") if back else s >= F.col("__end.e_ms")
+    stop = F.coalesce(F.when(inside, ~(F.col("junk") & touches)).otherwise(passed), F.lit(True))
+    left = F.aggregate(cut(F.col("__to")), F.lit(0).cast("long"), lambda t, r: t + r["e_ms"] - r["s_ms"])
+    told = (rows.withColumn("__in", inside.cast("int")).withColumn("__stop", stop.cast("int"))
+            .withColumn("__n", F.sum("__in").over(upto)).withColumn("__off", F.max("__stop").over(upto)))
+    ok = (F.col("__in") == 1) & (F.col("__off") == 0) & (F.col("__n") <= most) & (left >= floor)
+    ends = told.filter(ok).groupBy(*group).agg((F.min if back else F.max)("__to").alias("__at"))
+    return clips.join(ends, group, "left").select(*group, F.when(F.col("__at").isNull(), F.col("ranges")).otherwise(cut(F.col("__at"))).alias("ranges"))
+
+
 def trim_junk_edges(segs: DataFrame, sentences: DataFrame, keys: list[str], clip: str, bucket: int,
                     floor: int = 15_000, most: int = 3) -> DataFrame:
-    """Move clip edges past up to `most` junk sentences per side while `floor` stays.
+    """Move clip ends past up to `most` junk sentences on each side while `floor` stays; pieces left under a second go.
 
-    Only the first and last `most` + 1 sentences of each clip travel to the row helper.
+    A clip's sentences are the rows of one window; a clip is as long as its pieces are.
     """
-    pairs = (overlap_join(segs.select(*keys, clip, "s_ms", "e_ms"), sentences.select(*keys, "idx", "start_ms", "end_ms", "junk"),
+    group = [*keys, clip]
+    heard = (overlap_join(segs.select(*group, "s_ms", "e_ms"), sentences.select(*keys, "idx", "start_ms", "end_ms", "junk"),
                           keys, ("s_ms", "e_ms"), ("start_ms", "end_ms"), bucket)
-             .select(*keys, clip, "idx", "start_ms", "end_ms", "junk").distinct())
-    item = F.struct("start_ms", "idx", "end_ms", "junk")
-    head = (top_per_key(pairs, [*keys, clip], [F.col("start_ms"), F.col("idx")], most + 1)
-            .groupBy(*keys, clip).agg(F.array_sort(F.collect_list(item)).alias("head")))
-    tail = (top_per_key(pairs, [*keys, clip], [F.desc("start_ms"), F.desc("idx")], most + 1)
-            .groupBy(*keys, clip).agg(F.sort_array(F.collect_list(item), asc=False).alias("tail")))
-    ranges = segs.groupBy(*keys, clip).agg(F.array_sort(F.collect_list(F.struct("s_ms", "e_ms"))).alias("ranges"))
-    rows = ranges.join(head, [*keys, clip], "left").join(tail, [*keys, clip], "left")
-
-    def side(cur: list, sents, front: bool) -> list:
-        for x in list(sents if sents is not None else [])[:most]:
-            s, e, junk = x["start_ms"], x["end_ms"], x["junk"]
-            edge = cur[0] if front else cur[-1]
-            if not junk or s >= edge[1] - 10 or e <= edge[0] + 10:
-                break
-            new = [list(r) for r in cur]
-            if front:
-                new[0][0] = max(new[0][0], e)
-            else:
-                new[-1][1] = min(new[-1][1], s)
-            new = [r for r in new if r[1] - r[0] >= 1000]
-            if not new or sum(b - a for a, b in new) < floor:
-                break
-            cur = new
-        return cur
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = []
-            for ranges_, head_, tail_ in zip(b["ranges"], b["head"], b["tail"]):
-                cur = side([[r["s_ms"], r["e_ms"]] for r in ranges_], head_, True)
-                done.append([{"s_ms": a, "e_ms": z} for a, z in side(cur, tail_, False)])
-            yield b[[*keys, clip]].assign(ranges=done)
-
-    schema = T.StructType([*[rows.schema[c] for c in [*keys, clip, "ranges"]]])
-    return (rows.mapInPandas(go, schema).select(*keys, clip, F.posexplode("ranges").alias("seg_idx", "r"))
-            .select(*keys, clip, "seg_idx", "r.s_ms", "r.e_ms"))
+             .select(*group, "idx", "start_ms", "end_ms", "junk").distinct())
+    clips = segs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("s_ms", "e_ms"))).alias("ranges"))
+    pared = _pared(_pared(clips, heard, group, floor, most, False), heard, group, floor, most, True)
+    return (pared.select(*group, F.posexplode("ranges").alias("seg_idx", "r")).select(*group, "seg_idx", "r.s_ms", "r.e_ms"))
 
 
 def enforce_length(clips: DataFrame, edges: DataFrame, keys: list[str], clip: str, low: int, duration: str,
@@ -213,21 +211,17 @@ def extend_to_target(clips: DataFrame, sentences: DataFrame, keys: list[str], cl
     nxt = overlap_join(look, sentences.select(*keys, "idx", "start_ms", "end_ms", "junk"), keys, ("__from", "__to"),
                        ("start_ms", "end_ms"), bucket).filter(F.col("end_ms") > F.col("last_e") + 50)
 
-    def step(state: dict, last_e: int, total: int, s: int, e: int, junk: bool) -> int:
-        """Start of the added piece, -1 when nothing is added."""
-        if not state:
-            state.update(end=last_e, total=total, on=True)
-        if not state["on"] or e <= state["end"] + 50:
-            return -1
-        pause = s - state["end"]
-        begin = state["end"] if pause <= gap else s
-        if pause > hard_gap or junk or (most and state["total"] + e - begin > most + 500):
-            state["on"] = False
-            return -1
-        state.update(end=e, total=state["total"] + e - begin)
-        state["on"] = state["total"] < target
-        return begin
-
-    added = fold_runs(nxt, [*keys, clip], ["start_ms", "idx"], ["last_e", "total", "start_ms", "end_ms", "junk"], dict, step,
-                      "piece_s", T.LongType())
-    return added.filter("piece_s >= 0").select(*keys, clip, "piece_s", F.col("end_ms").alias("piece_e"))
+    # everything heard before a sentence is in the clip by then, or the clip has stopped: sums over earlier rows say what it is
+    order = W.partitionBy(*keys, clip).orderBy("start_ms", "idx")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    front = F.greatest(F.col("last_e"), F.max("end_ms").over(before))
+    pause = F.col("start_ms") - F.col("__front")
+    begin = F.when(pause <= gap, F.col("__front")).otherwise(F.col("start_ms"))
+    size = F.when(F.col("__new"), F.col("end_ms") - F.col("piece_s")).otherwise(0)
+    seen = (nxt.withColumn("__front", front).withColumn("__new", F.col("end_ms") > F.col("__front") + 50).withColumn("piece_s", begin)
+            .withColumn("__sum", F.col("total") + F.sum(size).over(upto)))
+    over = (F.col("__sum") > most + 500) if most else F.lit(False)
+    full = F.col("__sum") - size >= target
+    stop = (F.col("__new") & ((pause > hard_gap) | F.col("junk") | over | full)).cast("int")
+    added = seen.withColumn("__stop", F.max(stop).over(upto)).filter("__new and __stop = 0")
+    return added.select(*keys, clip, "piece_s", F.col("end_ms").alias("piece_e"))

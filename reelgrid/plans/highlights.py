@@ -109,12 +109,26 @@ def extend_to_target(spark, folder):
     return sh.extend_to_target(clips, tr.scored_sentences(s, KEY), KEY, "clip_id", 30_000, 60_000, BUCKET)
 
 
-@query()
+_TRIM = {
+    "sent": f"select video_id, idx, start_ms, end_ms, {is_junk_sql('norm')} as junk from (select *, {NORM('text')} as norm from doc_lines)",
+    # two pieces a clip; the front is pared (phase 1) before the back (2)
+    "walk": """select video_id, idx as clip_id, [{'s': start_ms, 'e': start_ms + 30000}, {'s': start_ms + 35000, 'e': start_ms + 65000}] as p, 1 as phase, 0 as k from doc_lines union all
+      select video_id, clip_id, case when ok then new else p end, case when ok then phase else phase + 1 end, case when ok then k + 1 else 0 end
+      from (select *, k < 3 and x.junk and x.s < rim.e - 10 and x.e > rim.s + 10 and coalesce(list_sum(list_transform(new, lambda r: r.e - r.s)), 0) >= 15000 as ok from (
+        select *, list_filter(case when phase = 1 then [{'s': greatest(p[1].s, x.e), 'e': p[1].e}] || p[2:] else p[:len(p) - 1] || [{'s': p[len(p)].s, 'e': least(p[len(p)].e, x.s)}] end,
+            lambda r: r.e - r.s >= 1000) as new, case when phase = 1 then p[1] else p[len(p)] end as rim from (
+        select w.video_id, w.clip_id, w.p, w.phase, w.k, arg_min({'s': s.start_ms, 'e': s.end_ms, 'junk': s.junk}, case when w.phase = 1 then {'a': s.start_ms, 'i': s.idx} else {'a': -s.start_ms, 'i': -s.idx} end) as x
+        from walk w left join sent s on s.video_id = w.video_id and len(list_filter(w.p, lambda r: s.end_ms > r.s and s.start_ms < r.e)) > 0 where w.phase < 3 group by w.video_id, w.clip_id, w.p, w.phase, w.k)))"""}
+
+
+@query(with_tables("""select video_id, clip_id, cast(i - 1 as integer) as seg_idx, p[i].s as s_ms, p[i].e as e_ms from (select *, unnest(generate_series(1, len(p))) as i from walk where phase = 3)""",
+                   "doc_lines", more=_TRIM).replace("walk as materialized", "walk as"))
 def trim_junk_edges(spark, folder):
     from reelgrid.sources.standins import doc_lines
     d = doc_lines(spark, folder)
     marks = tr.scored_sentences(d, KEY)
-    segs = d.select("video_id", F.col("idx").alias("clip_id"), F.lit(0).alias("seg_idx"), F.col("start_ms").alias("s_ms"), (F.col("start_ms") + 60_000).alias("e_ms"))
+    pieces = F.explode(F.array(*[F.struct((F.col("start_ms") + a).alias("s_ms"), (F.col("start_ms") + b).alias("e_ms")) for a, b in ((0, 30_000), (35_000, 65_000))]))
+    segs = d.select("video_id", F.col("idx").alias("clip_id"), pieces.alias("x")).select("video_id", "clip_id", "x.*")
     return sh.trim_junk_edges(segs, marks, KEY, "clip_id", BUCKET)
 
 
