@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reelgrid.llm.texts import WORD_BYTES, columns, written
+from reelgrid.llm.texts import WORD_BYTES, columns, each, written
 
 #: Words of the items that one automaton takes: about 300,000 states.
 BLOCK_WORDS = 200_000
@@ -241,8 +241,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     Cutting can bring words together that form a window again, so a text is cut until nothing is hit; with several blocks the
     passes over all blocks are repeated until one cuts nothing.
     """
+    # numbered names inside, so that no name of the documents clashes
     cols = docs.columns
-    df = docs.select(*cols, F.lit(0).cast("long").alias("__cut"), F.lit(-1).cast("long").alias("__words"))
+    text = f"c{cols.index(text)}"
+    df = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(each(cols))], F.lit(0).cast("long").alias("cut"), F.lit(-1).cast("long").alias("words"))
     schema, before = df.schema, None
     while True:
         n = 0
@@ -250,10 +252,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
             def go(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
                 machine = _automaton(held, window)
                 for batch in batches:
-                    rows = [_cut(machine, *row) for row in zip(*columns(batch, text, "__cut", "__words"))]
+                    rows = [_cut(machine, *row) for row in zip(*columns(batch, text, "cut", "words"))]
                     made = list(zip(*rows)) if rows else [()] * 3
-                    yield _replaced(batch, {text: pa.array(made[0], pa.string()), "__cut": pa.array(made[1], pa.int64()),
-                                            "__words": pa.array(made[2], pa.int64())})
+                    yield _replaced(batch, {text: pa.array(made[0], pa.string()), "cut": pa.array(made[1], pa.int64()),
+                                            "words": pa.array(made[2], pa.int64())})
 
             df, n = df.mapInArrow(go, schema), n + 1
             if not last:
@@ -261,11 +263,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         if n == 1:
             break
         df = written(df, "benchmark-cuts")
-        now = df.agg(F.sum("__cut").alias("n")).first()["n"]
+        now = df.agg(F.sum("cut").alias("n")).first()["n"]
         if now == before or not now:
             break
         before = now
-    return df.where(F.col("__cut") <= F.lit(max_coverage) * F.col("__words")).select(*cols)
+    return df.where(F.col("cut") <= F.lit(max_coverage) * F.col("words")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def _cut(machine: Automaton, text: str | None, cut: int, total: int) -> tuple[str | None, int, int]:

@@ -18,8 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
-from reelgrid.llm.texts import CONTINUATION, columns, n_points, written
+from reelgrid.llm.texts import CONTINUATION, columns, each, n_points, written
 
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "mark", "symbol", "beyond_ascii", "control")
 SYMBOLS = b"#*$%&|<>"
@@ -200,7 +201,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     head: list[Column] = [F.col(doc_id).alias("doc_id")]
     if carry is not None:
-        head.append(F.struct(*carry).alias("doc"))
+        head.append(F.struct(*each(carry)).alias("doc"))
     src = docs.select(*head, F.col(text).cast("binary").alias("__text"), F.col(lang).alias("__lang"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if not f.name.startswith("__"))
-    return src.mapInArrow(go, f"{kinds}, {_DDL}")
+    held = [f for f in src.schema if not f.name.startswith("__")]
+    return src.mapInArrow(go, T.StructType(held + T.StructType.fromDDL(_DDL).fields))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from reelgrid.llm.texts import BLANKS, LOWER, columns, digests, n_points, row_key
+from reelgrid.llm.texts import BLANKS, LOWER, columns, digests, each, n_points, row_key
 from reelgrid.session import checkpointed
 
 _LOWEST = -(1 << 63)
@@ -184,7 +184,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """One row a document: doc_id, n_lines, n_dropped, kept_sha256, and on demand kept_text and the carried columns (struct `doc`)."""
     maps = keep_bitmaps(docs, doc_id, text, min_docs, min_chars).select(
         F.col("doc").alias("__doc"), F.col("rk").alias("__rk"), F.col("keep").alias("__keep"))
-    head = [F.col(doc_id).alias("doc_id")] + ([F.struct(*carry).alias("doc")] if carry is not None else [])
+    head = [F.col(doc_id).alias("doc_id")] + ([F.struct(*each(carry)).alias("doc")] if carry is not None else [])
     src = docs.select(*head, F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("__doc"),
                       row_key(F.col(doc_id), F.col(text)).alias("__rk"), F.col(text).cast("binary").alias("__text"))
     met = src.join(maps, ["__doc", "__rk"], "left").drop("__doc", "__rk")
@@ -202,6 +202,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 [batch.column(i) for i in held] + [pa.array(v, t) for v, t in zip(made, kinds)],
                 names=[batch.schema.field(i).name for i in held] + ["n_lines", "n_dropped", "kept_sha256", "kept_text"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if not f.name.startswith("__"))
-    out = met.mapInArrow(go, f"{kinds}, n_lines long, n_dropped long, kept_sha256 string, kept_text binary")
+    held = [f for f in met.schema if not f.name.startswith("__")]
+    out = met.mapInArrow(go, T.StructType(held + T.StructType.fromDDL("n_lines long, n_dropped long, kept_sha256 string, kept_text binary").fields))
     return out.withColumn("kept_text", F.col("kept_text").cast("string")) if with_text else out.drop("kept_text")

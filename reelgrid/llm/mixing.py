@@ -16,17 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from reelgrid.llm.texts import each
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of the random key inside a source: hexadecimal digits of the key.
 RANGE_DIGITS = 3
 
 
-def sizes(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
-    """doc_id, source, size, key, range, tie."""
+def sizes(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, key, range, tie, and the carried columns in a struct `doc`."""
     key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       key.alias("key"), F.substring(key, 1, RANGE_DIGITS).alias("range"), F.xxhash64(F.col(text)).alias("tie"))
+                       key.alias("key"), F.substring(key, 1, RANGE_DIGITS).alias("range"), F.xxhash64(F.col(text)).alias("tie"),
+                       *([F.struct(*each(carry)).alias("doc")] if carry is not None else []))
 
 
 def targets(per_source: DataFrame, weights: list[float], most: float) -> DataFrame:
@@ -69,14 +72,15 @@ def taken(target: Column, source_size: Column, size: Column, before: Column) ->
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: list[float] | None = None, most: float = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of `docs`."""
-    rows = sizes(docs, doc_id, text, source, seed)
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        weights: list[float] | None = None, most: float = 3, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row for each row of `docs`. `carry` names more columns of `docs` to
+    return, in a struct `doc`."""
+    rows = sizes(docs, doc_id, text, source, seed, carry)
+    per_source = sizes(docs, doc_id, text, source, seed).groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(per_source, weights or [1.0, 2.0, 3.0], most).withColumnRenamed("source", "__t")
     spread = placed(rows)
     return (spread.join(aims, spread["source"].eqNullSafe(aims["__t"]))
-            .select("doc_id", "source", "size", "source_size", "target",
+            .select(*(["doc"] if carry is not None else []), "doc_id", "source", "size", "source_size", "target",
                     taken(F.col("target"), F.col("source_size"), F.col("size"), F.col("before")).alias("taken")))
 
 

@@ -56,7 +56,7 @@ def op8_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_relations.link_components(_read(spark, sf_dir, "documents")).drop("rk")
+    return set_relations.link_components(_read(spark, sf_dir, "documents")).drop("rk", "group")
 
 
 def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

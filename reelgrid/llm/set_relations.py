@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelgrid.llm.components import components, starred
-from reelgrid.llm.texts import LOWER, columns, row_key, written
+from reelgrid.llm.texts import LOWER, columns, each, row_key, written
 
 #: Index shingles that two linked sets have in common at least (tiny sets: all that they need).
 COMMON = 4
@@ -317,16 +317,23 @@ def verified(docs: DataFrame, text_rows: DataFrame, width: int, percent: int) ->
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """The documents that give their component its id, and all without words. Rows of that same id stay together."""
+    """One document of each component, and all without words: the smallest (id, row key), null ids last.
+
+    Of rows equal in id and text one stays; where their other columns differ, any one of them."""
     linked = link_components(docs, doc_id, text, width, percent)
-    stay = linked.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("__rk"))
-    keyed = docs.select("*", row_key(F.col(doc_id), F.col(text)).alias("__rk"))
-    return keyed.join(stay, "__rk", "left_semi").select(*docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    first = linked.where("n_shingles > 0").groupBy("group").agg(F.min(place).alias("w")).select(F.col("w.rk").alias("rk"), F.lit(True).alias("one"))
+    bare = linked.where("n_shingles = 0").select("rk", F.lit(False).alias("one")).distinct()
+    # the documents travel in one column, so that no name clashes
+    keyed = docs.select(F.struct(*each(docs.columns)).alias("doc"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("rk"))
+    held = keyed.join(first.unionByName(bare), "rk")
+    out = held.where("one").dropDuplicates(["rk"]).unionByName(held.where("not one"))
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85,
                     short_list: int = SHORT_LIST, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, rk: one row a document."""
+    """doc_id, n_shingles, component_id, n_links, rk, group (the same for the documents of a component): one row a document."""
     rows, sketch = classes(docs, doc_id, text, width)
     lists = written(index_lists(index_rows(docs, text, width, percent, sketch), percent, short_list), "jaccard-lists")
     short = components(starred(pair_edges(lists, percent))).select(F.col("node").alias("k"), "root")
@@ -350,8 +357,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     degree = decided.where("links is not null").groupBy(a.alias("k")).agg(F.sum("links").alias("links"))
     lows = linked.join(members.select("k", "low").distinct(), "k").groupBy("root").agg(F.min("low").alias("least"))
     answer = (sized.join(linked, "k", "left").join(lows, "root", "left").join(degree, "k", "left")
-              .select("k", F.coalesce("least", "low").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links")))
+              .select("k", F.coalesce("root", "k").alias("group"), F.coalesce("least", "low").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links")))
     empty = F.col("k.n") == 0
     return keyed.join(answer, "k").select(
         "doc_id", F.col("k.n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "rk")
+        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "rk", "group")

@@ -42,14 +42,19 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The same rows, read again from a table in the shared folder: later reads need no lineage."""
     spark = df.sparkSession
     path = os.path.join(folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def each(columns_: list[str]) -> list[Column]:
+    """The named columns, dots and all."""
+    return [F.col(f"`{c}`") for c in columns_]
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows of one doc_id apart; equal rows share it, and then share every decision."""
     return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)

@@ -8,13 +8,16 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from reelgrid.llm.divergence import Limits, judge
+from reelgrid.llm.texts import row_key
 
 WORDS = [f"{a}{b}" for a in ("ka", "le", "mi", "no", "su", "ta") for b in ("ra", "den", "lo", "mis", "tor", "ne", "vi", "gal", "sen", "pu")]
 ITEM = "the quick question asks which river flows through the old capital and into the northern sea before winter begins"
 SHARED = "this footer stands below very many of the pages"
-SCHEMA = "doc_id long, text string, lang string, source string, kept string, n_words long, taken long, size long, __text string"
+SCHEMA = "doc_id long, text string, lang string, source string, kept string, n_words long, taken long, size long, __text string, `a.b` string, __cut long, __rk long"
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -32,8 +35,11 @@ def planted():
               32: prose(33, 1200), 33: prose(34).upper(), 34: "Straße 漢字 " * 3 + prose(35)}
     for i in (5, 6, 7, 34):
         texts[i] = f"{texts[i]}\n  {SHARED.upper() if i == 6 else SHARED}\t"
-    rows = [(i, t, "en" if i % 5 else None, None if i % 7 == 0 else f"s{i % 3}", "x", 1, 1, 1, "x") for i, t in texts.items()]
-    return [*rows, rows[0], (None, prose(50), "en", "s1", None, None, None, None, None), (None, prose(3), "en", "s1", None, None, None, None, None)]
+    rows = [(i, t, "en" if i % 5 else None, None if i % 7 == 0 else f"s{i % 3}", "x", 1, 1, 1, "x", "y", 2, 3) for i, t in texts.items()]
+    rest = (None,) * 8
+    # a repeated row, near copies under one id, and a component whose ids are all null
+    return [*rows, rows[0], (40, prose(101) + " other", "en", "s1", *rest), (40, prose(101) + " thing", "en", "s1", *rest),
+            (None, prose(50), "en", "s1", *rest), (None, prose(50) + " more", "en", "s1", *rest), (None, prose(3), "en", "s1", *rest)]
 
 
 def low(text):
@@ -105,7 +111,7 @@ def lines_once(rows):
     return out
 
 
-def one_a_group(rows):
+def one_a_group(rows, keys):
     def shingles(t):
         w = words_of(low(t))
         return {tuple(w)} if 0 < len(w) < 5 else set(zip(w, w[1:], w[2:], w[3:], w[4:]))
@@ -114,8 +120,13 @@ def one_a_group(rows):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 root = [root[b] if x == root[a] else x for x in root]
-    least = {q: min((r[0] for r, x in zip(rows, root) if x == q and r[0] is not None), default=None) for q in root}
-    return [r for r, q, s in zip(rows, root, sets) if not s or r[0] == least[q]]
+    first = {q: min((r[0] is None, r[0] or 0, k, i) for i, (r, x, k) in enumerate(zip(rows, root, keys)) if x == q)[3] for q in root}
+    return [r for i, (r, q, s) in enumerate(zip(rows, root, sets)) if not s or first[q] == i]
+
+
+def row_keys(spark, rows):
+    frame = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "at int, doc_id long, text string")
+    return [r["k"] for r in frame.select("at", row_key(F.col("doc_id"), F.col("text")).alias("k")).orderBy("at").collect()]
 
 
 def without_items(rows, items):
@@ -194,7 +205,7 @@ def test_quality_verdicts_against_plain_python(spark):
 def test_every_stage_against_plain_python(spark, tables):
     at, items = tables
     docs, rows = spark.read.parquet(f"{at}/documents.parquet"), planted()
-    plain = [good_ones, lines_once, one_a_group, lambda x: without_items(x, items), mixed]
+    plain = [good_ones, lines_once, lambda x: one_a_group(x, row_keys(spark, x)), lambda x: without_items(x, items), mixed]
     for k, ((name, stage), expected) in enumerate(zip(corpus_pipeline.STAGES, plain)):
         made, rows = stage(spark, docs, at), expected(rows)
         if k + 1 < len(plain):
@@ -203,7 +214,9 @@ def test_every_stage_against_plain_python(spark, tables):
             assert Counter(map(tuple, docs.collect())) == Counter(rows), name
     want = Counter(rows)
     assert {r[0] for r in rows}.isdisjoint({3, 20, 23, 31})     # line dedup left the lines of 3 and 20 in 21
-    got = corpus_pipeline.run(spark, at).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    final = corpus_pipeline.run(spark, at)
+    assert {"text", "lang", "kept", "a.b", "__cut", "__rk", "document_taken"} <= set(final.columns)
+    got = final.select("doc_id", "source", "size", "source_size", "target", "taken").collect()
     assert Counter((*r[:4], round(r[4], 6), r[5]) for r in map(tuple, got)) == want
 
 
