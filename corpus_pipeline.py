@@ -1,4 +1,10 @@
-"""A training-data pipeline: each stage works on all documents that the stage before it kept."""
+"""A training-data pipeline: each stage works on all documents that the stage before it kept.
+
+Every stage takes any columns besides doc_id, text, lang and source, whatever their names. Nulls: a null text has no words and is
+rejected by the first stage; null ids, languages and sources are values of their own. Ties and repeated rows: equal rows
+share every verdict, and of a group of near copies one row stays (the smallest id, null ids last). Empty tables give empty tables, and an
+empty benchmark cuts nothing. Long texts are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -36,8 +42,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents it takes nothing of go."""
-    return mixing.mix(docs).where("taken > 0")
+    """The mixed corpus: documents with what the mix takes of them (`taken` words, whole repeats counted); those it takes nothing of go.
+
+    The columns of the documents come first, then those of the mix; a document's column of such a name is told as `document_` and the name."""
+    made = mixing.mix(docs, carry=docs.columns).where("taken > 0")
+    told = ["size", "source_size", "target", "taken"]
+    return made.select(*[F.col(f"doc.`{c}`").alias(f"document_{c}" if c in told else c) for c in docs.columns], *told)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("jaccard_dedup", jaccard_dedup),
