@@ -8,13 +8,15 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from reelgrid.operators.coupled import coupled_moves
-from reelgrid.operators.folds import unfold_runs
-from reelgrid.operators.intervals import islands, merge_ranges, subtract_ranges
+from reelgrid.operators.folds import fold_runs, unfold_runs
+from reelgrid.operators.intervals import islands, merge_ranges, subtract_ranges, top_per_key
 from reelgrid.operators.joins import edge_within, snap
 from reelgrid.operators.scan import last_value, next_value, row_number, running_sum, scan, time_chunk
+from reelgrid.operators.transcripts import window_speech
 from reelgrid.session import checkpointed
 
 
@@ -216,3 +218,51 @@ def fit_chapters(windows: DataFrame, chapters: DataFrame, used: DataFrame, edges
     out = grown(out, F.col("duration"), missing, False)
     reason = F.when(F.col("over"), "cut").when(~F.col("asked"), "kept").when(F.col("total") < low - 1000, "short").otherwise("stretched")
     return out.select(*group, "first_s", "last_e", "total", reason.alias("reason"))
+
+
+def validate_windows(windows: DataFrame, videos: DataFrame, sentences: DataFrame, keys: list[str], group: str, chunk: int, bucket: int,
+                     low: int = 0, high: int = 0, most: int = 6, shortest: int = 6000, longest: int = 45_000) -> DataFrame:
+    """Clean windows of each script: keys, group, s_ms, e_ms; a script that is rejected has none.
+
+    Windows are clamped to the video, cut to `longest`, pushed behind the one before and dropped under `shortest`. Windows with over 30 % junk
+    words go, those with under 1.2 words a second too unless alone. The `most` longest stay, in time order, up to `high` in all.
+    A single window must last 20 s or 60 % of `low`, several of them 60 % of `low` together. `sentences` as scored, `videos`: keys, duration.
+    """
+    of = [*keys, group]
+    dur = F.col("duration")
+    a = F.least(F.greatest(F.col("s_ms"), F.lit(0)), F.when(dur > 0, dur).otherwise(F.greatest(F.col("s_ms"), F.lit(0))))
+    b = F.when(dur > 0, F.least("e_ms", dur)).otherwise(F.col("e_ms"))
+    clean = (windows.join(videos, keys).select(*of, a.alias("s_ms"), b.alias("e_ms")).withColumn("e_ms", F.least("e_ms", F.col("s_ms") + longest))
+             .filter(F.col("e_ms") - F.col("s_ms") >= shortest))
+    # windows that no other one reaches push nobody: each connected run is walked alone
+    clean = checkpointed(clean)
+    runs = islands(clean, of, "s_ms", "e_ms", chunk).select(*of, "s_ms", "island")
+
+    def push(state: dict, s: int, e: int) -> int:
+        start = max(s, state.get("end", s))
+        if e - start < shortest:
+            return -1
+        state["end"] = e
+        return start
+
+    pushed = (fold_runs(clean.join(runs, [*of, "s_ms"]), [*of, "island"], ["s_ms", "e_ms"], ["s_ms", "e_ms"], dict, push, "start", T.LongType())
+              .filter("start >= 0").select(*of, F.col("start").alias("s_ms"), "e_ms"))
+    pushed = checkpointed(pushed.withColumn("win", F.col("s_ms")))             # starts are unique in a script now
+    heard = window_speech(pushed, sentences, keys, [group, "win"], "s_ms", "e_ms", bucket).select(*of, "win", "junk_ratio", "density")
+    many = pushed.groupBy(*of).agg(F.count("*").alias("n"))
+    good = (pushed.join(heard, [*of, "win"]).join(many, of)
+            .filter((F.round("junk_ratio", 6) <= 0.30) & ((F.round("density", 6) >= 1.2) | (F.col("n") <= 1))))
+    top = top_per_key(good, of, [F.desc(F.col("e_ms") - F.col("s_ms")), F.asc("s_ms")], most)
+    # a script has a handful of windows from here on
+    order = W.partitionBy(*of).orderBy("s_ms").rowsBetween(W.unboundedPreceding, -1)
+    size = F.col("e_ms") - F.col("s_ms")
+    kept = top.select(*of, "s_ms", "e_ms")
+    if high > 0:
+        before = F.coalesce(F.sum(size).over(order), F.lit(0))
+        kept = (kept.withColumn("before", before).filter(F.col("before") < high - 10)
+                .withColumn("e_ms", F.least("e_ms", F.col("s_ms") + high - F.col("before")))
+                .withColumn("whole", F.col("e_ms") - F.col("s_ms") >= shortest).filter("whole").drop("before", "whole"))
+    whole = W.partitionBy(*of)
+    need = F.when(F.col("n") == 1, F.lit(max(20_000, low * 6 // 10))).otherwise(F.lit(low * 6 // 10))
+    return (kept.withColumn("n", F.count("*").over(whole)).withColumn("total", F.sum(size).over(whole))
+            .filter(F.col("total") >= need).select(*of, "s_ms", "e_ms"))

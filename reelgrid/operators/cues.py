@@ -216,3 +216,11 @@ def deal_to_islands(texts: DataFrame, islands: DataFrame, keys: list[str], k: in
     return timed.join(sums, [*keys, "isl"]).select(
         *keys, "grp", "text", (F.col("s_ms") + F.floor(span * (F.col("seen") - chars) / F.col("all"))).alias("a"),
         (F.col("s_ms") + F.floor(span * F.col("seen") / F.col("all"))).alias("b"))
+
+
+def phrase_groups_heard(words: DataFrame, keys: list[str], order: list[str], position: Column, k: int = 3) -> DataFrame:
+    """Groups of k words by the times of the words themselves: keys, grp, text, a, b. `position`: a non-decreasing function of the order."""
+    numbered = scan(words, keys, order, position, nth=row_number()).withColumn("grp", F.floor((F.col("nth") - 1) / k))
+    return numbered.groupBy(*keys, "grp").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "word"))), lambda x: x["word"]), " ").alias("text"),
+        F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))

@@ -144,3 +144,18 @@ def evict_oldest(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     seen = scan(df, keys, order, chunk, __before=running_sum(F.col(size), False))
     total = df.groupBy(*keys).agg(F.sum(size).alias("__all"))
     return seen.join(total, keys).filter(F.col("__all") - F.col("__before") > most).drop("__before", "__all")
+
+
+def annotate_clips(clips: DataFrame, edits: DataFrame, clip: str, field: str) -> DataFrame:
+    """Clips with one field of their `signals` struct set, and with moved ends: edits are clip, value, start_ms, end_ms.
+
+    A clip without an edit stays as it is; a null value empties the field, null ends stay; a field that the struct lacks is added to all.
+    Of several edits of a clip the last by (start_ms, end_ms, value) holds.
+    """
+    last = edits.groupBy(clip).agg(F.max(F.struct("start_ms", "end_ms", "value")).alias("__e"))
+    had = {f.name for f in clips.schema["signals"].dataType.fields}
+    old = F.col(f"signals.{field}") if field in had else F.lit(None).cast(edits.schema["value"].dataType)
+    value = F.when(F.col("__e").isNotNull(), F.col("__e.value")).otherwise(old)
+    moved = clips.join(last, clip, "left")
+    return (moved.withColumn("signals", F.col("signals").withField(field, value))
+            .withColumn("start_ms", F.coalesce("__e.start_ms", "start_ms")).withColumn("end_ms", F.coalesce("__e.end_ms", "end_ms")).drop("__e"))

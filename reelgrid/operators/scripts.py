@@ -41,6 +41,35 @@ def join_kinds(segs: DataFrame, clip: list[str]) -> DataFrame:
     return rows.select(*clip, "idx", F.when(final, "reveal").otherwise(F.col("kind")).alias("kind"))
 
 
+def narrated_join_kinds(segs: DataFrame, parts: DataFrame, clip: list[str], bucket: int) -> DataFrame:
+    """Sound of the join after each segment of a narrated clip: clip, idx, kind.
+
+    The valid label of the part where the next segment begins wins, `none` included. Without one, the last join reveals, a part with original
+    sound hits, the first narrated one rises, and the others are transitions.
+    """
+    nxt = scan(segs, clip, ["idx"], _chunk(), at_ms=next_value(F.col("start_ms")), __after=next_value(F.col("idx")))
+    last = segs.groupBy(*clip).agg(F.max("idx").alias("__last"))
+    joins = nxt.filter("at_ms is not null").join(last, clip).select(*clip, "idx", "at_ms", (F.col("__after") == F.col("__last")).alias("__final"))
+    held = script_part_at(joins.select(*clip, "at_ms").distinct(), parts, clip, "at_ms", bucket)
+    seen = joins.join(held, [*clip, "at_ms"], "left")
+    fresh = F.col("sfx").isNull() & ~F.col("__final") & F.coalesce(F.col("mode") == "narrate", F.lit(False))
+    ranked = scan(seen.withColumn("__told", fresh.cast("long")), clip, ["idx"], _chunk(), __turn=running_sum(F.col("__told")))
+    kind = (F.when(F.col("sfx").isNotNull(), F.col("sfx")).when(F.col("__final"), "reveal").when(F.col("mode") == "orig", "impact")
+            .when((F.col("__told") == 1) & (F.col("__turn") == 1), "riser").otherwise("transition"))
+    return ranked.select(*clip, "idx", kind.alias("kind"))
+
+
+def climax_joins(kinds: DataFrame, segs: DataFrame, climax: DataFrame, clip: list[str]) -> DataFrame:
+    """`join_kinds` with the join into the climax stressed: an impact where it is the best of several moments (`mixed`), else an impact or a riser,
+    settled by the clip's name. `climax`: clip, idx of its segment, mixed; a climax in the first segment has no join before it."""
+    before = scan(segs.select(*clip, "idx"), clip, ["idx"], _chunk(), __into=next_value(F.col("idx")))
+    top = climax.select(*clip, F.col("idx").alias("__into"), "mixed")
+    met = before.join(top, [*clip, "__into"]).select(*clip, "idx", "mixed")
+    even = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in clip])), 1, 1), 16, 10).cast("int") % 2 == 0
+    stress = F.when(F.col("mixed") | even, "impact").otherwise("riser")
+    return kinds.join(met, [*clip, "idx"], "left").select(*clip, "idx", F.when(F.col("mixed").isNull(), F.col("kind")).otherwise(stress).alias("kind"))
+
+
 def script_part_at(points: DataFrame, parts: DataFrame, keys: list[str], t: str, bucket: int) -> DataFrame:
     """Mode and valid sound label of the part that holds each time; a part starting within 50 ms wins."""
     hit = points_in_spans(points, parts, keys, t, ("start_ms", "end_ms"), bucket, "both", 50)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelgrid.operators import chapters as ch, intervals as iv
+from reelgrid.operators import chapters as ch, intervals as iv, transcripts as tr
 from reelgrid.plans.interval_sets import merged_cte
 from reelgrid.plans.registry import query
 from reelgrid.session import checkpointed
 from reelgrid.sources.standins import doc_lines, with_tables
 from reelgrid.sources.tables import read_table
+from reelgrid.plans.transcript_jobs import _LINES as _SCORED
 
 KEY, CHUNK, BUCKET = ["video_id"], 600_000, 60_000
 SLICE = 20_000                     # width of the equal slices that sparse chapters are made of
@@ -135,3 +136,31 @@ def fit_chapters(spark, folder):
             .select("video_id", "act", (F.col("act") * ACT).alias("c0"), ((F.col("act") + 1) * ACT).alias("c1"), "duration"))
     edges = f.filter("flag = 'R'").select("video_id", F.explode(F.array("s_ms", "e_ms")).alias("edge_ms"))
     return ch.fit_chapters(free, acts, _used(f), edges, KEY, "act", 60_000, 80_000, CHUNK, BUCKET)
+
+
+# ---- windows as a model gives them: one from each line on, of any length, some beyond the video ----
+_RAW = {"raw": "select video_id, idx % 3 as script, start_ms - 700 as s_ms, start_ms + 5000 + length(text) * 397 % 60000 as e_ms from doc_lines",
+        "dur": "select video_id, max(end_ms) as d from doc_lines group by 1",
+        "cl": """select * from (select video_id, script, s, least(e, s + 45000) as e from (select r.video_id, script, least(greatest(s_ms, 0), d) as s, least(e_ms, d) as e from raw r join dur using (video_id)))
+           where e - s >= 6000""",
+        "ord": "select *, row_number() over (partition by video_id, script order by s, e) as rn from cl",
+        "walk": """select video_id, script, rn, s as a, e as b, true as keep, e as top from ord where rn = 1 union all
+           select o.video_id, o.script, o.rn, greatest(o.s, w.top), o.e, o.e - greatest(o.s, w.top) >= 6000, case when o.e - greatest(o.s, w.top) >= 6000 then o.e else w.top end
+           from walk w join ord o on o.video_id = w.video_id and o.script = w.script and o.rn = w.rn + 1""",
+        "win": "select video_id, script, a, b, count(*) over (partition by video_id, script) as n from walk where keep",
+        "said": """select w.video_id, w.script, w.a, w.b, w.n, round(coalesce(sum(case when m.cta or m.greeting or m.promo then n_words else 0 end) / nullif(sum(n_words), 0), 0), 6) as junk_ratio,
+           round(coalesce(sum(n_words * (least(w.b, m.end_ms) - greatest(w.a, m.start_ms)) / greatest(1, m.end_ms - m.start_ms)), 0) * 1000 / (w.b - w.a), 6) as density
+           from win w left join mk m on m.video_id = w.video_id and m.end_ms > w.a and m.start_ms < w.b group by w.video_id, w.script, w.a, w.b, w.n""",
+        "good": """select *, row_number() over (partition by video_id, script order by b - a desc, a) as place from said where junk_ratio <= 0.3 and (density >= 1.2 or n <= 1)""",
+        "upto": "select *, coalesce(sum(b - a) over (partition by video_id, script order by a rows between unbounded preceding and 1 preceding), 0) as before from good where place <= 6",
+        "fit": "select * from (select video_id, script, a, least(b, a + 90000 - before) as b from upto where before < 89990) where b - a >= 6000"}
+
+
+@query(with_tables("""select video_id, cast(script as bigint) as script, cast(a as bigint) as s_ms, cast(b as bigint) as e_ms from (select *, count(*) over w as n, sum(b - a) over w as total from fit window w as (partition by video_id, script))
+    where total >= case when n = 1 then 24000 else 24000 end""", "doc_lines", more=_SCORED | _RAW).replace("walk as materialized", "walk as"))
+def validate_windows(spark, folder):
+    d = doc_lines(spark, folder)
+    raw = d.select("video_id", (F.col("idx") % 3).alias("script"), (F.col("start_ms") - 700).alias("s_ms"),
+                   (F.col("start_ms") + 5000 + F.length("text") * 397 % 60_000).alias("e_ms"))
+    ends = d.groupBy("video_id").agg(F.max("end_ms").alias("duration"))
+    return ch.validate_windows(raw, ends, tr.scored_sentences(d, KEY), KEY, "script", CHUNK, BUCKET, 40_000, 90_000)

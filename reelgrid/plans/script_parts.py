@@ -42,6 +42,19 @@ def join_kinds(spark, folder):
     return sc.join_kinds(numbered.select("video_id", "idx", "start_ms", "end_ms"), KEY)
 
 
+@query(with_tables("""select k.video_id, k.idx, case when c.idx is null then kind when mixed or ('0x' || substr(md5(k.video_id::varchar), 1, 1))::int % 2 = 0 then 'impact' else 'riser' end as kind
+    from (select video_id, idx, case when idx = n - 1 and n >= 3 and kind = 'transition' then 'reveal' else kind end as kind from jk) k left join top c on c.video_id = k.video_id and c.idx = k.idx + 1""", "segments", more=_J | {
+    "num": "select order_id as video_id, score, row_number() over (partition by order_id order by seg_idx, clip_id) as idx from segments",
+    "top": "select video_id, idx, video_id % 3 = 0 as mixed from num qualify row_number() over (partition by video_id order by score desc, idx) = 1"}))
+def climax_joins(spark, folder):
+    from reelgrid.operators.scan import row_number, scan
+    t = segments(spark, folder).select(F.col("order_id").alias("video_id"), "seg_idx", "clip_id", F.col("s_ms").alias("start_ms"), F.col("e_ms").alias("end_ms"), "score")
+    numbered = scan(t, KEY, ["seg_idx", "clip_id"], F.floor(F.col("seg_idx") / 512), idx=row_number())
+    segs = numbered.select("video_id", "idx", "start_ms", "end_ms")
+    top = numbered.groupBy("video_id").agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("idx")).withColumn("mixed", F.col("video_id") % 3 == 0)
+    return sc.climax_joins(sc.join_kinds(segs, KEY), segs, top, KEY)
+
+
 @query(with_tables("""select video_id, at_ms, mode, case when sfx <> 'boom' then sfx end as sfx from (select q.video_id, q.at_ms, p.mode, p.sfx, row_number() over (partition by q.video_id, q.at_ms order by
       case when (p.start_ms <= at_ms and at_ms < p.end_ms) or abs(p.start_ms - at_ms) < 50 then 0 else 1 end, p.idx) as rn from (select distinct video_id, end_ms - (idx % 3) * 40 as at_ms from parts) q
     join parts p on p.video_id = q.video_id and ((p.start_ms <= at_ms and at_ms <= p.end_ms) or abs(p.start_ms - at_ms) < 50)) where rn = 1""", "sentences", more=_P))
@@ -51,13 +64,56 @@ def script_part_at(spark, folder):
     return sc.script_part_at(pts, p, KEY, "at_ms", 60_000)
 
 
-@query()
+_LABELS = {"lab": "select video_id, idx as label_no, start_ms + (idx % 5 - 2) * 900 as at_ms, sfx as label from parts where sfx <> 'boom'",
+           "num": "select video_id, idx, start_ms, row_number() over (partition by video_id order by idx) as rn from parts",
+           "took": """select video_id, cast(0 as bigint) as rn, cast(null as bigint) as idx, cast(null as bigint) as start_ms, cast([] as bigint[]) as used, cast(null as bigint) as got from num where rn = 1 union all
+              select video_id, rn, idx, start_ms, case when got is null then used else used || [got] end, got from (
+              select t.video_id, n.rn, n.idx, n.start_ms, t.used, arg_min(l.label_no, {'d': abs(l.at_ms - n.start_ms), 'n': l.label_no}) as got
+              from took t join num n on n.video_id = t.video_id and n.rn = t.rn + 1
+              left join lab l on l.video_id = n.video_id and abs(l.at_ms - n.start_ms) < 2500 and not list_contains(t.used, l.label_no) group by t.video_id, n.rn, n.idx, n.start_ms, t.used)""",
+           "named": "select t.video_id, t.idx, t.start_ms, l.label, row_number() over (partition by t.video_id order by t.start_ms, t.idx) as k from took t join lab l on l.video_id = t.video_id and l.label_no = t.got",
+           "apart": """select video_id, k, idx, start_ms, label, start_ms as last, true as keep from named where k = 1 union all
+              select n.video_id, n.k, n.idx, n.start_ms, n.label, case when n.start_ms - a.last >= 7000 then n.start_ms else a.last end, n.start_ms - a.last >= 7000
+              from apart a join named n on n.video_id = a.video_id and n.k = a.k + 1"""}
+
+
+@query(with_tables("select video_id, idx, start_ms, label from apart where keep", "sentences", more=_P | _LABELS).replace("took as materialized", "took as").replace("apart as materialized", "apart as"))
 def attach_labels(spark, folder):
     p = parts(spark, folder)
     labels = p.filter("sfx <> 'boom'").select("video_id", F.col("idx").alias("label_no"), (F.col("start_ms") + (F.col("idx") % 5 - 2) * 900).alias("at_ms"), F.col("sfx").alias("label"))
     return sc.attach_labels(p, labels, KEY, 600_000, 60_000)
 
 
+_JOINS = {"marked": "select video_id, idx, start_ms, end_ms, mode, case when idx % 4 = 1 then 'none' when idx % 7 = 3 then 'pop' else 'boom' end as sfx from parts",
+          "sg": "select video_id, idx, lead(start_ms + (idx + 1) % 3 * 400) over w as at_ms, lead(idx) over w = max(idx) over (partition by video_id) as final from parts window w as (partition by video_id order by idx)",
+          "held": """select * from (select q.video_id, q.idx, q.at_ms, q.final, p.mode, case when p.sfx <> 'boom' then p.sfx end as sfx, row_number() over (partition by q.video_id, q.idx order by
+             case when (p.start_ms <= at_ms and at_ms < p.end_ms) or abs(p.start_ms - at_ms) < 50 then 0 else 1 end, p.idx) as rn from sg q
+             left join marked p on p.video_id = q.video_id and ((p.start_ms <= at_ms and at_ms <= p.end_ms) or abs(p.start_ms - at_ms) < 50) where q.at_ms is not null) where rn = 1""",
+          "turns": "select *, sfx is null and not final and coalesce(mode = 'narrate', false) as told, sum(case when sfx is null and not final and mode = 'narrate' then 1 else 0 end) over (partition by video_id order by idx) as turn from held"}
+
+
+@query(with_tables("select video_id, idx, case when sfx is not null then sfx when final then 'reveal' when mode = 'orig' then 'impact' when told and turn = 1 then 'riser' else 'transition' end as kind from turns",
+                   "sentences", more=_P | _JOINS))
+def narrated_join_kinds(spark, folder):
+    i = F.col("idx")
+    p = parts(spark, folder).withColumn("sfx", F.when(i % 4 == 1, "none").when(i % 7 == 3, "pop").otherwise("boom"))
+    segs = p.select("video_id", "idx", (F.col("start_ms") + i % 3 * 400).alias("start_ms"))
+    return sc.narrated_join_kinds(segs, p, KEY, 60_000)
+
+
+@query(with_tables("""select clip_id, any_value(start_ms) as start_ms, any_value(end_ms) as end_ms, any_value(score) as score, any_value(hook) as hook from (
+    select s.clip_id, coalesce(e.ns, s.s_ms) as start_ms, coalesce(e.ne, s.e_ms) as end_ms, s.score, e.value as hook from (select distinct clip_id, s_ms, e_ms, score from segments) s
+    left join (select clip_id, s_ms + 500 as ns, case when score % 2 = 0 then e_ms - 500 end as ne, score * 10 as value from segments where status = 'suggested'
+      qualify row_number() over (partition by clip_id order by s_ms desc, e_ms desc, score desc) = 1) e using (clip_id)) group by 1""", "segments"))
+def annotate_clips(spark, folder):
+    from reelgrid.operators import ledgers as lg
+    s = segments(spark, folder)
+    clips = s.select("clip_id", F.col("s_ms").alias("start_ms"), F.col("e_ms").alias("end_ms"), F.struct("score", F.lit("x").alias("kind")).alias("signals")).distinct()
+    edits = s.filter("status = 'suggested'").select("clip_id", (F.col("s_ms") + 500).alias("start_ms"), F.when(F.col("score") % 2 == 0, F.col("e_ms") - 500).alias("end_ms"),
+                                                    (F.col("score") * 10).alias("value"))
+    return lg.annotate_clips(clips, edits, "clip_id", "hook").select("clip_id", "start_ms", "end_ms", "signals.score", "signals.hook")
+
+
 @query(with_tables("""select video_id, min(s) as start_ms, max(e) as end_ms, min(mode) as mode from (select *, sum(brk) over (partition by video_id order by s rows unbounded preceding) as run from (
     select *, case when mode = 'orig' and lag(mode) over (partition by video_id order by s) = 'orig' then 0 else 1 end as brk from (
     select video_id, case when gap <= 250 then before else start_ms end as s, case when tail <= 250 then end_ms + tail else end_ms end as e, mode from g union all

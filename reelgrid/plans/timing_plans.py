@@ -56,6 +56,12 @@ def deal_to_islands(spark, folder):
     return cu.deal_to_islands(texts, isl, KEY)
 
 
+@query(with_tables("""select video_id, turn, cast((nth - 1) // 3 as bigint) as grp, string_agg(word, ' ' order by nth) as text, min(start_ms) as a, max(end_ms) as b
+    from (select *, row_number() over (partition by video_id, turn order by pos) as nth from words) group by 1, 2, 3""", "words"))
+def phrase_groups_heard(spark, folder):
+    return cu.phrase_groups_heard(words(spark, folder), ["video_id", "turn"], ["pos"], F.floor(F.col("pos") / 512))
+
+
 # ---- teasers: a conversation is one clip, its turns are the segments; every third clip brings a hook along ----
 @query(with_tables("""select video_id, clip_id, case when given and keeps then hook_s when not given and abs(best - first_s) > 3000 then best end as hook_s,
     case when given and keeps then least(hook_e, hook_s + 4000) when not given and abs(best - first_s) > 3000 then best + 2500 end as hook_e from (
