@@ -8,7 +8,7 @@ from reelgrid.functions import text as tx
 from reelgrid.operators import intervals as iv, joins as jn, selection as sel, shaping as sh, signals as sg, transcripts as tr
 from reelgrid.operators.scan import row_number, scan
 from reelgrid.plans.registry import query
-from reelgrid.plans.sqltext import NORM, is_junk_sql
+from reelgrid.plans.sqltext import N_TOKENS, NORM, is_junk_sql
 from reelgrid.sources.standins import sentences, signal, with_tables
 from reelgrid.session import checkpointed
 
@@ -169,3 +169,72 @@ def mixed_cut(spark, folder):
     long = F.col("cut_e") - F.col("cut_s") >= 1000
     return b.select("video_id", "anchor", F.when(long, F.col("cut_s")).otherwise(F.col("s_ms")).alias("s_ms"),
                     F.when(long, F.col("cut_e")).otherwise(F.col("e_ms")).alias("e_ms"))
+
+
+_JUDGED = {
+    "sent": f"select video_id, idx, start_ms, end_ms, {N_TOKENS('norm')} as n_words, {is_junk_sql('norm')} as junk from (select *, {NORM('text')} as norm from doc_lines)",
+    "cand": """select video_id, idx as cand, start_ms as s, least(start_ms + 40000, max(end_ms) over (partition by video_id)) as e, length(text) as n, max(end_ms) over (partition by video_id) as dur from doc_lines""",
+    "vote": "select video_id, cand, unnest([0, 1, 2]) as judge, n, (n * (17 + 13 * judge) + cand * 7) % 101 as v from cand",
+    "panel": "select video_id, cand, coalesce(round(quantile_cont(case when v % 5 > 0 then v end, 0.5), 1), 50.0) as score from vote group by 1, 2",
+    "walk": """select video_id, cand as clip_id, [{'s': s, 'e': e}] as p, 1 as phase, 0 as k from cand union all
+      select video_id, clip_id, case when ok then new else p end, case when ok then phase else phase + 1 end, case when ok then k + 1 else 0 end
+      from (select *, k < 3 and x.junk and x.s < rim.e - 10 and x.e > rim.s + 10 and coalesce(list_sum(list_transform(new, lambda r: r.e - r.s)), 0) >= 18000 as ok from (
+        select *, list_filter(case when phase = 1 then [{'s': greatest(p[1].s, x.e), 'e': p[1].e}] else [{'s': p[1].s, 'e': least(p[1].e, x.s)}] end, lambda r: r.e - r.s >= 1000) as new, p[1] as rim from (
+        select w.video_id, w.clip_id, w.p, w.phase, w.k, arg_min({'s': s.start_ms, 'e': s.end_ms, 'junk': s.junk}, case when w.phase = 1 then {'a': s.start_ms, 'i': s.idx} else {'a': -s.start_ms, 'i': -s.idx} end) as x
+        from walk w left join sent s on s.video_id = w.video_id and s.end_ms > w.p[1].s and s.start_ms < w.p[1].e where w.phase < 3 group by w.video_id, w.clip_id, w.p, w.phase, w.k)))""",
+    "base": "select w.video_id, w.clip_id as cand, p[1].s as s_ms, p[1].e as e_ms, score, dur from walk w join panel p2 on p2.video_id = w.video_id and p2.cand = w.clip_id join cand c on c.video_id = w.video_id and c.cand = w.clip_id where phase = 3",
+    "speech": """select b.video_id, b.cand, round(coalesce(sum(case when junk then n_words else 0 end) / nullif(sum(n_words), 0), 0), 6) as r from base b
+       left join sent s on s.video_id = b.video_id and s.end_ms > b.s_ms and s.start_ms < b.e_ms group by 1, 2""",
+    "ranked": "select *, row_number() over (partition by video_id order by score desc, cand) as rn from base join speech using (video_id, cand) where r <= 0.3",
+    "gw": """select video_id, 0 as n, cast([] as struct(c bigint, s bigint, e bigint)[]) as kept from (select distinct video_id from ranked) union all
+       select w.video_id, r.rn, case when len(list_filter(w.kept, lambda k: least(k.e, r.e_ms) - greatest(k.s, r.s_ms) > 0
+          and (least(k.e, r.e_ms) - greatest(k.s, r.s_ms)) * 100 > 25 * least(k.e - k.s, r.e_ms - r.s_ms))) > 0 then w.kept else list_append(w.kept, {'c': r.cand, 's': r.s_ms, 'e': r.e_ms}) end
+       from gw w join ranked r on r.video_id = w.video_id and r.rn = w.n + 1""",
+    "apart": "select r.* from ranked r join (select video_id, unnest(kept).c as cand from (select video_id, arg_max(kept, n) as kept from gw group by 1)) using (video_id, cand)",
+    "placed": """select *, why is null or not bool_or(why is null) over (partition by video_id) as stays from (
+       select *, case when e_ms * 100 <= dur * 4 then 'intro' when s_ms * 100 >= dur * 97 then 'outro' end as why from apart)""",
+    "scored": """select *, top <= 0 or score * 100 >= greatest(2800, top * 72) or place = 1 as good from (
+       select *, max(score) over (partition by video_id) as top, row_number() over (partition by video_id order by score desc, cand) as place from placed where stays)""",
+    "shown": """select *, fresh or not bool_or(fresh) over (partition by video_id) as unused from (select *, (select coalesce(sum(least(s.e_ms, d.end_ms) - greatest(s.s_ms, d.start_ms)), 0) from doc_lines d
+       where d.video_id = s.video_id and length(d.text) % 4 = 0 and d.end_ms > s.s_ms and d.start_ms < s.e_ms) * 100 <= 30 * (s.e_ms - s.s_ms) as fresh from scored s where s.good)""",
+    "best": "select *, row_number() over (partition by video_id order by score desc, cand) as nth from shown where unused"}
+
+
+@query(with_tables("""select b.video_id, b.cand, b.s_ms, b.e_ms, cast(b.score as double) as score, f.part, case when f.part is not null then null when k.cand is null then 'junk' when a.cand is null then 'overlap' when not p.stays then p.why
+      when not s.good then 'score' when not h.unused then 'used' else 'limit' end as reason
+    from base b left join ranked k using (video_id, cand) left join apart a using (video_id, cand) left join placed p using (video_id, cand) left join scored s using (video_id, cand) left join shown h using (video_id, cand)
+    left join (select video_id, cand, row_number() over (partition by video_id order by s_ms, cand) as part from best where nth <= 3) f using (video_id, cand)""", "doc_lines", more=_JUDGED)
+       .replace("walk as materialized", "walk as").replace("gw as materialized", "gw as"))
+def select_judged(spark, folder):
+    from reelgrid.operators import judged as jd
+    from reelgrid.sources.standins import doc_lines
+    d = doc_lines(spark, folder)
+    videos = d.groupBy("video_id").agg(F.max("end_ms").alias("duration"))
+    cands = d.join(videos, "video_id").select("video_id", F.col("idx").alias("cand"), F.col("start_ms").alias("s_ms"), F.least(F.col("start_ms") + 40_000, F.col("duration")).alias("e_ms"))
+    v = (F.length("text") * (17 + 13 * F.col("judge")) + F.col("idx") * 7) % 101
+    votes = (d.withColumn("judge", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+             .select("video_id", F.col("idx").alias("cand"), "judge", F.when(v % 5 > 0, v).alias("score"), F.lit("").alias("reason")))
+    used = d.filter(F.length("text") % 4 == 0).select("video_id", F.col("start_ms").alias("us"), F.col("end_ms").alias("ue"))
+    return jd.select_judged(cands, votes, tr.scored_sentences(d, KEY), used, videos, KEY, "cand", 3, CHUNK, BUCKET)
+
+
+_SPREAD = {"c": """select video_id, idx as cand, start_ms as s, row_number() over (partition by video_id order by length(text) desc, idx) - 1 as rank,
+      floor(((start_ms + end_ms) // 2) * 4 / max(end_ms) over (partition by video_id)) as part, greatest(30000, max(end_ms) over (partition by video_id) * 8 // 100) as gap from doc_lines""",
+           # one step for each part, then four by rank with the gap, then four without it
+           "w": """select distinct video_id, 0 as t, cast([] as struct(c bigint, s bigint)[]) as kept from c union all
+      select video_id, t + 1, case when x is null then kept else kept || [x] end from (
+      select w.video_id, w.t, w.kept, arg_min({'c': c.cand, 's': c.s}, c.rank) as x from w left join c on c.video_id = w.video_id and len(w.kept) < 4 and (w.t >= 4 or c.part = w.t)
+        and not list_contains(list_transform(w.kept, lambda k: k.c), c.cand) and (w.t >= 8 or len(list_filter(w.kept, lambda k: abs(k.s - c.s) < c.gap)) = 0)
+      where w.t < 12 group by w.video_id, w.t, w.kept)"""}
+
+
+@query(with_tables("select video_id, unnest(kept).c as cand from w where t = 12", "doc_lines", more=_SPREAD).replace("w as materialized", "w as", 1))
+def spread_pick(spark, folder):
+    """Four lines of each document spread over it, long ones first."""
+    from reelgrid.sources.standins import doc_lines
+    d = doc_lines(spark, folder).withColumn("neg", -F.length("text")).select("video_id", F.col("idx").alias("cand"), "start_ms", "end_ms", "neg")
+    ranked = scan(d, KEY, ["neg", "cand"], F.floor(F.col("neg") / 16), n=row_number())
+    ends = d.groupBy("video_id").agg(F.max("end_ms").alias("duration"))
+    cands = ranked.join(ends, "video_id").withColumn("rank", F.col("n") - 1)
+    return sh.spread_pick(cands, KEY, "cand", "start_ms", "end_ms", "rank", "duration", 4,
+                          F.greatest(F.lit(30_000), F.floor(F.col("duration") * 8 / 100))).select("video_id", "cand")
