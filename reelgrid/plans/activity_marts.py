@@ -22,11 +22,7 @@ _CLIPS = {"clips": """select video_id as channel_id, order_id * 10000 + video_id
      score % 3 = 0 as llm_used from segments"""}
 
 
-VIDEO = ["order_id", "channel_id"]      # what tells videos apart; the number below repeats where a channel is beyond 10,000
-
-
-def _video_id():
-    return (F.col("order_id") * 10_000 + F.col("channel_id")).alias("video_id")
+VIDEO = ["order_id", "channel_id"]      # what tells videos apart
 
 
 def clips(spark, folder):
@@ -201,17 +197,17 @@ def analysis_labels(spark, folder):
     return mt.analysis_label(newest)
 
 
-@query(with_tables("""select a.video_id, cast(a.bytes as bigint) as bytes from a join c using (video_id) where newest <= 3500000000 - 30 * 86400 and not open
+@query(with_tables("""select order_id, channel_id, cast(a.bytes as bigint) as bytes from a join c using (order_id, channel_id) where newest <= 3500000000 - 30 * 86400 and not open
     and not exists (select 1 from part where '/src/' || p_partkey = a.src and p_size > 20)""", "segments", more={
-    "a": "select l_orderkey * 10000 + l_suppkey as video_id, '/src/' || (l_partkey % 500) as src, sum(cast(round(l_extendedprice) as bigint)) as bytes from lineitem group by all",
-    "c": "select order_id * 10000 + video_id as video_id, max(s_ms) as newest, bool_or(status = 'suggested') as open from segments group by 1"}))
+    "a": "select l_orderkey as order_id, l_suppkey as channel_id, '/src/' || (l_partkey % 500) as src, sum(cast(round(l_extendedprice) as bigint)) as bytes from lineitem group by all",
+    "c": "select order_id, video_id as channel_id, max(s_ms) as newest, bool_or(status = 'suggested') as open from segments group by 1, 2"}))
 def retention_candidates(spark, folder):
     a = read_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("channel_id"),
         F.concat(F.lit("/src/"), (F.col("l_partkey") % 500).cast("string")).alias("src"), F.round("l_extendedprice").cast("long").alias("bytes"))
     c = clips(spark, folder).withColumn("created_at", F.col("s_ms"))
     there = read_table(spark, folder, "part").filter("p_size > 20").select(F.concat(F.lit("/src/"), F.col("p_partkey").cast("string")).alias("path"))
-    return mt.retention_candidates(a, c, there, 3_500_000_000, 30, VIDEO).select(_video_id(), "bytes")
+    return mt.retention_candidates(a, c, there, 3_500_000_000, 30, VIDEO).select(*VIDEO, "bytes")
 
 
 @query(with_tables("""select channel_id, name, grp, running, failed_24h, coalesce(done_30d, 0) as done, coalesce(errors_30d, 0) as errors, coalesce(parts_30d, 0) as parts
@@ -228,13 +224,13 @@ def channel_board(spark, folder):
     return board.unionByName(lines.withColumn("channel_id", F.lit(None).cast("long")).withColumn("name", F.lit("all")))
 
 
-@query(with_tables("""select video_id, coalesce(runs, 0) as runs from (select video_id from (select *, row_number() over (partition by video_id order by clip_id desc) as rn
-      from clips where status = 'suggested') where rn <= 5 group by 1 having not bool_or(llm_used))
-    left join (select video_id, count(*) as runs from (select job_id * 10000 + channel_id as video_id, type from jobs) where type <> 'export' group by 1) using (video_id) where coalesce(runs, 0) < 2""",
-                   "segments", "jobs", more=_CLIPS))
+@query(with_tables("""select order_id, channel_id, coalesce(runs, 0) as runs from (select order_id, channel_id from (select order_id, video_id as channel_id, score % 3 = 0 as llm_used,
+      row_number() over (partition by order_id, video_id order by clip_id desc) as rn from segments where status = 'suggested') where rn <= 5 group by 1, 2 having not bool_or(llm_used))
+    left join (select job_id as order_id, channel_id, count(*) as runs from jobs where type <> 'export' group by 1, 2) using (order_id, channel_id) where coalesce(runs, 0) < 2""",
+                   "segments", "jobs"))
 def reanalysis_due(spark, folder):
     j = jobs(spark, folder).select(F.col("job_id").alias("order_id"), "channel_id", "type")
-    return mt.reanalysis_due(clips(spark, folder), j, key=VIDEO).select(_video_id(), "runs")
+    return mt.reanalysis_due(clips(spark, folder), j, key=VIDEO).select(*VIDEO, "runs")
 
 
 @query(with_tables("select distinct video_id from jobs where status in ('pending','running')", "jobs"))
@@ -315,10 +311,11 @@ def seen_before(spark, folder):
     when coalesce(e in ('pending','running'), false) or coalesce(a in ('pending','running'), false) then 'follow' else 'requeue' end as action from (
     select l.ledger_id, (select arg_max(j.status, j.job_id) from jobs j where j.video_id = l.video_id and j.type in ('analyze','auto')) as a,
       (select arg_max(j.status, j.job_id) from jobs j where j.video_id = l.video_id and j.type = 'export') as e,
-      case when l.video_id % 3 = 0 then true end as there from ledger l where l.status = 'taken')""", "ledger", "jobs"))
+      case when l.video_id in (select l_orderkey from lineitem) then true end as there from ledger l where l.status = 'taken')""", "ledger", "jobs"))
 def resume_plan(spark, folder):
     led = ledger(spark, folder)
-    names = led.filter("video_id % 3 = 0").select("file_name").distinct()
+    files = read_table(spark, folder, "lineitem").select("l_orderkey").distinct()      # every order with a line has its file
+    names = files.select(F.concat(F.lit("file "), F.col("l_orderkey").cast("string"), F.lit(".mp4")).alias("file_name"))
     return lg.resume_plan(led, jobs(spark, folder), names)
 
 
