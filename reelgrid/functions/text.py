@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,8 +113,10 @@ def needed_texts(pattern: str) -> list[str]:
 
 def _phrase(norm: Column, patterns: list[str]) -> Column:
     """Whether any pattern occurs; cheap text tests decide first, so most texts never meet the regex."""
-    needed = "|".join(f"\\Q{x}\\E" for x in sorted({x for p in patterns for x in needed_texts(p)}))
-    return norm.rlike(needed) & norm.rlike(_any(patterns))
+    needed = sorted({x for p in patterns for x in needed_texts(p)})
+    # a text that holds another needed one is found with it
+    least = [x for x in needed if not any(y != x and y in x for y in needed)]
+    return reduce(Column.__or__, [F.contains(norm, F.lit(x)) for x in least]) & norm.rlike(_any(patterns))
 
 
 def is_cta(norm: Column) -> Column:
