@@ -14,7 +14,8 @@ from reelgrid.session import local_session
 HEADLINE = ["loud_speech_evidence", "merge_used_ranges", "subtract_used", "covered_fraction", "overlap_pairs", "snap_to_edges",
             "greedy_by_start", "loud_islands", "surprise_rank", "junk_report", "language_audit", "copied_narration",
             "channel_activity", "channel_board", "queue_counts", "intake_plan", "seen_before", "request_dedup",
-            "part_numbers", "lane_heads", "remap_words", "word_hold_cues", "job_wait_stats", "error_classes"]
+            "part_numbers", "lane_heads", "remap_words", "word_hold_cues", "job_wait_stats", "error_classes",
+            "tile_parts", "signal_evidence", "drop_shared_footage", "group_cues", "used_pass", "fix_structure", "effect_plan"]
 
 
 def main() -> None:

@@ -11,7 +11,8 @@ from check_oracle import TABLES, compare
 FOLDER = os.environ.get("REELGRID_TESTDATA", "/root/testdata/sf0.001")
 SAMPLE = ["loud_speech_evidence", "merge_used_ranges", "subtract_used", "greedy_by_score", "drop_shared_footage", "snap_to_scene_cuts", "silent_action_islands",
           "local_peaks", "channel_board", "resume_plan", "intake_plan", "rename_results", "adaptive_floor_parts", "reorder_by_reply",
-          "language_audit", "group_cues", "align_tokens", "candidate_windows", "throttled_progress", "tile_parts", "reply_rows"]
+          "language_audit", "group_cues", "align_tokens", "candidate_windows", "throttled_progress", "tile_parts", "reply_rows",
+          "split_chapters", "used_pass", "fix_structure", "effect_plan", "snap_parts", "select_judged", "trim_junk_edges", "attach_labels", "table_words"]
 
 
 @pytest.fixture(scope="module")
