@@ -9,8 +9,8 @@ text is scored with the tree as trained: at each decision, the estimates of all
    words with their counts in training texts.
 2. Spark adds the counts up by gram, in ranges of the two nearest context bytes. All nodes of depth 2 and more below such a
    pair are worked out in one sorted stream; depths 0 and 1 (at most 65,536 sums) on the driver.
-3. Each distinct gram gets its code length, which goes back to the blocks that hold the gram, and the texts are scored
-   by look-up. No text is compared with a table larger than what its block holds.
+3. Each distinct gram gets its code length, which goes back to the blocks that hold the gram (a gram carries their numbers), and the
+   texts are scored by look-up. No text is compared with a table larger than what its block holds.
 
 The counts grow with the corpus and are never cut. Nulls: a null text is empty, a null id counts as the empty text, whose
 checksum holds it out. Repeated rows are scored alike, and each trains. An empty table gives no rows; with no training text
@@ -34,6 +34,8 @@ from reelgrid.llm.texts import LOWER, columns, row_key, written
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
 SLICE = 1 << 20
+#: Rows of one Arrow batch of counts.
+BATCH = 200_000
 
 _HALF = math.log(0.5)
 #: log Gamma(n + 1/2) and log Gamma(n + 1) at whole n below 256.
@@ -153,32 +155,35 @@ class Levels:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, n) -> kind 0: gram with its probabilities; 1: count by nearest byte and byte; 2: log sum by nearest byte and prefix."""
-    def made(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, n, block) -> kind 0: gram with its probabilities and its blocks; 1: count by nearest byte and byte; 2: log sum by nearest
+    byte and prefix."""
+    names = ["kind", "key", "v", "p", "blocks"]
+
+    def made(keys: np.ndarray, n: np.ndarray, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        held = pa.ListArray.from_arrays(pa.array(np.append(at, len(keys)).astype(np.int32)), pa.array(blocks.astype(np.int32)))
         keys, n = keys[at], _sums(n, at)
         tree = Levels(keys, n, depth)
         m = len(keys)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(keys), pa.nulls(m, pa.float64()),
-                                          pa.array([x.tobytes() for x in tree.p], pa.binary())], names=["kind", "key", "v", "p"])
+                                          pa.array([x.tobytes() for x in tree.p], pa.binary()), held], names=names)
         for kind, k, v in ((1, ((keys >> (8 * depth)) << 8) | (keys & 255), n.astype(float)),
                            (2, np.concatenate(tree.up_keys), np.concatenate(tree.up_logs))):
             u, of = np.unique(k, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(np.bincount(of, weights=v)),
-                                              pa.nulls(len(u), pa.binary())], names=["kind", "key", "v", "p"])
+                                              pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.list_(pa.int32()))], names=names)
     shift = 8 * (depth - 1)
-    keys = n = np.zeros(0, np.int64)
+    rows = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-        n = np.concatenate((n, batch.column(1).to_numpy(zero_copy_only=False)))
-        if not len(keys):
+        rows = [np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(rows)]
+        if not len(rows[0]):
             continue
-        whole = int(np.searchsorted(keys >> shift, keys[-1] >> shift))
+        whole = int(np.searchsorted(rows[0] >> shift, rows[0][-1] >> shift))
         if whole:
-            yield from made(keys[:whole], n[:whole])
-            keys, n = keys[whole:], n[whole:]
-    if len(keys):
-        yield from made(keys, n)
+            yield from made(*(x[:whole] for x in rows))
+            rows = [x[whole:] for x in rows]
+    if len(rows[0]):
+        yield from made(*rows)
 
 
 def top_levels(counts: dict[int, float], logs: dict[int, float]) -> tuple[np.ndarray, ...]:
@@ -207,9 +212,9 @@ def top_levels(counts: dict[int, float], logs: dict[int, float]) -> tuple[np.nda
 
 
 def train(counted: DataFrame, depth: int) -> DataFrame:
-    """(key, log10): the log10 probability of each distinct gram's byte, from (key, n)."""
+    """(key, log10, blocks): the log10 probability of each distinct gram's byte, and the blocks that hold the gram, from (key, n, block)."""
     ranges = counted.repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key")
-    rows = written(ranges.mapInArrow(lambda b: _tree_rows(b, depth), "kind int, key long, v double, p binary"), "ctw-nodes")
+    rows = written(ranges.mapInArrow(lambda b: _tree_rows(b, depth), "kind int, key long, v double, p binary, blocks array<int>"), "ctw-nodes", "zstd")
     sums = rows.where("kind > 0").groupBy("kind", "key").agg(F.sum("v").alias("v")).collect()
     top = top_levels({r["key"]: r["v"] for r in sums if r["kind"] == 1}, {r["key"]: r["v"] for r in sums if r["kind"] == 2})
     shared = counted.sparkSession.sparkContext.broadcast(top)
@@ -226,9 +231,9 @@ def train(counted: DataFrame, depth: int) -> DataFrame:
                 for w, one in ((w1[near, prefix], p1[near, prefix]), (w0[prefix], p0[prefix])):
                     q = w * np.where(bit == 1, one, 1 - one) + (1 - w) * q
                 total += np.log10(q)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], names=["key", "log10"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total), batch.column(2)], names=["key", "log10", "blocks"])
 
-    return rows.where("kind = 0").select("key", "p").mapInArrow(go, "key long, log10 double")
+    return rows.where("kind = 0").select("key", "p", "blocks").mapInArrow(go, "key long, log10 double, blocks array<int>")
 
 
 def held_out(doc_id: Column, folds: int = 10) -> Column:
@@ -247,19 +252,39 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     def texts_of(table: pa.Table) -> tuple[list[bytes], list[bool]]:
         return [x or b"" for x in table.column("text").to_pylist()], table.column("held_out").to_pylist()
 
-    def count(table: pa.Table) -> pa.Table:
-        texts, out = texts_of(table)
-        grams, n, words, w = block_counts(texts, [not x for x in out], depth)
-        m, k, block = len(grams), len(words), table.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(m + k, block, np.int32)), "key": pa.concat_arrays([pa.array(grams), pa.nulls(k, pa.int64())]),
-                         "word": pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(words, pa.binary())]),
-                         "idx": pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(range(k), pa.int32())]),
-                         "n": pa.concat_arrays([pa.array(n), pa.array(w, pa.int64())])})
-
-    counted = written(src.groupBy("block").applyInArrow(count, "block int, key long, word binary, idx int, n long"), "ctw-counts")
-    grams = counted.where("key is not null").select("block", "key", "n")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted blocks -> their grams, then their words, in batches; one block of text is held."""
+        block, texts, use = None, [], []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            grams, n, words, w = block_counts(texts, use, depth)
+            m, k = len(grams), len(words)
+            for i in range(0, m, BATCH):
+                size = min(BATCH, m - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int32)), pa.array(grams[i:i + size]), pa.nulls(size, pa.binary()),
+                                                  pa.nulls(size, pa.int32()), pa.array(n[i:i + size])], names=names)
+            for i in range(0, k, BATCH):
+                size = min(BATCH, k - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int32)), pa.nulls(size, pa.int64()), pa.array(words[i:i + size], pa.binary()),
+                                                  pa.array(range(i, i + size), pa.int32()), pa.array(w[i:i + size], pa.int64())], names=names)
+
+        names = ["block", "key", "word", "idx", "n"]
+        for batch in batches:
+            for of, body, out in zip(*columns(batch, "block", "text", "held_out")):
+                if of != block:
+                    if texts:
+                        yield from told()
+                    block, texts, use = of, [], []
+                texts.append(body or b"")
+                use.append(not out)
+        if texts:
+            yield from told()
+
+    placed = src.select("block", "held_out", "text").repartition("block").sortWithinPartitions("block")
+    counted = written(placed.mapInArrow(count, "block int, key long, word binary, idx int, n long"), "ctw-counts", "zstd")
+    grams = counted.where("key is not null").select("key", "n", "block")
     # one narrow row for each answer: k is the gram, or -1 - 2 * word number - (the word's first block), v its log10 or count
-    lengths = grams.join(train(grams.select("key", "n"), depth), "key").select("block", F.col("key").alias("k"), F.col("log10").alias("v"))
+    lengths = train(grams, depth).select(F.explode("blocks").alias("block"), F.col("key").alias("k"), F.col("log10").alias("v"))
     same = W.partitionBy("word")
     first = (F.min("block").over(same) == F.col("block")).cast("long")
     known = counted.where("word is not null").select("block", (-1 - 2 * F.col("idx").cast("long") - first).alias("k"),
