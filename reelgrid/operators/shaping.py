@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from reelgrid.operators.folds import fold_runs
-from reelgrid.operators.intervals import top_per_key
+from reelgrid.operators.intervals import min_spacing
 from reelgrid.operators.joins import nearest_edges, overlap_join, points_in_spans
 from reelgrid.operators.scan import next_value, running_max, running_sum, scan, time_chunk
 from reelgrid.session import checkpointed
@@ -211,17 +211,23 @@ def extend_to_target(clips: DataFrame, sentences: DataFrame, keys: list[str], cl
     nxt = overlap_join(look, sentences.select(*keys, "idx", "start_ms", "end_ms", "junk"), keys, ("__from", "__to"),
                        ("start_ms", "end_ms"), bucket).filter(F.col("end_ms") > F.col("last_e") + 50)
 
-    # everything heard before a sentence is in the clip by then, or the clip has stopped: sums over earlier rows say what it is
-    order = W.partitionBy(*keys, clip).orderBy("start_ms", "idx")
+    # A sentence counts if it ends over 50 ms after the last one that counted. Only sentences that end after all before them can, and
+    # those are kept apart by a greedy walk; what the clip holds before each of them are then sums over earlier rows.
+    one = [*keys, clip]
+    order = W.partitionBy(*one).orderBy("start_ms", "idx")
     before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
-    front = F.greatest(F.col("last_e"), F.max("end_ms").over(before))
+    nxt = checkpointed(nxt.select(*one, "idx", "start_ms", "end_ms", "junk", "last_e", "total"))
+    later = nxt.withColumn("__far", F.max("end_ms").over(before)).filter("__far is null or end_ms > __far").select(*one, "idx", "end_ms")
+    start = open_.select(*one, F.lit(-1).cast("long").alias("idx"), F.col("last_e").alias("end_ms"))
+    counted = min_spacing(later.unionByName(start), one, "end_ms", ["idx"], 51, bucket).select(*one, "idx").withColumn("__new", F.lit(True))
+    rows = nxt.join(counted, [*one, "idx"], "left").withColumn("__new", F.coalesce("__new", F.lit(False)))
+    front = F.greatest(F.col("last_e"), F.max(F.when(F.col("__new"), F.col("end_ms"))).over(before))
     pause = F.col("start_ms") - F.col("__front")
-    begin = F.when(pause <= gap, F.col("__front")).otherwise(F.col("start_ms"))
     size = F.when(F.col("__new"), F.col("end_ms") - F.col("piece_s")).otherwise(0)
-    seen = (nxt.withColumn("__front", front).withColumn("__new", F.col("end_ms") > F.col("__front") + 50).withColumn("piece_s", begin)
+    seen = (rows.withColumn("__front", front).withColumn("piece_s", F.when(pause <= gap, F.col("__front")).otherwise(F.col("start_ms")))
             .withColumn("__sum", F.col("total") + F.sum(size).over(upto)))
     over = (F.col("__sum") > most + 500) if most else F.lit(False)
     full = F.col("__sum") - size >= target
     stop = (F.col("__new") & ((pause > hard_gap) | F.col("junk") | over | full)).cast("int")
     added = seen.withColumn("__stop", F.max(stop).over(upto)).filter("__new and __stop = 0")
-    return added.select(*keys, clip, "piece_s", F.col("end_ms").alias("piece_e"))
+    return added.select(*one, "piece_s", F.col("end_ms").alias("piece_e"))
