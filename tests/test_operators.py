@@ -293,14 +293,14 @@ def made(spark, folder, name, cols, rows):
 def test_ids_past_the_mixed_number_stay_apart(spark, tmp_path):
     from reelgrid.plans import activity_marts as am
     day = datetime.date(2000, 1, 1)
-    # order 1 of supplier 10,001 and order 2 of supplier 1 share 20,001
+    # order * 10,000 + supplier would be 20,001 for order 1 of supplier 10,001 and for order 2 of supplier 1
     made(spark, tmp_path, "lineitem", "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate date",
          [(1, 1, 10_001, 1, 1.0, 10.0, "N", day), (2, 1, 1, 1, 1.0, 20.0, "N", day), (3, 1, 10_001, 1, 1.0, 30.0, "A", day), (4, 1, 1, 1, 1.0, 40.0, "N", day)])
     made(spark, tmp_path, "part", "p_partkey long, p_size long", [(9, 30)])
     made(spark, tmp_path, "events", "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string",
          [(2, 1, "view", datetime.datetime(2024, 1, 1), 1.0, '{"k": 3}')])
-    assert [tuple(r) for r in am.retention_candidates(spark, str(tmp_path)).collect()] == [(40_001, 30)]
-    assert sorted(tuple(r) for r in am.reanalysis_due(spark, str(tmp_path)).collect()) == [(20_001, 0), (20_001, 1), (40_001, 0)]
+    assert [tuple(r) for r in am.retention_candidates(spark, str(tmp_path)).collect()] == [(3, 10_001, 30)]
+    assert sorted(tuple(r) for r in am.reanalysis_due(spark, str(tmp_path)).collect()) == [(1, 10_001, 0), (2, 1, 1), (4, 1, 0)]
 
 
 def test_words_past_the_mixed_number_keep_their_turn(spark, tmp_path):
