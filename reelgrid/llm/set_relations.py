@@ -322,12 +322,14 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Of rows equal in id and text one stays; where their other columns differ, any one of them."""
     linked = link_components(docs, doc_id, text, width, percent)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
-    first = linked.where("n_shingles > 0").groupBy("group").agg(F.min(place).alias("w")).select(F.col("w.rk").alias("rk"), F.lit(True).alias("one"))
-    bare = linked.where("n_shingles = 0").select("rk", F.lit(False).alias("one")).distinct()
-    # the documents travel in one column, so that no name clashes
+    worded = linked.where("n_shingles > 0")
+    first = worded.groupBy("group").agg(F.min(place).alias("w")).select(F.col("w.rk").alias("rk"))
+    again = worded.groupBy("rk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rk")
+    alone = first.join(again, "rk", "left_anti").unionByName(linked.where("n_shingles = 0").select("rk").distinct())
+    # the documents travel in one column, so that no name clashes; only repeated rows are put side by side
     keyed = docs.select(F.struct(*each(docs.columns)).alias("doc"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("rk"))
-    held = keyed.join(first.unionByName(bare), "rk")
-    out = held.where("one").dropDuplicates(["rk"]).unionByName(held.where("not one"))
+    out = keyed.join(alone, "rk", "left_semi").unionByName(
+        keyed.join(first.join(again, "rk", "left_semi"), "rk", "left_semi").dropDuplicates(["rk"]))
     return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
