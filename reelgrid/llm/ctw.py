@@ -15,6 +15,7 @@ text is scored with the tree as trained: at each decision, the estimates of all
 The counts grow with the corpus and are never cut. Nulls: a null text is empty, a null id counts as the empty text, whose
 checksum holds it out. Repeated rows are scored alike, and each trains. An empty table gives no rows; with no training text
 every estimate is one half.
+Long texts are taken whole; a block that holds one is larger. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ data on the driver and in a broadcast, and their size is bounded by BLOCK_WORDS.
 
 Nulls: a null text or item text has no words; a null item id is left out of `items_sha256` but its windows hit. Rows are
 scanned one by one, so ties, repeated rows and null ids need no care. With an empty benchmark nothing is hit.
+Long texts are taken whole. An empty table of documents gives no rows, an empty table of items hits nothing. Other columns keep
+their names, whatever they are.
 """
 
 from __future__ import annotations

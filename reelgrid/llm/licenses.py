@@ -6,6 +6,7 @@ optional regions and the counted free words are worked out once. A text is accep
 mandatory words stand exactly, and only the regions differ.
 
 A null text is empty; ids, ties and repeated rows need no care, since rows are scanned one by one.
+Long texts are taken whole. An empty table gives no rows. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ texts are not moved until the bitmaps are applied.
 Nulls: a null or empty text is one empty line, which is never dropped; a null id counts as one document, the smallest.
 Rows of the same id are one document, and equal rows get equal bitmaps. Ties cannot arise: a document either
 is the largest id of a line or is not. An empty table gives empty results.
+Long texts are taken whole. Other columns are not read; carried ones travel in a struct, so their names do not matter. Ids are
+whole numbers.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ the whole source is repeated first, and the cut falls in the last repeat. The do
 Nulls: a null text has size 0, a null source is a source of its own and comes last, a null id is hashed like any other.
 Equal keys (repeated rows) are ordered by id, then text digest; rows equal in all of them are interchangeable.
 An empty table gives no rows. A source without words has the target 0.
+Long texts are counted whole. Other columns are not read; carried ones travel in a struct, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ Blocks that repeat inside a batch are settled there, so that a fingerprint bring
 
 Nulls: a null text has no words; a null id counts as the smallest. Rows of the same id are ordered by a hash of id and text, and equal
 rows are one document: a row is no repeat of its equal. Texts shorter than a window lose nothing. An empty table gives no rows.
+Long texts are taken whole. Other columns are not read, so their names do not matter. Ids are whole numbers.
 """
 
 from __future__ import annotations

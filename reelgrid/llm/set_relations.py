@@ -12,6 +12,7 @@
 
 Nulls: a null text has an empty set, which is linked with nothing; a null id never becomes a component id unless the component has no
 other. Repeated rows are documents of one class. An empty table gives no rows.
+Long texts are taken whole. Other columns are not read, or travel in a struct, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -320,7 +321,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """One document of each component, and all without words: the smallest (id, row key), null ids last.
 
     Of rows equal in id and text one stays; where their other columns differ, any one of them."""
-    linked = link_components(docs, doc_id, text, width, percent)
+    linked = written(link_components(docs, doc_id, text, width, percent).select("doc_id", "n_shingles", "rk", "group"), "jaccard-groups")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
     worded = linked.where("n_shingles > 0")
     first = worded.groupBy("group").agg(F.min(place).alias("w")).select(F.col("w.rk").alias("rk"))

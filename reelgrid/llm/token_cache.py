@@ -8,6 +8,7 @@ most once for each task.
 Nulls: a null text is the empty one, with 0 tokens. Ids are passed through, so null or repeated ids are kept. Rows with equal
 texts share one count. An empty table gives no rows and appends nothing. Two runs may append the same digest: it has
 the same count, and reading takes one.
+Long texts are encoded whole. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
 import public_tokenizers
-from reelgrid.llm import periodic_runs, pieces, queries, turn_repair
+from reelgrid.llm import (ctw, decontaminate, divergence, licenses, line_dedup, mixing, periodic_runs, pieces, queries, recompression,
+                          set_relations, turn_repair)
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, seed long, ck string, `a.b` string, n_runs long, kind string"
@@ -282,3 +283,30 @@ def test_repaired_rows_and_empty_table(spark):
     assert got == {("a", 0): ("user", "Hi."), ("a", 1): ("assistant", ""), ("a", 2): ("user", "Still there?"), ("a", 3): ("assistant", "Yes.")}
     nothing = spark.createDataFrame([], CONVERSATIONS)
     assert turn_repair.repair(turn_repair.damaged(nothing), nothing).count() == 0
+
+
+# ---- the other operators on very long texts among columns whose names clash
+
+LONG = {1: "la " * 120_000, 2: " ".join(f"w{i % 60_000}" for i in range(120_000)), 3: "\n".join(f"line number {i % 500} of a long text" for i in range(20_000)),
+        4: "x" * 400_000, 5: "", 6: None}
+
+
+def test_very_long_texts_among_clashing_names(spark):
+    rows = [(i, t, "en", "s", "v", 1, 2, 3, "y") for i, t in LONG.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` string, __cut long, __rk long, block int, word string")
+    words = {i: len((t or "").split()) for i, t in LONG.items()}
+
+    def told(df, column):
+        return {r["doc_id"]: r[column] for r in df.select("doc_id", column).collect()}
+
+    assert told(ctw.score(docs, depth=2), "n_tokens") == {i: n + 1 for i, n in words.items()}
+    items = spark.createDataFrame([("q", "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id string, text string")
+    assert told(decontaminate.report(docs, items), "n_hit") == {i: 20 if i == 2 else 0 for i in words}
+    assert told(recompression.dedup_substrings(docs), "n_words") == words
+    assert told(line_dedup.dedup_lines(docs), "n_lines")[3] == 20_000
+    assert told(divergence.judge(docs), "n_words") == words
+    assert told(set_relations.link_components(docs), "n_shingles")[1] == 1
+    assert told(licenses.scan(docs), "n_words") == {i: len(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())) for i, t in LONG.items()}
+    assert told(mixing.mix(docs, carry=docs.columns), "size") == words
+    kept = set_relations.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(words)
