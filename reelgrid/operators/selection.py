@@ -23,20 +23,24 @@ def intro_outro(clips: DataFrame, keys: list[str], s: str, e: str, duration: str
     return (rows.join(some, keys).withColumn("kept", F.col("reason").isNull() | ~F.col("__some")).drop("__some"))
 
 
+def _best(clips: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
+    """keys, `__n` clips, their highest score `__top` and the whole best row, so that clips of one number are told apart."""
+    return clips.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(score).alias("__top"),
+                                    F.max_by(F.struct(*clips.columns), F.struct(score, -F.col(tie))).alias("__best"))
+
+
 def quality_floor(clips: DataFrame, keys: list[str], score: str, tie: str, floor: int = 55) -> DataFrame:
     """Drop clips under the floor; the best one stays when all are under it."""
-    stats = clips.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(score).alias("__top"),
-                                     F.max_by(tie, F.struct(score, -F.col(tie))).alias("__best"))
-    keep = ((F.col("__n") < 2) | (F.col(score) >= floor)
-            | ((F.col("__top") < floor) & (F.col(tie) == F.col("__best"))))
-    return clips.join(stats, keys).filter(keep).drop("__n", "__top", "__best")
+    stats = _best(clips, keys, score, tie)
+    lone = (F.col("__n") < 2) | (F.col("__top") < floor)
+    good = clips.join(stats, keys).filter(~lone & (F.col(score) >= floor))
+    return good.select(*clips.columns).unionByName(stats.filter(lone).select("__best.*"))
 
 
 def adaptive_floor(clips: DataFrame, keys: list[str], score: str, tie: str, percent: int = 72,
                    junk: int = 28, parts: int = 0) -> DataFrame:
     """Keep clips near the best of their video; with `parts` set, the best that many above junk."""
-    stats = clips.groupBy(*keys).agg(F.max(score).alias("__top"),
-                                     F.max_by(tie, F.struct(score, -F.col(tie))).alias("__best"))
+    stats = _best(clips, keys, score, tie)
     bar = F.lit(junk * 100) if parts > 0 else F.greatest(F.lit(junk * 100), F.col("__top") * percent)
     rows = clips.join(stats, keys)
     free = rows.filter("__top <= 0")
@@ -44,8 +48,8 @@ def adaptive_floor(clips: DataFrame, keys: list[str], score: str, tie: str, perc
     if parts > 0:
         good = top_per_key(good, keys, [F.col(score).desc(), F.col(tie)], parts, "__rk").drop("__rk")
     # the best one always stays
-    best = rows.filter((F.col("__top") > 0) & (F.col(tie) == F.col("__best")) & (F.col(score) * 100 < bar))
-    return free.unionByName(good).unionByName(best).drop("__top", "__best")
+    best = stats.filter((F.col("__top") > 0) & (F.col("__top") * 100 < bar)).select("__best.*")
+    return free.unionByName(good).select(*clips.columns).unionByName(best)
 
 
 def panel_score(votes: DataFrame, keys: list[str], old: DataFrame | None = None) -> DataFrame:
