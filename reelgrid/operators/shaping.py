@@ -93,33 +93,49 @@ def spread_pick(cands: DataFrame, keys: list[str], cand: str, s: str, e: str, ra
 def _pared(clips: DataFrame, heard: DataFrame, group: list[str], floor: int, most: int, back: bool) -> DataFrame:
     """`ranges` of each clip without junk at one end: the longest run of junk sentences there whose loss leaves `floor`.
 
-    Sentences are taken from the end inwards. How far the ones before a sentence reach tells what the clip is by then, so whether
-    the sentence is still in it, touches its outermost piece and leaves enough are columns; the first that stops ends the run.
+    Sentences are taken from the end inwards, each from the pieces that it meets. How far the ones before a sentence reach tells what the
+    clip is by then, so whether the sentence is still in it, touches its outermost piece and leaves enough are columns; the first that stops
+    ends the run.
     """
     edges = [F.desc("start_ms"), F.desc("idx")] if back else [F.asc("start_ms"), F.asc("idx")]
     order = W.partitionBy(*group).orderBy(*edges)
-    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
     reach = F.min("start_ms") if back else F.max("end_ms")
 
-    def cut(at: Column) -> Column:
+    def cut(ranges: Column, at: Column) -> Column:
         side = ((lambda r: F.struct(r["s_ms"].alias("s_ms"), F.least(r["e_ms"], at).alias("e_ms"))) if back
                 else (lambda r: F.struct(F.greatest(r["s_ms"], at).alias("s_ms"), r["e_ms"].alias("e_ms"))))
-        return F.filter(F.transform("ranges", side), lambda r: r["e_ms"] - r["s_ms"] >= 1000)
+        return F.filter(F.transform(ranges, side), lambda r: r["e_ms"] - r["s_ms"] >= 1000)
 
     s, e = F.col("start_ms"), F.col("end_ms")
-    rows = (heard.join(clips, group).withColumn("__reach", reach.over(before)).withColumn("__to", reach.over(upto))
-            .withColumn("__cur", F.when(F.col("__reach").isNull(), F.col("ranges")).otherwise(cut(F.col("__reach"))))
+
+    def met(r: Column) -> Column:
+        return (e > r["s_ms"]) & (s < r["e_ms"])
+
+    # one row for each piece that a sentence meets: a sentence over the gap of two pieces is taken from each, as a step of its own
+    rows = (heard.join(clips, group).filter(F.exists("ranges", met)).withColumn("__reach", reach.over(before))
+            .select("*", F.posexplode("ranges").alias("__at", "__piece")).filter(met(F.col("__piece")))
+            .withColumn("__nth", -F.col("__at") if back else F.col("__at")))
+    passed = (lambda r, i: (i > F.col("__at")) & (e > r["s_ms"])) if back else (lambda r, i: (i < F.col("__at")) & (s < r["e_ms"]))
+    now = F.when(F.col("__reach").isNull(), F.col("ranges")).otherwise(cut(F.col("ranges"), F.col("__reach")))
+    # of the pieces before its own, those that the sentence meets have lost all to it by then
+    rows = (rows.withColumn("__cur", now).withColumn("__gone", F.filter("ranges", passed))
+            .withColumn("__cur", F.filter("__cur", lambda r: ~F.exists("__gone", lambda g: (r["e_ms"] > g["s_ms"]) & (r["s_ms"] < g["e_ms"]))))
             .withColumn("__end", F.try_element_at("__cur", F.lit(-1 if back else 1))))
-    inside = F.exists("__cur", lambda r: (e > r["s_ms"]) & (s < r["e_ms"]))
+    own = F.exists("__cur", lambda r: met(r) & (r["e_ms"] > F.col("__piece.s_ms")) & (r["s_ms"] < F.col("__piece.e_ms")))
     touches = (s < F.col("__end.e_ms") - 10) & (e > F.col("__end.s_ms") + 10)
-    passed = e <= F.col("__end.s_ms") if back else s >= F.col("__end.e_ms")
-    stop = F.coalesce(F.when(inside, ~(F.col("junk") & touches)).otherwise(passed), F.lit(True))
-    left = F.aggregate(cut(F.col("__to")), F.lit(0).cast("long"), lambda t, r: t + r["e_ms"] - r["s_ms"])
-    told = (rows.withColumn("__in", inside.cast("int")).withColumn("__stop", stop.cast("int"))
-            .withColumn("__n", F.sum("__in").over(upto)).withColumn("__off", F.max("__stop").over(upto)))
+    beyond = e <= F.col("__end.s_ms") if back else s >= F.col("__end.e_ms")
+    stop = F.coalesce(F.when(own, ~(F.col("junk") & touches)).otherwise(beyond), F.lit(True))
+    rim = cut(F.array("__end"), s if back else e)
+    rest = F.slice("__cur", 1 if back else 2, F.greatest(F.size("__cur") - 1, F.lit(0)))
+    steps = W.partitionBy(*group).orderBy(*edges, F.asc("__nth")).rowsBetween(W.unboundedPreceding, 0)
+    told = (rows.withColumn("__in", own.cast("int")).withColumn("__stop", stop.cast("int"))
+            .withColumn("__new", F.filter(F.concat(rest, rim) if back else F.concat(rim, rest), lambda r: r["e_ms"] - r["s_ms"] >= 1000))
+            .withColumn("__n", F.sum("__in").over(steps)).withColumn("__off", F.max("__stop").over(steps)))
+    left = F.aggregate("__new", F.lit(0).cast("long"), lambda t, r: t + r["e_ms"] - r["s_ms"])
     ok = (F.col("__in") == 1) & (F.col("__off") == 0) & (F.col("__n") <= most) & (left >= floor)
-    ends = told.filter(ok).groupBy(*group).agg((F.min if back else F.max)("__to").alias("__at"))
-    return clips.join(ends, group, "left").select(*group, F.when(F.col("__at").isNull(), F.col("ranges")).otherwise(cut(F.col("__at"))).alias("ranges"))
+    ends = told.filter(ok).groupBy(*group).agg(F.max_by("__new", "__n").alias("__new"))
+    return clips.join(ends, group, "left").select(*group, F.coalesce("__new", "ranges").alias("ranges"))
 
 
 def trim_junk_edges(segs: DataFrame, sentences: DataFrame, keys: list[str], clip: str, bucket: int,
