@@ -75,17 +75,17 @@ def reorder_by_keep(items: DataFrame, reply: DataFrame, keys: list[str], want: i
 
     `items`: keys, idx; `reply`: keys, pos, idx, usable (false = not worth posting).
     """
-    valid = reply.join(items.select(*keys, "idx"), [*keys, "idx"], "left_semi")
-    first = valid.groupBy(*keys, "idx").agg(F.min("pos").alias("pos"))
-    bad = reply.filter("not usable").select(*keys, "idx").distinct()
-    n_bad = (items.join(bad, [*keys, "idx"], "left_semi").groupBy(*keys).agg(F.count("*").alias("__nb")))
-    n_all = items.groupBy(*keys).agg(F.count("*").alias("__n"))
-    rows = (items.join(first, [*keys, "idx"], "left").join(bad.withColumn("__bad", F.lit(True)), [*keys, "idx"], "left")
-            .join(n_bad, keys, "left").join(n_all, keys)
-            .withColumn("__bad", F.coalesce("__bad", F.lit(False)) & (F.coalesce("__nb", F.lit(0)) < F.col("__n"))))
-    facts = rows.groupBy(*keys).agg(F.bool_or(F.col("pos").isNotNull()).alias("__any"),
-                                    F.bool_or(F.col("pos").isNotNull() & ~F.col("__bad")).alias("__clean"))
-    rows = rows.join(facts, keys)
+    ids = [*keys, "idx"]
+    none = F.lit(None).cast(reply.schema["pos"].dataType)
+    told = (items.select(*ids, F.lit(True).alias("__item"), none.alias("pos"), F.lit(False).alias("__bad"))
+            .unionByName(reply.select(*ids, F.lit(False).alias("__item"), "pos", (~F.col("usable")).alias("__bad"))))
+    rows = (told.groupBy(*ids).agg(F.bool_or("__item").alias("__item"), F.min("pos").alias("pos"), F.coalesce(F.bool_or("__bad"), F.lit(False)).alias("__bad"))
+            .filter("__item"))
+    # where all items are unusable, none is
+    named = F.col("pos").isNotNull()
+    facts = rows.groupBy(*keys).agg(F.bool_and("__bad").alias("__all"), F.bool_or(named).alias("__any"), F.bool_or(named & ~F.col("__bad")).alias("__clean"))
+    rows = (rows.join(facts, keys).withColumn("__bad", F.col("__bad") & ~F.col("__all"))
+            .withColumn("__clean", F.when(F.col("__all"), F.col("__any")).otherwise(F.col("__clean"))))
     picked = F.col("pos").isNotNull() & (~F.col("__bad") | ~F.col("__clean"))
     # no valid order: everything stays; otherwise picked, then usable, then unusable in their own order.
     # An unusable item named in the reply never comes back as filler.
