@@ -14,6 +14,9 @@ from reelgrid.functions import fixed_values as fv
 # Scripts written without spaces, one token per character.
 SPACELESS = (r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}"
              r"\x{AC00}-\x{D7A3}\x{0E00}-\x{0E7F}\x{0E80}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}")
+_TOKEN = f"[{SPACELESS}]|[^\\s{SPACELESS}]+"
+# Two ranges that hold all of them: a class of many ranges is slow on every character, so texts without any of these skip it.
+_MAY_SPACELESS = r"[\x{0E00}-\x{17FF}\x{3040}-\x{FF9F}]"
 # Characters that may change under canonical composition; all other text is composed already.
 _MAY_COMPOSE = (r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}\x{0374}\x{037E}\x{0387}\x{1F00}-\x{1FFF}"
                 r"\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4F}]")
@@ -37,12 +40,14 @@ def norm_text(text: Column, compose: bool = True) -> Column:
 
 
 def tokens(norm: Column) -> Column:
-    """Words; in spaceless scripts single characters."""
-    return F.regexp_extract_all(norm, F.lit(f"[{SPACELESS}]|[^\\s{SPACELESS}]+"), F.lit(0))
+    """Words; in spaceless scripts single characters. `norm` is read twice, so it should be a column of its own."""
+    return (F.when(norm.rlike(_MAY_SPACELESS), F.regexp_extract_all(norm, F.lit(_TOKEN), F.lit(0)))
+            .otherwise(F.regexp_extract_all(norm, F.lit(r"\S+"), F.lit(0))))
 
 
 def n_tokens(norm: Column) -> Column:
-    return F.regexp_count(norm, F.lit(f"[{SPACELESS}]|[^\\s{SPACELESS}]+")).cast("long")
+    return (F.when(norm.rlike(_MAY_SPACELESS), F.regexp_count(norm, F.lit(_TOKEN)))
+            .otherwise(F.regexp_count(norm, F.lit(r"\S+"))).cast("long"))
 
 
 def has_spaceless(text: Column) -> Column:
@@ -111,12 +116,19 @@ def needed_texts(pattern: str) -> list[str]:
     return max(options, key=lambda o: min(len(x) for x in o))
 
 
+def by_need(patterns: list[str]) -> dict[frozenset[str], list[str]]:
+    """Patterns by the texts of which each needs one; a needed text that holds another is told as that one."""
+    needed = sorted({x for p in patterns for x in needed_texts(p)}, key=lambda x: (len(x), x))
+    groups: dict[frozenset[str], list[str]] = {}
+    for p in patterns:
+        groups.setdefault(frozenset(next(y for y in needed if y in x) for x in needed_texts(p)), []).append(p)
+    return groups
+
+
 def _phrase(norm: Column, patterns: list[str]) -> Column:
-    """Whether any pattern occurs; cheap text tests decide first, so most texts never meet the regex."""
-    needed = sorted({x for p in patterns for x in needed_texts(p)})
-    # a text that holds another needed one is found with it
-    least = [x for x in needed if not any(y != x and y in x for y in needed)]
-    return reduce(Column.__or__, [F.contains(norm, F.lit(x)) for x in least]) & norm.rlike(_any(patterns))
+    """Whether any pattern occurs; a text meets only the patterns whose needed texts it holds."""
+    return reduce(Column.__or__, [reduce(Column.__or__, [F.contains(norm, F.lit(x)) for x in sorted(texts)]) & norm.rlike(_any(some))
+                                  for texts, some in by_need(patterns).items()])
 
 
 def is_cta(norm: Column) -> Column:

@@ -20,6 +20,7 @@ def select_judged(cands: DataFrame, votes: DataFrame, sentences: DataFrame, used
     `cands`: keys, cand, s_ms, e_ms; `votes`: keys, cand, judge, score, reason; `sentences` as scored; `used`: keys, us, ue; `videos`: keys, duration.
     """
     one = [*keys, cand]
+    sentences = checkpointed(sentences.select(*keys, "idx", "start_ms", "end_ms", "n_words", "junk"))      # read twice, and dear to mark
     judged = sel.panel_score(votes, one, cands.select(*one, F.lit(default).alias("old_score"))).select(*one, "score")
     trimmed = sh.trim_junk_edges(cands, sentences, keys, cand, bucket, floor).groupBy(*one).agg(F.min("s_ms").alias("s_ms"), F.max("e_ms").alias("e_ms"))
     pool = checkpointed(trimmed.join(judged, one).join(videos, keys))
