@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
@@ -34,7 +33,7 @@ from reelgrid.llm.texts import LOWER, columns, row_key, written
 
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows of one Arrow batch of counts.
 BATCH = 200_000
 
@@ -90,9 +89,16 @@ def block_counts(texts: list[bytes], train: list[bool], depth: int) -> tuple[np.
     words: Counter = Counter()
 
     def merge() -> None:
-        all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts[:] = [np.bincount(at, weights=np.concatenate(counts), minlength=len(all_keys))]
-        keys[:] = [all_keys]
+        # sorted sums, without the inverse of a unique, which takes as much memory again
+        rows = np.concatenate(keys)
+        keys.clear()
+        order = np.argsort(rows)
+        rows = rows[order]
+        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])[:len(rows)])
+        keys.append(rows[at])
+        del rows
+        n = np.concatenate(counts)[order]
+        counts[:] = [_sums(n, at) if len(at) else n]
     for part in _slices(texts):
         some = [texts[i].translate(LOWER) for i in part]
         k, sizes = gram_keys(some, depth)
@@ -299,9 +305,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
         counts = np.zeros(len(words), np.int64)
         counts[words >> 1] = v[k < 0]
         fresh = int(((words & 1 == 1) & (v[k < 0] > 0)).sum())
-        keys, logs = k[k >= 0], v[k >= 0]
+        gram = k >= 0
+        keys, logs = k[gram], v[gram]
+        del k, v, gram
         order = np.argsort(keys)
-        keys, logs = pa.array(keys[order]), logs[order]
+        keys, logs = keys[order], logs[order]
+        del order
         vocabulary: set[bytes] = set()
         for t in texts:
             vocabulary.update(t.translate(LOWER).split())
@@ -316,8 +325,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
         scores = np.zeros(len(texts))
         for some in _slices(texts):
             k, sizes = gram_keys([texts[i].translate(LOWER) for i in some], depth)
-            at = pc.index_in(pa.array(k), value_set=keys).to_numpy()
-            scores[some] = np.add.reduceat(logs[at], np.cumsum(np.append(0, sizes[:-1])))
+            coded = pa.array(k).dictionary_encode()              # its few distinct grams are sought, so no table of all is built
+            at = np.searchsorted(keys, coded.dictionary.to_numpy())
+            scores[some] = np.add.reduceat(logs[at][coded.indices.to_numpy()], np.cumsum(np.append(0, sizes[:-1])))
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
                          "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                          "part": pa.array(part, pa.float64()), "score": pa.array(scores), "n_bytes": pa.array([len(t) + 1 for t in texts], pa.int64()),

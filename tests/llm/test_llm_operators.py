@@ -225,3 +225,22 @@ def test_licenses(docs, empty):
     a = licenses.compile_template("t", "a [b c] {x:2} d")
     assert [licenses.longest_match(x.encode().split(), 0, a) for x in ("a d", "a b c d", "a x d", "a x y d", "a x y z d", "a b d", "d")] == [2, 4, 3, 4, -1, 3, -1]
     assert licenses.scan(empty).count() == 0
+
+
+def test_block_counts_over_many_slices(monkeypatch):
+    """Sums of slices put together once and again are those of the texts, and no text at all gives none."""
+    import numpy as np
+    from collections import Counter
+    from reelgrid.llm import ctw
+    monkeypatch.setattr(ctw, "SLICE", 4)
+    texts = [b"abc abd", b"", b"B\xc3\xa9 ab"] * 9
+    train = [i % 4 > 0 for i in range(len(texts))]
+    keys, counts, words, n = ctw.block_counts(texts, train, 3)
+    want = Counter()
+    for t, use in zip(texts, train):
+        for k in ctw.gram_keys([t.translate(ctw.LOWER)], 3)[0].tolist():
+            want[k] += use
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and np.all(np.diff(keys) > 0)
+    assert words == sorted(words) and sum(n) == sum(len(t.split()) for t, use in zip(texts, train) if use)
+    none = ctw.block_counts([], [], 3)
+    assert [len(x) for x in none] == [0, 0, 0, 0]
