@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from reelgrid.operators.coupled import coupled_moves
 from reelgrid.operators.folds import fold_runs, unfold_runs
 from reelgrid.operators.intervals import islands, merge_ranges, subtract_ranges, top_per_key
-from reelgrid.operators.joins import edge_within, snap
+from reelgrid.operators.joins import edge_within, points_in_spans, snap
 from reelgrid.operators.scan import last_value, next_value, row_number, running_sum, scan, time_chunk
 from reelgrid.operators.transcripts import window_speech
 from reelgrid.session import checkpointed
@@ -162,37 +162,46 @@ def fit_chapters(windows: DataFrame, chapters: DataFrame, used: DataFrame, edges
 
     Too long: the windows in order while they fit; the one that does not ends at an earlier edge, or goes if under `shortest` is left. Too short:
     the last window grows to an edge inside the chapter, then the first one backwards, then the last one up to the end of the video;
-    none grows into a used range or nearer than `gap` to it. `chapters`: keys, chapter, c0, c1, duration; windows of a chapter do not meet.
+    none grows into a used range or nearer than `gap` to it. `chapters`: keys, chapter, c0, c1, duration; windows of a chapter do not meet
+    and are read several times. Windows that `subtract_ranges` made with walls bring them along.
     """
     group = [*keys, chapter]
     size = F.col("e_ms") - F.col("s_ms")
-    windows = checkpointed(windows)                        # read again below, and small beside the footage
-    sums = windows.groupBy(*group).agg(F.sum(size).alias("whole"))
-    seen = scan(windows, group, ["s_ms"], time_chunk("s_ms", chunk), before=running_sum(size, False)).join(sums, group)
-    seen = seen.withColumn("over", F.col("whole") > high + 1000).withColumn("fits", F.col("before") + size <= high)
-    asked = seen.withColumn("cut", F.col("s_ms") + high - F.col("before"))
-    crossing = edge_within(asked.filter("over and not fits").filter(F.col("before") < high - 10), edges, keys, [chapter, "s_ms"], "edge_ms",
+    walled = ["floor", "wall"] if {"floor", "wall"} <= set(windows.columns) else []
+    totals = [F.min("s_ms").alias("first_s"), F.max("e_ms").alias("last_e"), F.sum(size).alias("total"),
+              *([F.min_by("floor", "s_ms").alias("floor"), F.max_by("wall", "s_ms").alias("wall")] if walled else [])]
+    sums = windows.groupBy(*group).agg(*totals)
+    too_long = F.col("total") > high + 1000
+    # only the windows of chapters that are too long are walked
+    long = windows.join(sums.filter(too_long).select(*group), group, "left_semi")
+    asked = (scan(long, group, ["s_ms"], time_chunk("s_ms", chunk), before=running_sum(size, False))
+             .withColumn("fits", F.col("before") + size <= high).withColumn("cut", F.col("s_ms") + high - F.col("before")))
+    crossing = edge_within(asked.filter("not fits").filter(F.col("before") < high - 10), edges, keys, [chapter, "s_ms"], "edge_ms",
                            F.col("cut") - 2000, F.col("cut") + 50, bucket, "edge", False)
     cut = (crossing.withColumn("e_ms", F.coalesce("edge", "cut")).filter(F.col("e_ms") - F.col("s_ms") >= shortest)
-           .select(*group, "s_ms", "e_ms", "over"))
-    kept = asked.filter(~F.col("over") | (F.col("fits") & (F.col("before") < high - 10))).select(*group, "s_ms", "e_ms", "over").unionByName(cut)
-    first = asked.filter("over and before = 0").select(*group, "s_ms", "e_ms", "over").withColumn("spare", F.lit(True))
+           .select(*group, "s_ms", "e_ms", *walled))
+    kept = asked.filter(F.col("fits") & (F.col("before") < high - 10)).select(*group, "s_ms", "e_ms", *walled).unionByName(cut)
+    first = asked.filter("before = 0").select(*group, "s_ms", "e_ms", *walled).withColumn("spare", F.lit(True))
     some = kept.withColumn("spare", F.lit(False)).unionByName(first)          # the first window stands in where none is kept
-    totals = [F.min("s_ms").alias("first_s"), F.max("e_ms").alias("last_e"), F.sum(size).alias("total"), F.bool_or("over").alias("over")]
     both = some.groupBy(*group, "spare").agg(*totals)
-    rows = both.groupBy(*group).agg(F.min_by(F.struct("first_s", "last_e", "total", "over"), "spare").alias("x")).select(*group, "x.*")
-    rows = checkpointed(rows.join(chapters, group))
-
-    merged = merge_ranges(used, keys, "us", "ue", chunk)
-    at = rows.select(*keys, chapter, F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("first_s").alias("t")),
-                                                       F.struct(F.lit(2).alias("kind"), F.col("last_e").alias("t")))).alias("x")).select(*group, "x.*")
-    walls = merged.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), (F.col("ue") + gap).alias("t")),
-                                                   F.struct(F.lit(3).alias("kind"), (F.col("us") - gap).alias("t")))).alias("x")).select(*keys, "x.*")
-    seen = scan(at.unionByName(walls, allowMissingColumns=True), keys, ["t", "kind", chapter], time_chunk("t", chunk),
-                floor=last_value(F.when(F.col("kind") == 0, F.col("t"))), wall=next_value(F.when(F.col("kind") == 3, F.col("t"))))
-    near = (seen.filter("kind in (1, 2)").groupBy(*group)
-            .agg(F.max(F.when(F.col("kind") == 1, F.col("floor"))).alias("floor"), F.max(F.when(F.col("kind") == 2, F.col("wall"))).alias("wall")))
-    rows = checkpointed(rows.join(near, group))
+    told = F.struct("first_s", "last_e", "total", *walled)
+    shortened = both.groupBy(*group).agg(F.min_by(told, "spare").alias("x")).select(*group, "x.*")
+    rows = (sums.filter(~too_long).withColumn("over", F.lit(False)).unionByName(shortened.withColumn("over", F.lit(True)))
+            .join(chapters, group))
+    if not walled:
+        rows = checkpointed(rows)
+        rows = rows.join(_walls(rows, used, keys, chapter, chunk, gap), group)
+    rows = checkpointed(rows.withColumn("asked", F.col("total") < low - 1000))
+
+    # No end grows by more than what is missing and three seconds to an edge, so the edges that may matter are known beforehand.
+    room = F.lit(low) - F.col("total") + 3000
+    reach = F.array(F.struct(F.lit(True).alias("back"), (F.col("first_s") - room).alias("lo"), (F.col("first_s") + 50).alias("hi")),
+                    F.struct(F.lit(False).alias("back"), (F.col("last_e") - 50).alias("lo"), (F.col("last_e") + room).alias("hi")))
+    spans = rows.filter("asked").select(*group, F.explode(reach).alias("x")).select(*group, "x.*")
+    marks = edges.select(*keys, F.col("edge_ms").alias("t")).distinct()
+    met = points_in_spans(marks, spans, keys, "t", ("lo", "hi"), bucket, "both")
+    near = met.groupBy(*group).agg(F.collect_set(F.when(F.col("back"), F.col("t"))).alias("behind"),
+                                   F.collect_set(F.when(~F.col("back"), F.col("t"))).alias("ahead"))
 
     def grown(df: DataFrame, hard: Column, when: Column, back: bool) -> DataFrame:
         """One end grows by what is missing, up to the furthest edge within three seconds more."""
@@ -204,22 +213,34 @@ def fit_chapters(windows: DataFrame, chapters: DataFrame, used: DataFrame, edges
             stop = F.greatest(here, F.least(hard, F.coalesce("wall", hard)))
         add = F.when(when, F.greatest(F.lit(0), F.least(sign * (stop - here), F.lit(low) - F.col("total")))).otherwise(0)
         df = df.withColumn("stop", stop).withColumn("add", add).withColumn("want", here + sign * F.col("add"))
-        spans = (F.col("want") - 3000, F.col("want") + 50) if back else (F.col("want") - 50, F.col("want") + 3000)
-        df = edge_within(df, edges, keys, [chapter], "edge_ms", *spans, bucket, "edge", not back)
-        best = F.coalesce("edge", "want")
+        lo, hi = (F.col("want") - 3000, F.col("want") + 50) if back else (F.col("want") - 50, F.col("want") + 3000)
+        inside = F.filter("behind" if back else "ahead", lambda x: (x >= lo) & (x <= hi))
+        best = F.coalesce(F.array_min(inside) if back else F.array_max(inside), "want")
         to = F.when(F.col("add") > 50, F.greatest("stop", best) if back else F.least("stop", best)).otherwise(here)
         return (df.withColumn("to", to).withColumn("total", F.col("total") + sign * (F.col("to") - here)).withColumn(edge, F.col("to"))
-                .drop("stop", "add", "want", "edge", "to"))
+                .drop("stop", "add", "want", "to"))
 
-    rows = rows.withColumn("asked", F.col("total") < low - 1000)
     missing = F.col("asked") & (F.lit(low) - F.col("total") > 500)
-    out = grown(rows, F.col("c1"), F.col("asked"), False)
+    out = grown(rows.join(near, group, "left"), F.col("c1"), F.col("asked"), False)
     out = grown(out, F.col("c0"), missing, True)
     out = grown(out, F.col("duration"), missing, False)
     reason = F.when(F.col("over"), "cut").when(~F.col("asked"), "kept").when(F.col("total") < low - 1000, "short").otherwise("stretched")
     return out.select(*group, "first_s", "last_e", "total", reason.alias("reason"))
 
 
+def _walls(rows: DataFrame, used: DataFrame, keys: list[str], chapter: str, chunk: int, gap: int) -> DataFrame:
+    """keys, chapter, floor, wall: where the used range before first_s ends and the one behind last_e begins, both widened by `gap`."""
+    merged = merge_ranges(used, keys, "us", "ue", chunk)
+    at = rows.select(*keys, chapter, F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("first_s").alias("t")),
+                                                       F.struct(F.lit(2).alias("kind"), F.col("last_e").alias("t")))).alias("x")).select(*keys, chapter, "x.*")
+    walls = merged.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), (F.col("ue") + gap).alias("t")),
+                                                   F.struct(F.lit(3).alias("kind"), (F.col("us") - gap).alias("t")))).alias("x")).select(*keys, "x.*")
+    seen = scan(at.unionByName(walls, allowMissingColumns=True), keys, ["t", "kind", chapter], time_chunk("t", chunk),
+                floor=last_value(F.when(F.col("kind") == 0, F.col("t"))), wall=next_value(F.when(F.col("kind") == 3, F.col("t"))))
+    return (seen.filter("kind in (1, 2)").groupBy(*keys, chapter)
+            .agg(F.max(F.when(F.col("kind") == 1, F.col("floor"))).alias("floor"), F.max(F.when(F.col("kind") == 2, F.col("wall"))).alias("wall")))
+
+
 def validate_windows(windows: DataFrame, videos: DataFrame, sentences: DataFrame, keys: list[str], group: str, chunk: int, bucket: int,
                      low: int = 0, high: int = 0, most: int = 6, shortest: int = 6000, longest: int = 45_000) -> DataFrame:
     """Clean windows of each script: keys, group, s_ms, e_ms; a script that is rejected has none.

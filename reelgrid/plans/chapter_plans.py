@@ -129,8 +129,8 @@ def fit_chapters(spark, folder):
     act = F.floor(F.col("s_ms") / ACT)
     new = f.filter("flag = 'N'").withColumn("act", act).withColumn("e_ms", F.least(F.col("e_ms"), (F.col("act") + 1) * ACT))
     own = iv.merge_ranges(new, [*KEY, "act"], "s_ms", "e_ms", CHUNK)
-    free = checkpointed(iv.subtract_ranges(own, _used(f), KEY, "s_ms", "e_ms", "us", "ue", CHUNK, BUCKET)
-                        .select("video_id", "act", F.col("piece_s").alias("s_ms"), F.col("piece_e").alias("e_ms")))
+    free = checkpointed(iv.subtract_ranges(checkpointed(own), _used(f), KEY, "s_ms", "e_ms", "us", "ue", CHUNK, BUCKET, walls=True)
+                        .select("video_id", "act", F.col("piece_s").alias("s_ms"), F.col("piece_e").alias("e_ms"), "floor", "wall"))
     ends = f.groupBy("video_id").agg(F.max("e_ms").alias("duration"))
     acts = (free.select("video_id", "act").distinct().join(ends, "video_id")
             .select("video_id", "act", (F.col("act") * ACT).alias("c0"), ((F.col("act") + 1) * ACT).alias("c1"), "duration"))
