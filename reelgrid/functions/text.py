@@ -17,6 +17,8 @@ SPACELESS = (r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FA
 _TOKEN = f"[{SPACELESS}]|[^\\s{SPACELESS}]+"
 # Two ranges that hold all of them: a class of many ranges is slow on every character, so texts without any of these skip it.
 _MAY_SPACELESS = r"[\x{0E00}-\x{17FF}\x{3040}-\x{FF9F}]"
+# A list of literals is looked up as a hash set; an array of them would be read from its start for every word.
+_STOPS = list(dict.fromkeys(fv.STOP_VI + fv.STOP_EN + fv.STOP_HI))
 # Characters that may change under canonical composition; all other text is composed already.
 _MAY_COMPOSE = (r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}\x{0374}\x{037E}\x{0387}\x{1F00}-\x{1FFF}"
                 r"\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4F}]")
@@ -35,8 +37,7 @@ def composed(text: Column) -> Column:
 def norm_text(text: Column, compose: bool = True) -> Column:
     """Lower case, letters / digits / marks kept, everything else one space."""
     t = F.lower(composed(text) if compose else text)
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\p{Mn}\p{Mc}_]", " ")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}\p{Mn}\p{Mc}_]+", " "))
 
 
 def tokens(norm: Column) -> Column:
@@ -51,7 +52,7 @@ def n_tokens(norm: Column) -> Column:
 
 
 def has_spaceless(text: Column) -> Column:
-    return text.rlike(f"[{SPACELESS}]")
+    return text.rlike(_MAY_SPACELESS) & text.rlike(f"[{SPACELESS}]")
 
 
 def _any(patterns: list[str]) -> str:
@@ -208,26 +209,21 @@ def looks_vietnamese(text: Column) -> Column:
 
 def content_sequence(norm: Column) -> Column:
     """Content words in order: pronouns folded, common English endings cut, stop words dropped."""
-    pronouns = F.array(*[F.lit(x) for x in fv.PRONOUNS])
-    stops = F.array(*[F.lit(x) for x in dict.fromkeys(fv.STOP_VI + fv.STOP_EN + fv.STOP_HI)])
-
     def stem(w: Column) -> Column:
-        ing = F.when(w.rlike("^.{3,}ing$"), F.regexp_replace(w, "ing$", ""))
-        ed = F.when(w.rlike("^.{3,}ed$"), F.regexp_replace(w, "ed$", ""))
-        es = F.when(w.rlike("^.{3,}es$"), F.regexp_replace(w, "es$", ""))
-        single = F.when(w.rlike("^.{3,}s$"), F.regexp_replace(w, "s$", ""))
-        return F.coalesce(ing, ed, es, single, w)
+        """An ending goes if three letters or more stay."""
+        cut = F.when(F.lit(False), w)
+        for end in ("ing", "ed", "es", "s"):
+            cut = cut.when(F.endswith(w, F.lit(end)) & (F.length(w) >= 3 + len(end)), F.substring(w, F.lit(1), F.length(w) - len(end)))
+        return cut.otherwise(w)
 
     words = F.filter(F.split(norm, " "), lambda w: w != "")
-    folded = F.transform(words, lambda w: F.when(F.array_contains(pronouns, w), "§p").otherwise(stem(w)))
-    return F.filter(folded, lambda w: (w == "§p") | ((F.length(w) > 1) & ~F.array_contains(stops, w)))
+    folded = F.transform(words, lambda w: F.when(w.isin(fv.PRONOUNS), "§p").otherwise(stem(w)))
+    return F.filter(folded, lambda w: (w == "§p") | ((F.length(w) > 1) & ~w.isin(_STOPS)))
 
 
 def content_words(norm: Column) -> Column:
     """Distinct words of more than one character that are not stop words."""
-    stops = F.array(*[F.lit(x) for x in dict.fromkeys(fv.STOP_VI + fv.STOP_EN + fv.STOP_HI)])
-    return F.array_distinct(F.filter(F.split(norm, " "),
-                                     lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w)))
+    return F.array_distinct(F.filter(F.split(norm, " "), lambda w: (F.length(w) > 1) & ~w.isin(_STOPS)))
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:

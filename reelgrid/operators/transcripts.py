@@ -69,29 +69,29 @@ def verbatim_and_retold(narration: DataFrame, sentences: DataFrame, keys: list[s
     """
     lines = (narration.withColumn("norm", tx.norm_text(F.col("text"))).filter(~tx.has_spaceless(F.col("text")))
              .select(*keys, "part", F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"), F.col("norm").alias("own_norm")))
+    # the content words of a text are those of its sentences one after the other, so each sentence is read once
     spoken = (sentences.withColumn("norm", tx.norm_text(F.col("text"))).filter("norm <> ''")
-              .select(*keys, "idx", "start_ms", "end_ms", "norm"))
+              .select(*keys, "idx", "start_ms", "end_ms", "norm", F.array_join(tx.content_sequence(F.col("norm")), " ").alias("seq")))
     wide = lines.select(*keys, "part", "ps", "pe", (F.col("ps") - pad).alias("ws"), (F.col("pe") + pad).alias("we"))
     pairs = overlap_join(wide, spoken, keys, ("ws", "we"), ("start_ms", "end_ms"), bucket)
     near = (F.col("end_ms") > F.col("ps")) & (F.col("start_ms") < F.col("pe"))
-    item = F.struct("start_ms", "idx", "norm")
-    def joined(items):
-        return F.array_join(F.transform(F.array_sort(items), lambda x: x["norm"]), " ")
+
+    def told(items, field):
+        return F.filter(F.split(F.array_join(F.transform(items, lambda x: x[field]), " "), " "), lambda w: w != "")
     # a line spans seconds, so the sentences around it are few
-    around = (pairs.groupBy(*keys, "part").agg(F.collect_list(item).alias("w"), F.collect_list(F.when(near, item)).alias("n"))
-              .select(*keys, "part", F.array(joined(F.col("n")), joined(F.col("w"))).alias("said")))
-    rows = lines.join(around, [*keys, "part"]).withColumn("seq", tx.content_sequence(F.col("own_norm")))
-    hindi = F.array(*[F.lit(x) for x in fv.STOP_HI])
-    words = F.filter(F.split("own_norm", " "), lambda w: (w != "") & ~F.array_contains(hindi, w))
-    rows = rows.select(*keys, "part", "seq", words.alias("ws"), F.explode("said").alias("said")).filter("said <> ''")
-    rows = tx.settled(rows, "said_words", F.split("said", " "))
-    rows = tx.settled(rows, "said_seq", tx.content_sequence(F.col("said")))
-    hits = F.size(F.filter("ws", lambda w: F.array_contains(F.col("said_words"), w)))
+    around = (pairs.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("start_ms", "idx", "norm", "seq", near.alias("near")))).alias("w"))
+              .select(*keys, "part", told(F.col("w"), "norm").alias("said_words"), told(F.col("w"), "seq").alias("said_seq"),
+                      told(F.filter("w", lambda x: x["near"]), "seq").alias("near_seq")))
+    own_words = F.filter(F.split("own_norm", " "), lambda w: (w != "") & ~w.isin(fv.STOP_HI))
+    rows = lines.select(*keys, "part", own_words.alias("ws"), tx.content_sequence(F.col("own_norm")).alias("seq")).join(around, [*keys, "part"])
+    rows = tx.settled(rows, "known", F.array_intersect("ws", "said_words"))
+    hits = F.size(F.filter("ws", lambda w: F.array_contains(F.col("known"), w)))
+    # what is said in the own span is said in the wide one too; only runs of three may differ
     fuzzy = (F.size("ws") >= 4) & (hits * 100 > F.size("ws") * 45)
-    own, said = F.array_distinct("seq"), F.array_distinct("said_seq")
-    retold = (F.size(own) >= 4) & (F.size(F.array_intersect(own, said)) * 100 >= F.size(own) * 55)
-    run = F.arrays_overlap(tx.grams(F.col("seq")), tx.grams(F.col("said_seq")))
-    return rows.groupBy(*keys, "part").agg(F.bool_or(fuzzy | retold | run).alias("retold"))
+    own = F.array_distinct("seq")
+    retold = (F.size(own) >= 4) & (F.size(F.array_intersect(own, F.col("said_seq"))) * 100 >= F.size(own) * 55)
+    run = [F.arrays_overlap(tx.grams(F.col("seq")), tx.grams(F.col(c))) for c in ("said_seq", "near_seq")]
+    return rows.groupBy(*keys, "part").agg(F.bool_or(fuzzy | retold | run[0] | run[1]).alias("retold"))
 
 
 def copied_lines(narration: DataFrame, corpus: DataFrame, line: str, doc: str) -> DataFrame:
