@@ -25,7 +25,7 @@ _LINES = {
 def condense_lines(spark, folder):
     d = doc_lines(spark, folder)
     long = d.groupBy("video_id").agg(F.when(F.max("end_ms") > 480_000, 10_000).otherwise(0).alias("step"))
-    return pk.condense_lines(d.join(long, "video_id"), KEY, CHUNK, F.col("step"))
+    return pk.condense_lines(d, KEY, CHUNK, F.col("step"), long)
 
 
 @query(with_tables("select video_id, min(idx) as first_idx, count(*) as n_lines, cast(sum(n) as bigint) as chars from walk group by video_id, bin", "doc_lines", more={
