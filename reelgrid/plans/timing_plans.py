@@ -34,9 +34,9 @@ def condense_lines(spark, folder):
        select l.video_id, l.idx, l.n, l.i, case when w.used + l.n > 600 then l.i else w.bin end, case when w.used + l.n > 600 then l.n + 1 else w.used + l.n + 1 end
        from walk w join l on l.video_id = w.video_id and l.i = w.i + 1"""}).replace("walk as materialized", "walk as"))
 def char_chunks(spark, folder):
-    d = doc_lines(spark, folder).select("video_id", "idx", "text")
-    return (pk.char_chunks(d, KEY, ["idx"], F.floor(F.col("idx") / 512), 600).groupBy("video_id", "bin")
-            .agg(F.min("idx").alias("first_idx"), F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("chars")).drop("bin"))
+    d = doc_lines(spark, folder).select("video_id", "idx", F.length("text").alias("n"))
+    return (pk.char_chunks(d, KEY, ["idx"], F.floor(F.col("idx") / 512), 600, F.col("n")).groupBy("video_id", "bin")
+            .agg(F.min("idx").alias("first_idx"), F.count("*").alias("n_lines"), F.sum("n").alias("chars")).drop("bin"))
 
 
 # ---- words of a document dealt to its lines, as if each line were a stretch of speech with a pause before it ----
