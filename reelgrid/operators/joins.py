@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reelgrid.operators.scan import last_value, next_value, scan, time_chunk
 
 
+_BEFORE_ALL = -(1 << 62)            # earlier than any time
+
+
 def _buckets(start: Column, end: Column, width: int) -> Column:
     low, high = F.floor(start / F.lit(width)), F.floor(end / F.lit(width))
     return F.explode(F.sequence(low, F.greatest(low, high)))
@@ -51,21 +54,21 @@ def nearest_edges(points: DataFrame, edges: DataFrame, keys: list[str], t: str,
                   chunk: int) -> DataFrame:
     """Add `nearest` to each point: the closest edge of its key, the smaller one on ties.
 
-    Points and distinct edges are merged into one ordered stream; the last edge before and the
-    next edge after are carried along it. Linear, no pairs.
+    Points and distinct edges are merged into one ordered stream, and the last edge before is carried along it. Each edge brings the
+    one after it along, and a mark before all times the first one of its key, so that the stream is sorted one way only. Linear, no pairs.
     """
     marks = edges.select(*keys, F.col(edge).alias("__t")).distinct()
-    stream = (points.withColumn("__t", F.col(t)).withColumn("__kind", F.lit(1))
-              .unionByName(marks.withColumn("__kind", F.lit(0)), allowMissingColumns=True))
+    known = scan(marks, keys, ["__t"], time_chunk("__t", chunk), __next=next_value(F.col("__t")))
+    ahead = marks.groupBy(*keys).agg(F.min("__t").alias("__next")).withColumn("__t", F.lit(_BEFORE_ALL))
+    stream = (points.withColumnRenamed(t, "__t").withColumn("__kind", F.lit(1))
+              .unionByName(known.unionByName(ahead).withColumn("__kind", F.lit(0)), allowMissingColumns=True))
     tie = [c for c in points.columns if c not in keys and c != t]
-    mark = F.when(F.col("__kind") == 0, F.col("__t"))
-    seen = scan(stream, keys, ["__t", "__kind", *tie], time_chunk("__t", chunk),
-                __low=last_value(mark), __high=next_value(mark))
-    low, high, x = F.col("__low"), F.col("__high"), F.col("__t")
+    mark = F.when(F.col("__kind") == 0, F.struct(F.when(F.col("__t") > _BEFORE_ALL, F.col("__t")).alias("low"), F.col("__next").alias("high")))
+    seen = scan(stream.withColumn("__mark", mark).drop("__next"), keys, ["__t", "__kind", *tie], time_chunk("__t", chunk), __near=last_value(F.col("__mark")))
+    low, high, x = F.col("__near.low"), F.col("__near.high"), F.col("__t")
     pick = (F.when(low.isNull(), high).when(high.isNull(), low)
             .when(x - low <= high - x, low).otherwise(high))
-    return (seen.filter("__kind = 1").withColumn("nearest", pick)
-            .drop("__t", "__kind", "__low", "__high"))
+    return seen.filter("__kind = 1").withColumn("nearest", pick).withColumnRenamed("__t", t).select(*points.columns, "nearest")
 
 
 def edge_within(df: DataFrame, edges: DataFrame, keys: list[str], ids: list[str], edge: str, low: Column, high: Column,
@@ -96,7 +99,7 @@ def snap_to_scene(points: DataFrame, edges: DataFrame, cuts: DataFrame, sentence
     inner = sentences.select(*keys, (F.col("start_ms") + margin).alias("__s"),
                              (F.col("end_ms") - margin).alias("__e")).filter("__e > __s")
     cut_times = near.filter("cut is not null").select(*keys, "cut").distinct()
-    spoiled = points_in_spans(cut_times, inner, keys, "cut", ("__s", "__e"), chunk,
+    spoiled = points_in_spans(cut_times, inner, keys, "cut", ("__s", "__e"), max(1, chunk // 10),
                               "neither").select(*keys, "cut").distinct().withColumn("bad", F.lit(True))
     return (near.join(spoiled, [*keys, "cut"], "left")
             .withColumn("snapped", F.when(F.col("cut").isNotNull() & F.col("bad").isNull(), F.col("cut"))
