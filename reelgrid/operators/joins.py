@@ -10,9 +10,13 @@ from reelgrid.operators.scan import last_value, next_value, scan, time_chunk
 _BEFORE_ALL = -(1 << 62)            # earlier than any time
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
+def _touched(start: Column, end: Column, width: int) -> Column:
     low, high = F.floor(start / F.lit(width)), F.floor(end / F.lit(width))
-    return F.explode(F.sequence(low, F.greatest(low, high)))
+    return F.sequence(low, F.greatest(low, high))
+
+
+def _buckets(start: Column, end: Column, width: int) -> Column:
+    return F.explode(_touched(start, end, width))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str],
@@ -38,6 +42,22 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str],
         allowMissingColumns=True)
 
 
+def shared_with(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str],
+                right_span: tuple[str, str], bucket: int, name: str) -> DataFrame:
+    """Rows of `left` with `name`, the time shared with one span of `right`.
+
+    A pair is there once, as in `overlap_join`; rows of time 0 come along, so that each row of
+    `left` is there at least once, also with nulls in its key or span.
+    """
+    ls, le = (F.col(c) for c in left_span)
+    rs, re = (F.col(c) for c in right_span)
+    a = left.withColumn("__b", F.explode_outer(_touched(ls, le, bucket)))
+    b = right.withColumn("__b", _buckets(rs, re, bucket))
+    meets = (le > rs) & (ls < re) & (F.col("__b") == F.floor(F.greatest(ls, rs) / F.lit(bucket)))
+    shared = F.when(meets, F.least(le, re) - F.greatest(ls, rs)).otherwise(F.lit(0).cast("long"))
+    return a.join(b, [*keys, "__b"], "left").select(*left.columns, shared.alias(name))
+
+
 def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], t: str,
                     span: tuple[str, str], bucket: int, closed: str = "left",
                     pad: int = 0) -> DataFrame:
